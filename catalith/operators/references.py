@@ -102,6 +102,6 @@ def bad_references(refs: DataFrame, parents: DataFrame, removals: DataFrame, ref
     known = known.withColumn("range", _range_of(F.col("key"), bits))
     parts = F.broadcast(spark.createDataFrame(hot, "range long, parts int"))
     dealt = slim.join(parts, "range", "left").withColumn("part", F.pmod(F.xxhash64("record_id", "at"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    copied = known.join(parts, "range", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).cast("long")).drop("parts")
+    copied = known.join(parts, "range", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("parts")
     found = dealt.groupBy("range", "part").cogroup(copied.groupBy("range", "part")).applyInArrow(_probe, "ref string, record_id long, at timestamp, state string")
     return found.distinct()
