@@ -6,11 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions.hashes import binary_key, digits_sql, hash_key
+from catalith.llm.distinct import ALL, BOTH, FIRST, SECOND, distinct_sketches, estimates, merge_sketches
 from catalith.llm.encoding import count_tokens, encode_texts
-from catalith.llm.membership import seen_before, seen_report
+from catalith.llm.membership import fingerprint, seen_before, seen_report
 from catalith.tables import table
 
 
+def _uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """The blobs of all package files with the day and supplier of their package, where it is known."""
+    packages = table(spark, sf, "packages", "id", "supplier_id", "received_at").groupBy("id").agg(F.min("supplier_id").alias("supplier_id"), F.min("received_at").alias("received_at"))
+    packages = packages.select("id", "supplier_id", F.unix_date(F.to_date("received_at")).alias("day"))
+    files = table(spark, sf, "package_files", "package_id", "blob_hash").select("package_id", fingerprint(hash_key(F.col("blob_hash"))).alias("fp"))
+    return files.where(F.col("fp").isNotNull()).join(packages, F.col("package_id") == F.col("id"), "left")
+
+
+def _named(counts: DataFrame) -> DataFrame:
+    day = F.when(F.col("level").bitwiseAND(1) == 1, F.date_from_unix_date(F.col("a").cast("int")))
+    names = F.create_map(*(F.lit(x) for x in (ALL, "all", FIRST, "day", SECOND, "supplier", BOTH, "day_supplier")))
+    return counts.select(names[F.col("level")].alias("level"), day.alias("day"), F.when(F.col("level").bitwiseAND(2) == 2, F.col("b")).alias("supplier_id"), "n", "low", "high", "exact")
+
+
+def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct content hashes overall, per day, per supplier and per both, with 95 % intervals."""
+    return _named(estimates(distinct_sketches(_uploads(spark, sf), F.col("day"), F.col("supplier_id"), F.col("fp"))))
+
+
+def p6_months(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct content hashes per month, from the sketches of its days."""
+    days = distinct_sketches(_uploads(spark, sf), F.col("day"), F.col("supplier_id"), F.col("fp"), (FIRST,))
+    month = F.unix_date(F.trunc(F.date_from_unix_date(F.col("a").cast("int")), "month"))
+    months = estimates(merge_sketches(days, F.lit(FIRST), month, F.lit(0)))
+    return months.select(F.date_from_unix_date(F.col("a").cast("int")).alias("month"), "n", "low", "high", "exact")
+
+
 def _keys(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     known = table(spark, sf, "content_blobs", "content_hash").select(hash_key(F.col("content_hash")).alias("key"))
     return known, table(spark, sf, "segment_index", "entry_no", "hash").select("entry_no", binary_key(F.col("hash")).alias("key"))
@@ -35,7 +63,7 @@ def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counted.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_report, p8_ids, p8_counts)}
+QUERIES = {f.__name__: f for f in (p6_counts, p6_months, p7_found, p7_report, p8_ids, p8_counts)}
 
 SQL = {
     "p7_found": f"""WITH e AS (SELECT entry_no, lower(hex(hash)) AS h, min(entry_no) OVER (PARTITION BY hash) AS first FROM segment_index WHERE hash IS NOT NULL)
