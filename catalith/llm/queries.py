@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from catalith.functions.hashes import binary_key, digits_sql, hash_key
 from catalith.llm.distinct import ALL, BOTH, FIRST, SECOND, distinct_sketches, estimates, merge_sketches
 from catalith.llm.encoding import count_tokens, encode_texts
+from catalith.llm.history import history_duplicates
 from catalith.llm.membership import fingerprint, seen_before, seen_report
 from catalith.tables import table
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    packages = table(spark, sf, "packages", "id", "package_hash").select("id", hash_key(F.col("package_hash")).alias("key"))
+    files = table(spark, sf, "package_files", "package_id", "blob_hash", "role")
+    members = files.where(F.col("role") == "member").select("package_id", fingerprint(hash_key(F.col("blob_hash"))).alias("item"))
+    return history_duplicates(packages, table(spark, sf, "intake_batches", "package_id", "batch_no"), members, files.count())
+
+
 def _uploads(spark: SparkSession, sf: str) -> DataFrame:
     """The blobs of all package files with the day and supplier of their package, where it is known."""
     packages = table(spark, sf, "packages", "id", "supplier_id", "received_at").groupBy("id").agg(F.min("supplier_id").alias("supplier_id"), F.min("received_at").alias("received_at"))
@@ -63,9 +71,21 @@ def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counted.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p6_counts, p6_months, p7_found, p7_report, p8_ids, p8_counts)}
+QUERIES = {f.__name__: f for f in (p5_found, p6_counts, p6_months, p7_found, p7_report, p8_ids, p8_counts)}
+
+_MEMBERS = f"""SELECT DISTINCT f.package_id AS id, {digits_sql('f.blob_hash')} AS h FROM package_files f WHERE f.role = 'member' AND {digits_sql('f.blob_hash')} IS NOT NULL AND f.package_id IN (SELECT id FROM packages)"""
 
 SQL = {
+    "p5_found": f"""WITH b AS (SELECT package_id AS id, min(batch_no) AS batch FROM intake_batches GROUP BY 1),
+p AS (SELECT p.id, min({digits_sql('p.package_hash')}) AS k, coalesce(min(b.batch), 0) AS batch FROM packages p LEFT JOIN b ON p.id = b.id GROUP BY p.id),
+m AS ({_MEMBERS}),
+n AS (SELECT id, count(*) AS n FROM m GROUP BY id),
+common AS (SELECT x.id, y.id AS other, count(*) AS i FROM m x JOIN p px ON px.id = x.id AND px.batch > 0 JOIN m y ON x.h = y.h AND x.id <> y.id GROUP BY 1, 2),
+pairs AS (
+  SELECT c.id, c.other FROM common c JOIN n a ON a.id = c.id JOIN n b ON b.id = c.other WHERE 10 * c.i >= 7 * (a.n + b.n - c.i)
+  UNION SELECT x.id, y.id FROM p x JOIN p y ON x.k = y.k AND x.id <> y.id WHERE x.batch > 0)
+SELECT min(q.other) AS first_id, q.id AS package_id FROM pairs q JOIN p x ON x.id = q.id JOIN p y ON y.id = q.other
+WHERE y.batch < x.batch OR (y.batch = x.batch AND y.id < x.id) GROUP BY q.id""",
     "p7_found": f"""WITH e AS (SELECT entry_no, lower(hex(hash)) AS h, min(entry_no) OVER (PARTITION BY hash) AS first FROM segment_index WHERE hash IS NOT NULL)
 SELECT entry_no FROM e WHERE entry_no > first OR h IN (SELECT {digits_sql('content_hash')} FROM content_blobs WHERE content_hash IS NOT NULL)""",
 }
