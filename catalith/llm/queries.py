@@ -10,6 +10,7 @@ from catalith.llm.distinct import ALL, BOTH, FIRST, SECOND, distinct_sketches, e
 from catalith.llm.encoding import count_tokens, encode_texts
 from catalith.llm.history import history_duplicates
 from catalith.llm.membership import fingerprint, seen_before, seen_report
+from catalith.llm.spans import SharedSpans
 from catalith.tables import table
 
 
@@ -71,7 +72,23 @@ def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counted.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_counts, p6_months, p7_found, p7_report, p8_ids, p8_counts)}
+def _spans(spark: SparkSession, sf: str) -> SharedSpans:
+    return SharedSpans(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _spans(spark, sf).pairs()
+
+
+def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each document lies in spans that stand in another one."""
+    found = _spans(spark, sf).coverage().withColumnRenamed("doc", "doc_id")
+    rest = table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    short = rest.where(F.col("n_chars") < 160).withColumn("n_shared", F.lit(0).cast("long"))
+    return found.unionByName(short)
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p6_counts, p6_months, p7_found, p7_report, p8_ids, p8_counts, p10_found, p10_shared)}
 
 _MEMBERS = f"""SELECT DISTINCT f.package_id AS id, {digits_sql('f.blob_hash')} AS h FROM package_files f WHERE f.role = 'member' AND {digits_sql('f.blob_hash')} IS NOT NULL AND f.package_id IN (SELECT id FROM packages)"""
 
