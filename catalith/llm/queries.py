@@ -10,6 +10,7 @@ from catalith.llm.distinct import ALL, BOTH, FIRST, SECOND, distinct_sketches, e
 from catalith.llm.encoding import count_tokens, encode_texts
 from catalith.llm.history import history_duplicates
 from catalith.llm.membership import fingerprint, seen_before, seen_report
+from catalith.llm.mixing import mix_report, mix_sources
 from catalith.llm.spans import SharedSpans
 from catalith.tables import table
 
@@ -72,6 +73,22 @@ def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counted.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
+def _targets(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "mix_targets", "source", "target_share", "max_repeats")
+
+
+def p9_draw(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents drawn and how often each is used."""
+    documents = table(spark, sf, "documents", "doc_id", "text", "source", "lang", "tags")
+    lang = F.lower(F.regexp_extract("lang", "^[A-Za-z]+", 0))
+    return mix_sources(documents, _targets(spark, sf), "doc_id", "text", "source", lang, F.try_element_at("tags", F.lit(1))).withColumnRenamed("doc", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of all drawn tokens that each source reaches."""
+    return mix_report(p9_draw(spark, sf), _targets(spark, sf))
+
+
 def _spans(spark: SparkSession, sf: str) -> SharedSpans:
     return SharedSpans(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -88,7 +105,7 @@ def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
     return found.unionByName(short)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_counts, p6_months, p7_found, p7_report, p8_ids, p8_counts, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p5_found, p6_counts, p6_months, p7_found, p7_report, p8_ids, p8_counts, p9_draw, p9_shares, p10_found, p10_shared)}
 
 _MEMBERS = f"""SELECT DISTINCT f.package_id AS id, {digits_sql('f.blob_hash')} AS h FROM package_files f WHERE f.role = 'member' AND {digits_sql('f.blob_hash')} IS NOT NULL AND f.package_id IN (SELECT id FROM packages)"""
 
