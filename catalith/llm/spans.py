@@ -72,22 +72,20 @@ def _later_least(hashes: np.ndarray, best: np.ndarray, step: int) -> np.ndarray:
 
 
 def _anchor_rows(gram: int, window: int):
-    def flush(ids, hi, lo, texts) -> pa.RecordBatch:
+    def flush(ids, texts) -> pa.RecordBatch:
         raw = "".join(texts).encode("utf-32-le", "surrogatepass")
         ends = np.cumsum([len(t) for t in texts])
         text, place, hashes = anchors(np.frombuffer(raw, np.uint32), ends, gram, window)
-        # a text that repeats itself has one anchor many times; copies within a text are told apart by place only
-        take = pa.array(text)
-        return pa.RecordBatch.from_arrays([pa.array(ids).take(take), pa.array(hi).take(take), pa.array(lo).take(take), pa.array(place), pa.array(hashes.view(np.int64))], names=["doc", "hi", "lo", "place", "gram"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(place), pa.array(hashes.view(np.int64))], names=["doc", "place", "gram"])
 
     def run(batches):
         for batch in batches:
-            ids, hi, lo = (longs(batch.column(i))[0] for i in range(3))
-            texts, since, held = batch.column(3).to_pylist(), 0, 0
+            ids = longs(batch.column(0))[0]
+            texts, since, held = batch.column(1).to_pylist(), 0, 0
             for i, text in enumerate(texts, 1):
                 held += len(text)
                 if held >= _CHUNK or i == len(texts):
-                    yield flush(ids[since:i], hi[since:i], lo[since:i], texts[since:i])
+                    yield flush(ids[since:i], texts[since:i])
                     since, held = i, 0
 
     return run
@@ -136,7 +134,7 @@ class SharedSpans:
     texts have them, and the pairs of a gram are dealt out by salts in proportion to their number.
     """
 
-    def __init__(self, df: DataFrame, key: str, text: str, span: int = 160, gram: int = 96):
+    def __init__(self, df: DataFrame, key: str, text: str, span: int = 160, gram: int = 48):
         self.span, self.gram, self.window = span, gram, span - gram + 1
         long_ = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.char_length(text) >= span))
         self.docs = long_.select("doc", F.xxhash64("text").alias("hi"), F.xxhash64(F.lit(17), "text").alias("lo"), "text")
@@ -147,12 +145,10 @@ class SharedSpans:
         """hi, lo (the text), gram, place, left, right, ctx: the anchors whose gram stands in several texts, and their surroundings."""
         if self._places is None:
             w, g = self.window - 1, self.gram
-            found = self.docs.mapInArrow(_anchor_rows(g, self.window), "doc long, hi long, lo long, place long, gram long")
-            one_each = found.groupBy("hi", "lo", "gram", "place").agg(F.min("doc").alias("doc"))
-            one_each = cut(one_each)
-            several = one_each.groupBy("gram").agg(F.min(F.struct("hi", "lo")).alias("x"), F.max(F.struct("hi", "lo")).alias("y")).where(F.col("x") != F.col("y")).select("gram")
-            kept = one_each.join(several, "gram")
-            near = kept.join(self.docs.select("doc", "text"), "doc").select(
+            found = cut(self.docs.select("doc", "text").mapInArrow(_anchor_rows(g, self.window), "doc long, place long, gram long"))
+            several = found.groupBy("gram").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where(F.col("x") != F.col("y")).select("gram")
+            kept = found.join(several, "gram")
+            near = kept.join(self.docs, "doc").select(
                 "hi",
                 "lo",
                 "gram",
@@ -160,7 +156,7 @@ class SharedSpans:
                 F.substring("text", F.greatest(F.col("place") - w, F.lit(0)).cast("int") + 1, F.least(F.col("place"), F.lit(w)).cast("int")).alias("left"),
                 F.substring("text", F.col("place").cast("int") + 1, F.lit(g + w)).alias("right"),
             )
-            self._places = cut(near.withColumn("ctx", F.xxhash64("left", F.lit(0), "right")))
+            self._places = cut(near.withColumn("ctx", F.xxhash64("left", F.lit(0), "right")).distinct())
         return self._places
 
     def matches(self) -> DataFrame:
