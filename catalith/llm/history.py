@@ -11,9 +11,11 @@ from catalith.session import cut
 #: order their edit distance (insertions and deletions) is a + b - 2 i, so that is at most 3 (a + b) / 17.
 _NUM, _DEN = 3, 17
 _SALTS = 16
+#: Sets of more items than this are indexed by the single items of their beginning.
+LONG = 100
 
 
-def ordered_sets(members: DataFrame, owner: str, item: Column, rows: int, hot_parts: int = 1000) -> DataFrame:
+def ordered_sets(members: DataFrame, owner: str, item: Column, rows: int, hot_parts: int = 20_000) -> DataFrame:
     """owner, items ARRAY<BIGINT>: the distinct items (64 bits each) of each owner, in one order for all sets.
 
     Items that stand in more than 1 / hot_parts of all rows come last, the most frequent at the very end, so that no
@@ -45,17 +47,27 @@ def _segment_key(size: Column, k: Column, items: Column, at: Column, length: Col
     return F.xxhash64(size, k, F.slice(items, at + 1, length))
 
 
+def _beginning(sets: DataFrame, set_id: str, to: str) -> DataFrame:
+    """seg and the set's id for the items of a set's beginning: of two sets with 0.7 of the union in common, one of these is the same."""
+    size = F.size("items")
+    first = F.slice("items", F.lit(1), size - F.ceil(size * 7 / 10).cast("int") + 1)
+    return sets.select(F.col(set_id).alias(to), F.explode(first).alias("item")).select(F.xxhash64(F.lit(0), "item").alias("seg"), to)
+
+
 def segment_entries(sets: DataFrame, set_id: str = "sid") -> DataFrame:
     """The index entries of stored sets: seg BIGINT (hash of size, position and items of a segment) and the set's id.
 
-    A set of a given size is always cut into the same number of segments at the same places. An index grows by
-    appending the entries of new sets; nothing stored changes.
+    A set of a given size is always cut into the same number of segments at the same places. For sets of more than
+    LONG items, whose probes would grow with the cube of the size, the segments are the single items of the set's
+    beginning in the common order, and their position is left out. An index grows by appending the entries of new
+    sets; nothing stored changes.
     """
     k = F.col("k")
-    cut_up = sets.select(set_id, "items", F.size("items").alias("n")).withColumn("parts", _segments(F.col("n")))
+    cut_up = sets.where(F.size("items") <= LONG).select(set_id, "items", F.size("items").alias("n")).withColumn("parts", _segments(F.col("n")))
     cut_up = cut_up.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     n, parts = F.col("n"), F.col("parts")
-    return cut_up.select(_segment_key(n, k, F.col("items"), _start(k, n, parts), _length(k, n, parts)).alias("seg"), F.col(set_id).alias("stored"))
+    short = cut_up.select(_segment_key(n, k, F.col("items"), _start(k, n, parts), _length(k, n, parts)).alias("seg"), F.col(set_id).alias("stored"))
+    return short.unionByName(_beginning(sets.where(F.size("items") > LONG), set_id, "stored"))
 
 
 def segment_probes(sets: DataFrame, set_id: str = "sid") -> DataFrame:
@@ -63,10 +75,12 @@ def segment_probes(sets: DataFrame, set_id: str = "sid") -> DataFrame:
 
     For each size a stored near duplicate can have and each of its segments k, the substrings of that length are
     taken that start where they can: if the sets differ by few enough edits, some segment is untouched with at most k
-    edits before it and no more after it than segments follow, which bounds how far it can have moved.
+    edits before it and no more after it than segments follow, which bounds how far it can have moved. A set that can
+    resemble one of more than LONG items also brings the items of its beginning.
     """
     base = sets.select(set_id, "items", F.size("items").alias("b"))
-    base = base.withColumn("n", F.explode(F.sequence(F.ceil(F.col("b") * 7 / 10).cast("int"), F.floor(F.col("b") * 10 / 7).cast("int"))))
+    least, most = F.ceil(F.col("b") * 7 / 10).cast("int"), F.least(F.lit(LONG), F.floor(F.col("b") * 10 / 7).cast("int"))
+    base = base.where(least <= most).withColumn("n", F.explode(F.sequence(least, most)))
     n, b, k, parts = F.col("n"), F.col("b"), F.col("k"), F.col("parts")
     base = base.withColumn("parts", _segments(n)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     edits, grown, last = F.floor(_NUM * (n + b) / _DEN).cast("int"), b - n, parts - 1
@@ -75,7 +89,9 @@ def segment_probes(sets: DataFrame, set_id: str = "sid") -> DataFrame:
     high = F.least(k, grown + (last - k), F.floor((grown + edits) / 2).cast("int"), b - F.col("len") - F.col("start"))
     base = base.withColumns({"low": low, "high": high}).where(F.col("low") <= F.col("high"))
     base = base.withColumn("at", F.explode(F.sequence(F.col("start") + F.col("low"), F.col("start") + F.col("high"))))
-    return base.select(_segment_key(n, k, F.col("items"), F.col("at"), F.col("len")).alias("seg"), F.col(set_id).alias("probe")).distinct()
+    short = base.select(_segment_key(n, k, F.col("items"), F.col("at"), F.col("len")).alias("seg"), F.col(set_id).alias("probe")).distinct()
+    long_ = sets.where(F.floor(F.size("items") * 10 / 7) > LONG)
+    return short.unionByName(_beginning(long_, set_id, "probe"))
 
 
 def near_sets(entries: DataFrame, probes: DataFrame, stored: DataFrame, new: DataFrame, set_id: str = "sid") -> DataFrame:

@@ -63,7 +63,7 @@ def test_every_near_pair_is_found(spark):
     rnd = random.Random(9)
     sets, want = [], set()
     for _ in range(60):
-        a = rnd.sample(range(10**6), rnd.randrange(1, 60))
+        a = rnd.sample(range(10**6), rnd.choice([rnd.randrange(1, 60), rnd.randrange(60, 300)]))
         b = list(a)
         for _ in range(rnd.randrange(0, 1 + len(a) // 2)):
             b.pop(rnd.randrange(len(b))) if len(b) > 1 and rnd.random() < 0.5 else b.append(rnd.randrange(10**6))
