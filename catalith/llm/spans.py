@@ -131,10 +131,12 @@ class SharedSpans:
 
     Texts that are exact copies are treated as one and expanded at the end. Anchors that stand in one text only are
     dropped after a count by gram that is folded before the shuffle. Equal surroundings are compared once, however many
-    texts have them, and the pairs of a gram are dealt out by salts in proportion to their number.
+    texts have them, and pairs are dealt out by salts in proportion to their number. A gram with more than most_kinds
+    different surroundings is cut into finer blocks first, so that a common phrase shorter than a span brings no pairs.
     """
 
-    def __init__(self, df: DataFrame, key: str, text: str, span: int = 160, gram: int = 48):
+    def __init__(self, df: DataFrame, key: str, text: str, span: int = 160, gram: int = 48, most_kinds: int = 500):
+        self.most_kinds = most_kinds
         self.span, self.gram, self.window = span, gram, span - gram + 1
         long_ = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.char_length(text) >= span))
         self.docs = long_.select("doc", F.xxhash64("text").alias("hi"), F.xxhash64(F.lit(17), "text").alias("lo"), "text")
@@ -159,28 +161,77 @@ class SharedSpans:
             self._places = cut(near.withColumn("ctx", F.xxhash64("left", F.lit(0), "right")).distinct())
         return self._places
 
+    def _kinds(self) -> DataFrame:
+        """gram, ctx, left, right, least, most, n: the different surroundings of each gram, the texts that have them, and their number."""
+        t = F.struct("hi", "lo")
+        kinds = self.places().groupBy("gram", "ctx").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.min(t).alias("least"), F.max(t).alias("most"))
+        sizes = kinds.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+        return kinds.join(sizes, "gram")
+
+    def _windows(self, kinds: DataFrame, step: int) -> DataFrame:
+        """kinds with i and block: for each step, a hash of the gram and as much around it as a shared stretch must have.
+
+        A stretch that agrees for x characters before the gram, with i = x // step, agrees for i * step of them and for
+        all that then has to follow it. With a step of 1 a block stands for one stretch of span characters.
+        """
+        w, g = self.window - 1, self.gram
+        i = F.col("i")
+        before, after = i * step, F.greatest(F.lit(0), w - (i + 1) * step + 1)
+        cut_up = kinds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(w // step))))
+        cut_up = cut_up.where((F.char_length("left") >= before) & (F.char_length("right") >= g + after))
+        text = F.concat(F.substring("left", F.char_length("left") - before + 1, before), F.substring("right", F.lit(1), g + after))
+        return cut_up.withColumn("block", F.xxhash64("i", text))
+
+    def _compared(self, kinds: DataFrame, on: list[str], step: int) -> DataFrame:
+        """gram, ctx_a, ctx_b, before, after: the pairs of kinds, equal in on, that share a stretch."""
+        sizes = kinds.groupBy(*on).agg(F.count("*").alias("size")).where(F.col("size") > 1).select(*on, F.ceil(F.col("size") / 500).cast("int").alias("salts"))
+        kinds = kinds.join(sizes, on)
+        side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("ctx", "left", "right")]
+        a = kinds.select(*on, F.pmod(F.col("ctx"), F.col("salts").cast("long")).cast("int").alias("salt"), *side("a"))
+        b = kinds.select(*on, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *side("b"))
+        pairs = a.join(b, [*on, "salt"]).where(F.col("ctx_a") < F.col("ctx_b")).drop("salt")
+        g, w, span = self.gram, self.window, self.span
+        blocks = "i" in on
+
+        def run(batches):
+            for batch in batches:
+                equal, before, after = common_reach(pa.Table.from_batches([batch]), g, w)
+                good = equal & (before + g + after >= span)
+                if blocks:  # a pair meets in several blocks and counts in one
+                    good &= before // step == longs(batch.column(batch.schema.get_field_index("i")))[0]
+                hit = pa.array(np.flatnonzero(good))
+                columns = [batch.column(batch.schema.get_field_index(c)).take(hit) for c in ("gram", "ctx_a", "ctx_b")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(before).take(hit), pa.array(after).take(hit)], names=["gram", "ctx_a", "ctx_b", "before", "after"])
+
+        return pairs.mapInArrow(run, "gram long, ctx_a long, ctx_b long, before long, after long")
+
+    def _few(self) -> DataFrame:
+        return self._compared(self._kinds().where(F.col("n") <= self.most_kinds), ["gram"], 1)
+
     def matches(self) -> DataFrame:
-        """gram, ctx_a, ctx_b, before, after: surroundings that share a stretch, and how far they agree around the gram."""
+        """gram, ctx_a, ctx_b, before, after: surroundings that share a stretch, and how far they agree around the gram.
+
+        Surroundings of a gram that has few of them are compared with each other, those of others only where they agree
+        in all but step - 1 characters of a stretch.
+        """
         if self._matches is None:
-            kinds = self.places().groupBy("gram", "ctx").agg(F.first("left").alias("left"), F.first("right").alias("right"))
-            sizes = kinds.groupBy("gram").agg(F.ceil(F.count("*") / 500).cast("int").alias("salts"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-            kinds = kinds.join(sizes, "gram")
-            side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("ctx", "left", "right")]
-            a = kinds.select("gram", F.pmod(F.col("ctx"), F.col("salts").cast("long")).cast("int").alias("salt"), *side("a"))
-            b = kinds.select("gram", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *side("b"))
-            pairs = a.join(b, ["gram", "salt"]).where(F.col("ctx_a") < F.col("ctx_b")).drop("salt")
-            g, w, span = self.gram, self.window, self.span
-
-            def run(batches):
-                for batch in batches:
-                    equal, before, after = common_reach(pa.Table.from_batches([batch]), g, w)
-                    hit = pa.array(np.flatnonzero(equal & (before + g + after >= span)))
-                    columns = [batch.column(batch.schema.get_field_index(c)).take(hit) for c in ("gram", "ctx_a", "ctx_b")]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(before).take(hit), pa.array(after).take(hit)], names=["gram", "ctx_a", "ctx_b", "before", "after"])
-
-            self._matches = cut(pairs.mapInArrow(run, "gram long, ctx_a long, ctx_b long, before long, after long"))
+            step = max(1, self.window // 8)
+            many = self._windows(self._kinds().where(F.col("n") > self.most_kinds), step)
+            self._matches = cut(self._few().unionByName(self._compared(many, ["gram", "i", "block"], step)))
         return self._matches
 
+    def reach(self) -> DataFrame:
+        """gram, ctx, before, after: how far around its gram the text of a kind is shared with another kind.
+
+        Surroundings of a gram that has many are not paired for this: each of their stretches is looked up among all.
+        """
+        few = self._few()
+        near = few.select("gram", F.col("ctx_a").alias("ctx"), "before", "after").unionByName(few.select("gram", F.col("ctx_b").alias("ctx"), "before", "after"))
+        many = self._windows(self._kinds().where(F.col("n") > self.most_kinds), 1).select("gram", "ctx", "i", "block", "least", "most")
+        shared = many.groupBy("gram", "i", "block").agg(F.min("least").alias("x"), F.max("most").alias("y")).where(F.col("x") != F.col("y")).select("gram", "i", "block")
+        far = many.join(shared, ["gram", "i", "block"]).select("gram", "ctx", F.col("i").cast("long").alias("before"), (self.window - 1 - F.col("i")).cast("long").alias("after"))
+        return near.unionByName(far).groupBy("gram", "ctx").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+
     def _kinds_of_texts(self) -> DataFrame:
         return self.places().select("gram", "ctx", "hi", "lo", (F.char_length("left") + F.char_length("right")).alias("size")).distinct()
 
@@ -219,9 +270,7 @@ class SharedSpans:
         is shared whole.
         """
         w, g = self.window - 1, self.gram
-        links = self.matches()
-        reach = links.select("gram", F.col("ctx_a").alias("ctx"), "before", "after").unionByName(links.select("gram", F.col("ctx_b").alias("ctx"), "before", "after"))
-        reach = reach.groupBy("gram", "ctx").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+        reach = self.reach()
         places = self.places().select("gram", "ctx", "hi", "lo", "place", F.char_length("left").alias("l"), F.char_length("right").alias("r"))
         t = F.struct("hi", "lo")
         same = places.groupBy("gram", "ctx").agg(F.min(t).alias("x"), F.max(t).alias("y")).where(F.col("x") != F.col("y")).select("gram", "ctx", F.lit(True).alias("twice"))

@@ -25,16 +25,17 @@ def brute(docs, span):
     return pairs, cover
 
 
-def run(spark, docs, span, gram):
+def run(spark, docs, span, gram, most_kinds=500):
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, gram int")
-    s = SharedSpans(df, "doc_id", "text", span, gram)
+    s = SharedSpans(df, "doc_id", "text", span, gram, most_kinds)
     rows = [tuple(r) for r in s.pairs().collect()]
     assert len(rows) == len(set(rows))
     return set(rows), {r["doc"]: r["n_shared"] for r in s.coverage().collect()}
 
 
+@pytest.mark.parametrize("most_kinds", [500, 2])
 @pytest.mark.parametrize("seed,alphabet", [(1, "abcdefgh é漢🙂"), (2, "ab"), (3, "abcdefghijklmnop \n")])
-def test_against_brute_force(spark, seed, alphabet):
+def test_against_brute_force(spark, seed, alphabet, most_kinds):
     rnd = random.Random(seed)
     text = lambda n: "".join(rnd.choice(alphabet) for _ in range(n))
     pool, docs = [text(rnd.randrange(15, 60)) for _ in range(8)], []
@@ -42,7 +43,7 @@ def test_against_brute_force(spark, seed, alphabet):
         parts = [text(rnd.randrange(0, 30)), rnd.choice(pool)[rnd.randrange(0, 8) :], text(rnd.randrange(0, 20)), rnd.choice(["", *pool])]
         docs.append((i, "".join(parts)))
     docs += [(100 + i, docs[i][1]) for i in range(5)] + [(200, None), (None, docs[0][1]), (201, ""), (202, "x" * 19), (203, pool[0] * 300)]
-    assert run(spark, docs, 20, 8) == brute(docs, 20)
+    assert run(spark, docs, 20, 8, most_kinds) == brute(docs, 20)
 
 
 def test_bounds_of_the_span(spark):
