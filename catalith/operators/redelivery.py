@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 def _kept_rows(df: DataFrame, key: str, row_id: str, arrival: Sequence[str]) -> DataFrame:
     """row_id of the row each key keeps: the first by arrival, then by row_id."""
+    named = df.where(F.col(key).isNotNull() & F.col(row_id).isNotNull())
+    if not arrival:
+        return named.groupBy(F.col(key).alias("_key")).agg(F.min(row_id).alias("_row"))
     rank = F.struct(*(F.struct(F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"a{i}")) for i, c in enumerate([*arrival, row_id])))
-    slim = df.where(F.col(key).isNotNull() & F.col(row_id).isNotNull()).select(F.col(key).alias("_key"), F.col(row_id).alias("_row"), rank.alias("_rank"))
+    slim = named.select(F.col(key).alias("_key"), F.col(row_id).alias("_row"), rank.alias("_rank"))
     return slim.groupBy("_key").agg(F.min_by("_row", "_rank").alias("_row"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions.hashes import digits_sql, hash_digits, hash_key
+from catalith.functions.times import utc_month
 from catalith.operators.diff import diff_cells
 from catalith.operators.nested import JOURNAL, files_of_entries, schema_graph, shred, table_of
 from catalith.operators.redelivery import accept_batch, first_deliveries, surplus_deliveries
@@ -84,7 +85,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Bad references by referring column, month of receipt (UTC; null where the time is) and state."""
-    month = F.date_format("at", "yyyy-MM").alias("month")
+    month = utc_month(F.col("at")).alias("month")
     return _bad(spark, sf).select("ref", "record_id", "state", month).distinct().groupBy("ref", "month", "state").agg(F.count("*").alias("n"))
 
 
