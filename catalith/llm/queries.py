@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions.hashes import binary_key, digits_sql, hash_key
+from catalith.functions.times import day_number
 from catalith.llm.distinct import ALL, BOTH, FIRST, SECOND, distinct_sketches, estimates, merge_sketches
 from catalith.llm.encoding import count_tokens, encode_texts
 from catalith.llm.history import history_duplicates
@@ -25,7 +26,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def _uploads(spark: SparkSession, sf: str) -> DataFrame:
     """The blobs of all package files with the day and supplier of their package, where it is known."""
     packages = table(spark, sf, "packages", "id", "supplier_id", "received_at").groupBy("id").agg(F.min("supplier_id").alias("supplier_id"), F.min("received_at").alias("received_at"))
-    packages = packages.select("id", "supplier_id", F.unix_date(F.to_date("received_at")).alias("day"))
+    packages = packages.select("id", "supplier_id", day_number(F.col("received_at")).alias("day"))
     files = table(spark, sf, "package_files", "package_id", "blob_hash").select("package_id", fingerprint(hash_key(F.col("blob_hash"))).alias("fp"))
     return files.where(F.col("fp").isNotNull()).join(packages, F.col("package_id") == F.col("id"), "left")
 
