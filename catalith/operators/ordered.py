@@ -91,6 +91,36 @@ def pack_segments(df: DataFrame, shard: str, order: str, size: str, most: int) -
     return rows.groupBy(shard).applyInArrow(run, f"`{shard}` {kinds[shard]}, `{order}` {kinds[order]}, segment int, offset long")
 
 
+def shard_cuts(df: DataFrame, order: str, key: str, size: str, most: int, bits: int = 16) -> list[int]:
+    """The last place of each full shard when the feed is taken in by order, a unique BIGINT.
+
+    A shard takes in rows until the bytes of its different keys reach most, counting a key once a shard; the row that
+    reaches it is its last. Each shard costs a pass over what is left of the feed, in which keys are folded before the
+    shuffle and bytes added up by buckets of 2 ** bits places; only the place of the cut comes to the driver. Rows
+    with a null order or key bring no bytes; null sizes count as 0.
+    """
+    slim = df.where(F.col(order).isNotNull() & F.col(key).isNotNull()).select(F.col(order).cast("long").alias("at"), F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
+    cuts: list[int] = []
+    while True:
+        left = slim.where(F.col("at") > cuts[-1]) if cuts else slim
+        first = left.groupBy("key").agg(F.min("at").alias("at"), F.min_by("size", "at").alias("size"))
+        first = first.withColumn("bucket", F.shiftright("at", bits))
+        placed = _carried(first, [], "bucket", F.col("size"), F.sum, F.lit(0), "before")
+        here = F.sum("size").over(W.partitionBy("bucket").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow))
+        full = placed.withColumn("bytes", F.col("before") + here).where(F.col("bytes") >= most)
+        cut = full.agg(F.min("at")).first()[0]
+        if cut is None:
+            return cuts
+        cuts.append(cut)
+
+
+def assign_shards(df: DataFrame, order: str, key: str, size: str, most: int, to: str = "shard") -> DataFrame:
+    """df with to INT: the number of the shard each row falls into, by shard_cuts; null for a null order."""
+    cuts = shard_cuts(df, order, key, size, most)
+    passed = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    return df.withColumn(to, F.when(F.col(order).isNotNull(), passed))
+
+
 def carry_signal(df: DataFrame, keys: list[str], at: str, tie: str, signal: Column, period: str = "day") -> DataFrame:
     """df with held: the last signal that is not null, up to this row, of its keys by at and tie; null before the first.
 

@@ -182,6 +182,28 @@ def segment_packing(spark, sf):
     return O.pack_segments(sized, "shard_id", "line_no", "size", 65_536)
 
 
+@_query("SELECT package_id, (row_number() OVER (PARTITION BY package_id ORDER BY id) - 1)::INT AS sequence_number, name AS filename, strlen(h) AS n_bytes FROM (SELECT DISTINCT id, package_id, coalesce(original_filename, 'file_' || id) AS name, coalesce(" + digits_sql("blob_hash") + ", '') AS h FROM package_files WHERE role = 'member' AND package_id IS NOT NULL) WHERE name NOT LIKE '%..%' AND name NOT LIKE '%/'")
+def zip_members(spark, sf):
+    """Every package's members packed into an archive (their digests as contents) and unpacked again."""
+    from catalith.sources.segments import archive_members, build_archives
+
+    m = C.clean(_files(spark, sf).where((F.col("role") == "member") & F.col("package_id").isNotNull()).select("id", "package_id", "original_filename", "blob_hash"), "blob_hash")
+    name = F.coalesce("original_filename", F.concat(F.lit("file_"), F.col("id").cast("string")))
+    x = F.struct("id", name.alias("name"), F.encode(F.coalesce("blob_hash", F.lit("")), "utf-8").alias("data"))
+    lists = m.groupBy("package_id").agg(F.sort_array(F.collect_list(x)).alias("x"))
+    lists = lists.select("package_id", F.transform("x", lambda y: F.struct(y["name"].alias("name"), y["data"].alias("data"))).alias("members"))
+    out = archive_members(build_archives(lists, "package_id", "members"), "package_id", "body").where(F.col("error").isNull())
+    return out.select("package_id", "sequence_number", "filename", F.octet_length("data").cast("long").alias("n_bytes"))
+
+
+@_query()
+def shard_assignment(spark, sf):
+    """The documents dealt to shards that are sealed once their different texts have a quarter of all bytes."""
+    d = table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("h"), F.octet_length("text").alias("size"))
+    quarter = (d.agg(F.sum("size")).first()[0] or 4) // 4
+    return O.assign_shards(d, "doc_id", "h", "size", max(1, quarter)).select("doc_id", "shard")
+
+
 @_query()
 def crc32_ieee(spark, sf):
     return table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.crc32(F.encode("text", "utf-8")).alias("crc"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import warnings
 import zipfile
 
 import numpy as np
@@ -108,6 +109,28 @@ def archive_members(df: DataFrame, key: str, body: str) -> DataFrame:
     return df.select(key, body).mapInArrow(run, f"`{key}` {kind}, sequence_number int, filename string, data binary, error string")
 
 
+def build_archives(df: DataFrame, key: str, members: str, to: str = "body") -> DataFrame:
+    """key and to BINARY: an archive of the members, an ARRAY<STRUCT<name STRING, data BINARY>>, in their order; null for a null array."""
+    kind = dict(df.dtypes)[key]
+
+    def pack(rows) -> bytes | None:
+        if rows is None:
+            return None
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for x in rows:
+                z.writestr(zipfile.ZipInfo(x["name"] or ""), x["data"] or b"")
+        return out.getvalue()
+
+    def run(batches):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # names may repeat
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(x) for x in batch.column(1).to_pylist()], pa.binary())], names=[key, to])
+
+    return df.select(key, members).mapInArrow(run, f"`{key}` {kind}, `{to}` binary")
+
+
 def entry_count(df: DataFrame, body: str, to: str = "n_entries") -> DataFrame:
     """df with to INT: the entries of the archive that are no folders, names with .. among them; null if it cannot be read."""
 

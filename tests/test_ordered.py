@@ -72,3 +72,22 @@ def test_histogram(spark):
     assert counts == {("r", 1.0): 1, ("r", 2.0): 3, ("r", float("inf")): 4}
     assert {r["route"]: r["quantile"] for r in X.histogram_quantile(df, ["route"], "v", 0.5, (1.0, 2.0)).collect()} == {"r": 1.5}
     assert {r["route"]: r["quantile"] for r in X.histogram_quantile(df, ["route"], "v", 0.95, (1.0, 2.0)).collect()} == {"r": 2.0}
+
+
+def test_shards_are_cut_by_new_bytes(spark):
+    rnd = random.Random(7)
+    rows = [(i, rnd.choice(["a", "b", "c", None, str(rnd.randrange(50))]), rnd.choice([None, 5, 20])) for i in range(200)]
+    sizes = {}
+    rows = [(i, k, sizes.setdefault(k, n)) for i, k, n in rows]
+    want, number, have, met = {}, 0, 0, set()
+    for i, k, n in rows:
+        want[i] = number
+        if k is not None and k not in met:
+            met.add(k)
+            have += n or 0
+            if have >= 100:
+                number, have, met = number + 1, 0, set()
+    df = spark.createDataFrame(rows[::-1] + [(None, "a", 5)], "i long, k string, n int")
+    got = {r["i"]: r["shard"] for r in O.assign_shards(df, "i", "k", "n", 100).collect()}
+    assert number > 1 and got == {**want, None: None}
+    assert O.assign_shards(df.limit(0), "i", "k", "n", 100).count() == 0
