@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions.hashes import digits_sql, hash_digits
+from catalith.functions.times import utc_month
 from catalith.operators import catalog as C
 from catalith.operators import payloads as P
 from catalith.tables import table
@@ -36,6 +37,11 @@ def _content(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "content_blobs")
 
 
+def _joined(structs: str, field: str) -> Column:
+    """One field of an array of structs as a text with commas."""
+    return F.concat_ws(",", F.transform(structs, lambda x: x[field].cast("string")))
+
+
 _P = "p AS (SELECT DISTINCT * FROM packages)"
 _F = f"f AS (SELECT DISTINCT id, package_id, {digits_sql('blob_hash')} AS h, role, original_filename, sequence_number FROM package_files)"
 _B = f"""b AS (SELECT * FROM (SELECT {digits_sql('content_hash')} AS h, size, stored_size, segment_id, "offset", ref_count, first_seen_at,
@@ -48,10 +54,10 @@ def canonical_packages(spark, sf):
     return C.canonical_packages(_packages(spark, sf))
 
 
-@_query(f"WITH {_K}, {_P} SELECT canonical_id, list_sort(list(id)) AS clones FROM k WHERE id <> canonical_id GROUP BY canonical_id")
+@_query(f"WITH {_K}, {_P} SELECT canonical_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS clones FROM k WHERE id <> canonical_id GROUP BY canonical_id")
 def clones_of(spark, sf):
     """The clones of every canonical package."""
-    return C.canonical_packages(_packages(spark, sf)).where("is_clone").groupBy("canonical_id").agg(F.sort_array(F.collect_list("id")).alias("clones"))
+    return C.canonical_packages(_packages(spark, sf)).where("is_clone").groupBy("canonical_id").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string"))).alias("clones"))
 
 
 @_query(f"WITH {_B} SELECT count(*) AS n FROM b")
@@ -59,9 +65,9 @@ def count_blobs(spark, sf):
     return C.blobs(_content(spark, sf)).agg(F.count("*").alias("n"))
 
 
-@_query(f'WITH {_B} SELECT h AS content_hash, size, segment_id, "offset", first_seen_at FROM b ORDER BY first_seen_at')
+@_query(f'WITH {_B} SELECT h AS content_hash, size, segment_id, "offset", epoch_us(first_seen_at) AS first_seen FROM b ORDER BY first_seen_at')
 def blob_scan(spark, sf):
-    return C.blobs(_content(spark, sf)).select("content_hash", "size", "segment_id", "offset", "first_seen_at").orderBy("first_seen_at")
+    return C.blobs(_content(spark, sf)).orderBy("first_seen_at").select("content_hash", "size", "segment_id", "offset", F.unix_micros("first_seen_at").alias("first_seen"))
 
 
 @_query(f"""WITH {_B} SELECT coalesce(sum(size), 0)::BIGINT AS logical_bytes, coalesce(sum(CASE WHEN stored_size > 0 THEN stored_size ELSE size END), 0)::BIGINT AS stored_bytes,
@@ -101,11 +107,11 @@ def original_file_join(spark, sf):
     return C.files_with_blobs(files, _content(spark, sf)).select("package_id", F.col("id").alias("file_id"), "blob_hash", "size")
 
 
-@_query(f"""WITH {_F}, {_B}, {_P}, x AS (SELECT f.package_id, count(*) AS n, sum(b.size)::BIGINT AS s, list(f.id ORDER BY f.id) AS ids FROM f JOIN b ON f.h = b.h GROUP BY f.package_id)
-SELECT p.id AS package_id, p.supplier_id, p.storage_mode, coalesce(n, 0) AS n_files, coalesce(s, 0) AS n_bytes, coalesce(ids, []) AS file_ids FROM (SELECT DISTINCT id, supplier_id, storage_mode FROM p) p LEFT JOIN x ON x.package_id = p.id""")
+@_query(f"""WITH {_F}, {_B}, {_P}, x AS (SELECT f.package_id, count(*) AS n, sum(b.size)::BIGINT AS s, string_agg(f.id::VARCHAR, ',' ORDER BY f.id) AS ids FROM f JOIN b ON f.h = b.h GROUP BY f.package_id)
+SELECT p.id AS package_id, p.supplier_id, p.storage_mode, coalesce(n, 0) AS n_files, coalesce(s, 0) AS n_bytes, coalesce(ids, '') AS file_ids FROM (SELECT DISTINCT id, supplier_id, storage_mode FROM p) p LEFT JOIN x ON x.package_id = p.id""")
 def package_manifest(spark, sf):
     m = C.manifests(_packages(spark, sf), _files(spark, sf), _content(spark, sf))
-    return m.select("package_id", "supplier_id", "storage_mode", F.col("n_files").cast("long").alias("n_files"), "n_bytes", F.transform("files", lambda x: x["file_id"]).alias("file_ids"))
+    return m.select("package_id", "supplier_id", "storage_mode", F.col("n_files").cast("long").alias("n_files"), "n_bytes", _joined("files", "file_id").alias("file_ids"))
 
 
 @_query(f"""WITH {_F}, {_B}, {_P}, s AS (SELECT lower(hex(hash)) AS h, min(entry_no) AS entry_no FROM segment_index WHERE hash IS NOT NULL GROUP BY 1)
@@ -146,9 +152,9 @@ def ingest_counters(spark, sf):
     return _counters(spark, sf).drop("received_at")
 
 
-@_query(f"WITH {_STATS} SELECT supplier_id, total_packages, total_refs, duplicate_refs, last_activity FROM stats")
+@_query(f"WITH {_STATS} SELECT supplier_id, total_packages, total_refs, duplicate_refs, epoch_us(last_activity) AS last_activity FROM stats")
 def supplier_stats(spark, sf):
-    return C.supplier_stats(_counters(spark, sf)).drop("dedup_ratio")
+    return C.supplier_stats(_counters(spark, sf)).drop("dedup_ratio").withColumn("last_activity", F.unix_micros("last_activity"))
 
 
 @_query(f"WITH {_STATS} SELECT supplier_id, round(CASE WHEN total_refs = 0 THEN 0 ELSE duplicate_refs / total_refs END, 6) AS dedup_ratio FROM stats")
@@ -200,15 +206,15 @@ def journal_explode(spark, sf):
     return j.where(F.col("f").isNotNull()).select("line_no", "package_id", "f.file_id", "f.role", "f.sequence_number")
 
 
-@_query(f"""WITH {_P}, {_F}, x AS (SELECT package_id, count(*) AS n, list(id ORDER BY id) AS ids FROM (SELECT DISTINCT id, package_id FROM f) GROUP BY 1)
-SELECT p.id AS package_id, strftime(p.received_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%fZ') AS received_at, coalesce(n, 0) AS n_files, coalesce(ids, []) AS file_ids FROM (SELECT DISTINCT id, received_at FROM p) p LEFT JOIN x ON x.package_id = p.id""")
+@_query(f"""WITH {_P}, {_F}, x AS (SELECT package_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT id, package_id FROM f) GROUP BY 1)
+SELECT p.id AS package_id, strftime(p.received_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%fZ') AS received_at, coalesce(n, 0) AS n_files, coalesce(ids, '') AS file_ids FROM (SELECT DISTINCT id, received_at FROM p) p LEFT JOIN x ON x.package_id = p.id""")
 def journal_snapshot(spark, sf):
     """The journal line of every package as it is now, read back."""
     from catalith.sources.journal import snapshot_lines, parse_lines
 
     lines = snapshot_lines(_packages(spark, sf), _files(spark, sf))
     back = parse_lines(lines)
-    return back.select("package_id", "received_at", F.size("files").cast("long").alias("n_files"), F.transform("files", lambda f: f["file_id"]).alias("file_ids"))
+    return back.select("package_id", "received_at", F.size("files").cast("long").alias("n_files"), _joined("files", "file_id").alias("file_ids"))
 
 
 @_query(f"SELECT doc_id, sha256(text) AS content_hash, strlen(text) AS n_bytes FROM documents WHERE text IS NOT NULL")
@@ -303,11 +309,11 @@ def ts_roundtrip(spark, sf):
     return table(spark, sf, "journal", "line_no", "received_at").select("line_no", F.unix_micros(t).alias("micros"), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("written"))
 
 
-@_query("SELECT supplier_id, date_trunc('month', received_at AT TIME ZONE 'UTC')::DATE AS month, count(*) AS n_packages, count(DISTINCT package_hash) AS n_hashes FROM (SELECT DISTINCT id, supplier_id, received_at, " + digits_sql("package_hash") + " AS package_hash FROM packages) GROUP BY 1, 2")
+@_query("SELECT supplier_id, strftime(received_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n_packages, count(DISTINCT package_hash) AS n_hashes FROM (SELECT DISTINCT id, supplier_id, received_at, " + digits_sql("package_hash") + " AS package_hash FROM packages) GROUP BY 1, 2")
 def supplier_period(spark, sf):
     """What each supplier sent in each month."""
     p = C.clean(_packages(spark, sf).select("id", "supplier_id", "received_at", "package_hash"), "package_hash")
-    return p.groupBy("supplier_id", F.to_date(F.date_trunc("month", "received_at")).alias("month")).agg(F.count("*").alias("n_packages"), F.count_distinct("package_hash").alias("n_hashes"))
+    return p.groupBy("supplier_id", utc_month(F.col("received_at")).alias("month")).agg(F.count("*").alias("n_packages"), F.count_distinct("package_hash").alias("n_hashes"))
 
 
 @_query(f"""WITH {_K}, {_P} SELECT hour(received_at AT TIME ZONE 'UTC') AS hour, count(*) AS n_packages, round(avg(CASE WHEN k.id <> k.canonical_id THEN 1.0 ELSE 0.0 END), 6) AS duplicate_rate, round(avg(file_count), 6) AS mean_files

@@ -290,9 +290,10 @@ _BOUNDS = ", ".join(f"({b}::DOUBLE)" for b in X.BOUNDS) + ", ('inf'::DOUBLE)"
 _BUCKETS = f"SELECT event_type, le, (SELECT count(*) FROM events x WHERE x.event_type = k.event_type AND x.value <= b.le) AS n FROM (SELECT DISTINCT event_type FROM events WHERE value IS NOT NULL) k, (VALUES {_BOUNDS}) b(le)"
 
 
-@_query(_BUCKETS)
+@_query(f"SELECT event_type, CASE WHEN le = 'inf'::DOUBLE THEN '+Inf' ELSE le::VARCHAR END AS le, n FROM ({_BUCKETS})")
 def latency_buckets(spark, sf):
-    return X.bucket_counts(table(spark, sf, "events", "event_type", "value"), ["event_type"], "value")
+    b = X.bucket_counts(table(spark, sf, "events", "event_type", "value"), ["event_type"], "value")
+    return b.withColumn("le", F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("string")))
 
 
 @_query(f"""WITH b AS ({_BUCKETS}), w AS (SELECT *, lag(n, 1, 0) OVER (PARTITION BY event_type ORDER BY le) AS pn, lag(le, 1, 0.0) OVER (PARTITION BY event_type ORDER BY le) AS ple, 0.5 * max(n) OVER (PARTITION BY event_type) AS rank FROM b)
@@ -309,10 +310,10 @@ def latency_p95(spark, sf):
     return q.select("event_type", F.round("quantile", 6).alias("quantile"))
 
 
-@_query("SELECT event_type, date_trunc('minute', ts) AS start, count(*) AS n, round(count(*) / 60.0, 6) AS rate FROM events GROUP BY 1, 2")
+@_query("SELECT event_type, epoch_us(date_trunc('minute', ts)) AS start, count(*) AS n, round(count(*) / 60.0, 6) AS rate FROM events GROUP BY 1, 2")
 def request_rate(spark, sf):
     r = X.request_rate(table(spark, sf, "events", "event_type", "ts"), ["event_type"], "ts")
-    return r.withColumn("rate", F.round("rate", 6))
+    return r.withColumns({"rate": F.round("rate", 6), "start": F.unix_micros("start")})
 
 
 @_query("""SELECT event_id, '{"k":' || (props->>'k') || ',"link":"/v1/k/' || (props->>'k') || '"}' AS props FROM events WHERE (props->>'k') IS NOT NULL""")

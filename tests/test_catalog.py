@@ -6,12 +6,9 @@ from catalith.functions.hashes import hash_digits, hash_key
 from catalith.operators import catalog as C
 from catalith.operators import payloads as P
 from catalith.operators import shards as S
+from tests_support import BLOBS, FILES, H, PACKAGES
 
-PACKAGES = "id long, supplier_id int, received_at timestamp, package_hash string, payload_type string, storage_mode string, original_filename string, canonical_package_id long, file_count int, unpack_error string"
-FILES = "id long, package_id long, blob_hash string, role string, original_filename string, sequence_number int"
-BLOBS = "content_hash string, size int, stored_size int, segment_id int, offset long, ref_count long, first_seen_at timestamp"
 NOW = dt.datetime(2025, 1, 1)
-H = [f"{i:02x}" * 32 for i in range(20)]
 
 
 def packages(spark, rows):

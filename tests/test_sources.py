@@ -1,6 +1,4 @@
-import io
 import random
-import zipfile
 import zlib
 
 import numpy as np
@@ -11,6 +9,7 @@ from catalith.sources import records as R
 from catalith.sources import segments as G
 from catalith.sources.compression import compress, decompress, load_dictionary, save_dictionary, train_dictionary
 from catalith.sources.journal import parse_lines, read_journal, write_journal
+from tests_support import archive
 
 XML, ZIP = R.MAGIC["XML1"], R.MAGIC["ZIP1"]
 
@@ -56,14 +55,6 @@ def test_segments_written_and_read(spark, tmp_path):
     assert [r["segment_id"] for r in G.read_indexes(spark, str(tmp_path)).collect()] == [1, 1, 1]
 
 
-def archive(*members):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, data in members:
-            z.writestr(name, data)
-    return out.getvalue()
-
-
 def test_archives(spark):
     bodies = [archive(("a.xml", b"<a/>"), ("dir/", b""), ("../x", b"no"), ("b", b"")), b"PK\x03\x04\0\0\0", None, archive()]
     df = spark.createDataFrame(list(enumerate(bodies)), "id int, body binary")
