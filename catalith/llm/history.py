@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.session import cut
@@ -114,6 +114,20 @@ def _two(*what: Column) -> Column:
     return F.struct(F.xxhash64(*what).alias("h"), F.xxhash64(F.lit(17), *what).alias("g"))
 
 
+def _described(packages: DataFrame, numbers: DataFrame, members: DataFrame, member_rows: int) -> DataFrame:
+    """id, batch, kid, sid, items: each package once, with the classes of its hash and of its set."""
+    ids = packages.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("key").alias("key"))
+    sets = ordered_sets(members, "package_id", F.col("item"), member_rows)
+    known = ids.join(numbers, ids["id"] == numbers["package_id"], "left").drop("package_id")
+    return known.join(sets, known["id"] == sets["package_id"], "left").select(
+        "id",
+        F.coalesce("batch_no", F.lit(0)).alias("batch"),
+        F.when(F.col("key").isNotNull(), _two(F.lit("key"), F.col("key"))).alias("kid"),
+        F.when(F.col("items").isNotNull(), _two(F.lit("set"), F.col("items"))).alias("sid"),
+        "items",
+    )
+
+
 def history_duplicates(packages: DataFrame, batches: DataFrame, members: DataFrame, member_rows: int) -> DataFrame:
     """first_id, package_id: the packages of a batch that repeat an earlier one, and the least id each repeats.
 
@@ -130,24 +144,26 @@ def history_duplicates(packages: DataFrame, batches: DataFrame, members: DataFra
     dealt out by a salt when they fetch their answer.
     """
     numbers = batches.where(F.col("package_id").isNotNull() & F.col("batch_no").isNotNull()).groupBy("package_id").agg(F.min("batch_no").alias("batch_no"))
-    ids = packages.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("key").alias("key"))
-    sets = ordered_sets(members, "package_id", F.col("item"), member_rows)
-    known = ids.join(numbers, ids["id"] == numbers["package_id"], "left").drop("package_id")
-    full = known.join(sets, known["id"] == sets["package_id"], "left").select(
-        "id",
-        F.coalesce("batch_no", F.lit(0)).alias("batch"),
-        F.when(F.col("key").isNotNull(), _two(F.lit("key"), F.col("key"))).alias("kid"),
-        F.when(F.col("items").isNotNull(), _two(F.lit("set"), F.col("items"))).alias("sid"),
-        "items",
-    )
-    full = cut(full)
-    classes = full.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.first("items").alias("items"), F.max("batch").alias("last"))
+    full = cut(_described(packages, numbers, members, member_rows))
+    classes = _classes(full)
     new = classes.where(F.col("last") > 0)
     links = near_sets(segment_entries(classes), segment_probes(new), classes, new)
+    return _answers(full.where(F.col("batch") > 0), _least(full), links)
+
+
+def _classes(full: DataFrame) -> DataFrame:
+    return full.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.first("items").alias("items"), F.max("batch").alias("last"))
+
 
-    least = full.select("id", "batch", F.explode(F.array("kid", "sid")).alias("cid")).where(F.col("cid").isNotNull()).groupBy("cid", "batch").agg(F.min("id").alias("least"))
+def _least(full: DataFrame) -> DataFrame:
+    """cid, batch, least: the least id each class has in each batch."""
+    return full.select("id", "batch", F.explode(F.array("kid", "sid")).alias("cid")).where(F.col("cid").isNotNull()).groupBy("cid", "batch").agg(F.min("id").alias("least"))
+
+
+def _answers(asked: DataFrame, least: DataFrame, links: DataFrame) -> DataFrame:
+    """first_id, package_id of the asked packages, from the least ids of classes and the links between sets."""
     through = links.join(least, links["stored"] == least["cid"]).select(F.col("probe").alias("cid"), "batch", "least")
-    asked = full.where(F.col("batch") > 0).select("id", "batch", F.explode(F.array("kid", "sid")).alias("cid")).where(F.col("cid").isNotNull())
+    asked = asked.select("id", "batch", F.explode(F.array("kid", "sid")).alias("cid")).where(F.col("cid").isNotNull())
     own = least.join(asked.select("cid").distinct(), "cid", "left_semi")
     merged = own.unionByName(through).groupBy("cid", "batch").agg(F.min("least").alias("least"))
     # of the batches of a class only those matter that bring a lower id than all before
@@ -163,3 +179,52 @@ def history_duplicates(packages: DataFrame, batches: DataFrame, members: DataFra
     before = F.filter("lows", lambda x: (x["batch"] < F.col("batch")) | ((x["batch"] == F.col("batch")) & (x["least"] < F.col("id"))))
     answers = asked.join(salted, ["cid", "salt"]).select("id", F.array_min(F.transform(before, lambda x: x["least"])).alias("first_id"))
     return answers.where(F.col("first_id").isNotNull()).groupBy(F.col("id").alias("package_id")).agg(F.min("first_id").alias("first_id")).select("first_id", "package_id")
+
+
+class HistoryIndex:
+    """The segment index on disk: each batch is checked against what was accepted before, then its own entries are appended.
+
+    Under path, a folder all executors share, are three tables, a part for each batch: ids (the least id of each class
+    of the batch), sets (the sets new to the index) and segments (their entries). Checking a batch reads these, not the
+    packages accepted before. Items are ordered by their hash alone, as an order by frequency would change with every
+    batch; results are the same. Batches are appended under rising numbers; one appended again replaces itself.
+    """
+
+    _TABLES = {
+        "ids": "cid struct<h:bigint,g:bigint>, least bigint",
+        "sets": "sid struct<h:bigint,g:bigint>, items array<bigint>",
+        "segments": "seg bigint, stored struct<h:bigint,g:bigint>",
+    }
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _read(self, name: str, before: int) -> DataFrame:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        schema = self._TABLES[name]
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.path}/{name}").where(F.col("batch") < before).drop("batch")
+
+    def _batch(self, packages: DataFrame, members: DataFrame) -> DataFrame:
+        none = self.spark.createDataFrame([], "package_id bigint, batch_no int")
+        plain = _described(packages, none, members.where(F.lit(False)), 0).select("id", "kid")
+        items = members.where(F.col("package_id").isNotNull() & F.col("item").isNotNull()).groupBy("package_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
+        both = plain.join(items, plain["id"] == items["package_id"], "left")
+        return cut(both.select("id", F.lit(1).alias("batch"), "kid", F.when(F.col("items").isNotNull(), _two(F.lit("set"), F.col("items"))).alias("sid"), "items"))
+
+    def check_and_append(self, number: int, packages: DataFrame, members: DataFrame) -> DataFrame:
+        """first_id, package_id of the packages of batch number that repeat one of an earlier batch, or one of a lower id in it.
+
+        packages and members are those of the batch alone, as of history_duplicates.
+        """
+        full = self._batch(packages, members)
+        new = _classes(full).drop("last")
+        sets, segments = self._read("sets", number), self._read("segments", number)
+        fresh = cut(new.join(sets.select("sid"), "sid", "left_anti"))
+        links = near_sets(segments.unionByName(segment_entries(fresh)), segment_probes(new), sets.unionByName(fresh), new)
+        ids = self._read("ids", number).groupBy("cid").agg(F.min("least").alias("least")).select("cid", F.lit(0).alias("batch"), "least")
+        found = cut(_answers(full, ids.unionByName(_least(full)), links))
+        for name, rows in (("ids", _least(full).drop("batch")), ("sets", fresh), ("segments", segment_entries(fresh))):
+            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
+        return found

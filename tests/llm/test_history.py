@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from catalith.llm.history import history_duplicates, near_sets, ordered_sets, segment_entries, segment_probes
+from catalith.llm.history import HistoryIndex, history_duplicates, near_sets, ordered_sets, segment_entries, segment_probes
 
 
 def brute(packages, batches, members):
@@ -98,3 +98,24 @@ def test_hot_items_come_last(spark):
     rows = [(i, 7) for i in range(50)] + [(i, 8) for i in range(40)] + [(i, 100 + i) for i in range(50)]
     sets = ordered_sets(spark.createDataFrame(rows, "o long, x long"), "o", F.col("x"), len(rows), hot_parts=10)
     assert {tuple(r["items"]) for r in sets.where("o = 3").collect()} == {(103, 8, 7)}
+
+
+def test_batch_by_batch_equals_all_at_once(spark, tmp_path):
+    rnd = random.Random(11)
+    made, packages, members = [], [], []
+    for i in range(60):
+        s = set(rnd.choice(made)) if made and rnd.random() < 0.6 else {rnd.randrange(10**6) for _ in range(rnd.choice([0, 1, 4, 9, 20]))} | {7}
+        for _ in range(rnd.choice([0, 0, 1, 3])):
+            s.add(rnd.randrange(10**6))
+        made.append(s)
+        packages.append((i, rnd.choice([None, b"x", rnd.randbytes(8)])))
+        members += [(i, x) for x in s] + [(i, None)]
+    batch = {i: rnd.randrange(4) for i in range(60)}  # 0 is history
+    index, got = HistoryIndex(spark, str(tmp_path / "index")), set()
+    for number in (0, 1, 2, 2, 3):
+        mine = {i for i in batch if batch[i] == number}
+        p = spark.createDataFrame([x for x in packages if x[0] in mine], "id long, key binary")
+        m = spark.createDataFrame([x for x in members if x[0] in mine], "package_id long, item long")
+        found = {tuple(r) for r in index.check_and_append(number, p, m).collect()}
+        got |= found if number else set()
+    assert got == brute(packages, [(i, b) for i, b in batch.items() if b], members)
