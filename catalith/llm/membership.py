@@ -14,6 +14,7 @@ from catalith.session import width
 
 _U = np.uint64
 _BLOCK = 65_536
+_TASK = 1_000_000
 
 
 def _select_bit(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -152,7 +153,7 @@ def _first_in_task(spread: int):
             order.append(longs(batch.column(0))[0])
             keys.append(longs(batch.column(1))[0])
             held += batch.num_rows
-            if held >= 1_000_000:
+            if held >= _TASK:
                 yield flush(order, keys)
                 order, keys, held = [], [], 0
         if held:
@@ -161,48 +162,81 @@ def _first_in_task(spread: int):
     return run
 
 
-def _scan(part_bits: int, stats: bool):
-    """Goes through a partition's rows in order, a block at a time: probe, then merge what is new."""
+_INDEX = "part long, part_bits int, keys long, low_bits int, upper binary, lower binary"
+_INDEX_ARROW = pa.schema([("part", pa.int64()), ("part_bits", pa.int32()), ("keys", pa.int64()), ("low_bits", pa.int32()), ("upper", pa.binary()), ("lower", pa.binary())])
+
+
+def _stored(code: EliasFano, part: int) -> pa.Table:
+    row = [part, 64 - code.bits, code.size, code.low_bits, code.upper.tobytes(), code.lower.tobytes()]
+    return pa.table([[x] for x in row], schema=_INDEX_ARROW)
+
+
+def _loaded(table: pa.Table, part_bits: int) -> EliasFano:
+    """The code of a partition, an empty one where the index has none."""
+    if not len(table):
+        return EliasFano.encode(np.empty(0, _U), 64 - part_bits)
+    upper, lower = (np.frombuffer(table[c][0].as_py(), _U) for c in ("upper", "lower"))
+    zeros = np.r_[0, np.cumsum(64 - np.bitwise_count(upper).astype(np.int64))]
+    return EliasFano(table["keys"][0].as_py(), 64 - part_bits, table["low_bits"][0].as_py(), upper, lower, zeros)
+
+
+def _pass(index: EliasFano, rows: pa.Table, part_bits: int) -> tuple[EliasFano, np.ndarray, int, float]:
+    """Goes through a partition's rows in order, a block at a time: probe, then merge what is new.
+
+    Returns the new code, the numbers of the rows found, the probes made and the expected number of wrong answers.
+    """
+    again = longs(rows["again"])[0] < 0 if len(rows) else np.zeros(0, bool)
+    order, fps = longs(rows["row_no"])[0], longs(rows["fp"])[0]
+    found, probes, odds = [order[again]], 0, again.sum() * _TASK / 2.0**64
+    by = np.argsort(order[~again], kind="stable")
+    order, values = order[~again][by], _own_bits(fps[~again][by], part_bits)
+    for at in range(0, len(order), _BLOCK):
+        block, numbers = values[at : at + _BLOCK], order[at : at + _BLOCK]
+        seen = index.contains(block)
+        uniq, first, group = np.unique(block[~seen], return_index=True, return_inverse=True)
+        repeat = first[group] != np.arange(len(group))
+        odds += len(block) * (index.size + len(uniq)) / 2.0 ** (64 - part_bits)
+        probes += len(block)
+        hits = seen.copy()
+        hits[np.flatnonzero(~seen)[repeat]] = True
+        found.append(numbers[hits])
+        index = index.merge(uniq)
+    return index, np.concatenate(found), probes, odds
+
+
+def _scan(part_bits: int, want: str):
+    """For a partition's known keys (or their code) and rows: the rows found, what they cost, or the code with them."""
 
     def run(known: pa.Table, rows: pa.Table) -> pa.Table:
-        again = longs(rows["again"])[0] < 0 if len(rows) else np.zeros(0, bool)
-        order, fps = longs(rows["row_no"])[0], longs(rows["fp"])[0]
-        found = [order[again]]
-        by = np.argsort(order[~again], kind="stable")
-        order, values = order[~again][by], _own_bits(fps[~again][by], part_bits)
-        held = np.unique(_own_bits(longs(known["fp"])[0], part_bits)) if len(known) else np.empty(0, _U)
-        index, probes = EliasFano.encode(held, 64 - part_bits), 0
-        odds = 0.0
-        for at in range(0, len(order), _BLOCK):
-            block, numbers = values[at : at + _BLOCK], order[at : at + _BLOCK]
-            seen = index.contains(block)
-            uniq, first, group = np.unique(block[~seen], return_index=True, return_inverse=True)
-            repeat = first[group] != np.arange(len(group))
-            odds += len(block) * index.size / 2.0 ** (64 - part_bits)
-            probes += len(block)
-            hits = seen.copy()
-            hits[np.flatnonzero(~seen)[repeat]] = True
-            found.append(numbers[hits])
-            index = index.merge(uniq)
-        found = np.concatenate(found)
-        if stats:
-            part = longs((known if len(known) else rows)["part"])[0][0]
+        if "upper" in known.column_names:
+            index = _loaded(known, part_bits)
+        else:
+            held = np.unique(_own_bits(longs(known["fp"])[0], part_bits)) if len(known) else np.empty(0, _U)
+            index = EliasFano.encode(held, 64 - part_bits)
+        index, found, probes, odds = _pass(index, rows, part_bits)
+        part = longs((known if len(known) else rows)["part"])[0][0]
+        if want == "report":
             return pa.table({"part": [part], "keys": [index.size], "index_bytes": [index.nbytes], "probes": [probes], "found": [len(found)], "wrong_bound": [odds]})
+        if want == "index":
+            return _stored(index, part) if part >= 0 else _INDEX_ARROW.empty_table()
         return pa.table({"row_no": pa.array(found)})
 
     return run
 
 
-def _seen(known: DataFrame, rows: DataFrame, key: str, order: str, stats: bool, part_keys: int) -> DataFrame:
-    spark = rows.sparkSession
-    part_bits = part_bits_for(spark, known.count() + rows.count(), part_keys)
-    stored = known.where(F.col(key).isNotNull()).select(fingerprint(F.col(key)).alias("fp"))
-    stored = stored.select(_part(part_bits).alias("part"), "fp")
+_OUT = {"rows": "row_no long", "report": "part long, keys long, index_bytes long, probes long, found long, wrong_bound double", "index": _INDEX}
+
+
+def _dealt(rows: DataFrame, key: str, order: str, part_bits: int) -> DataFrame:
     slim = rows.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(F.col(order).cast("long").alias("row_no"), fingerprint(F.col(key)).alias("fp"))
-    marked = slim.mapInArrow(_first_in_task(4 * width(spark)), "row_no long, fp long, again long")
-    dealt = marked.select(F.when(F.col("again") < 0, F.col("again")).otherwise(_part(part_bits)).alias("part"), "row_no", "fp", "again")
-    out = "part long, keys long, index_bytes long, probes long, found long, wrong_bound double" if stats else "row_no long"
-    return stored.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(_scan(part_bits, stats), out)
+    marked = slim.mapInArrow(_first_in_task(4 * width(rows.sparkSession)), "row_no long, fp long, again long")
+    return marked.select(F.when(F.col("again") < 0, F.col("again")).otherwise(_part(part_bits)).alias("part"), "row_no", "fp", "again")
+
+
+def _seen(known: DataFrame, rows: DataFrame, key: str, order: str, want: str, part_keys: int) -> DataFrame:
+    part_bits = part_bits_for(rows.sparkSession, known.count() + rows.count(), part_keys)
+    stored = known.where(F.col(key).isNotNull()).select(fingerprint(F.col(key)).alias("fp")).select(_part(part_bits).alias("part"), "fp")
+    return stored.groupBy("part").cogroup(_dealt(rows, key, order, part_bits).groupBy("part")).applyInArrow(_scan(part_bits, want), _OUT[want])
 
 
 def seen_before(known: DataFrame, rows: DataFrame, key: str, order: str, part_keys: int = 250_000) -> DataFrame:
@@ -219,11 +253,26 @@ def seen_before(known: DataFrame, rows: DataFrame, key: str, order: str, part_ke
     sums these odds. A row that repeats a key which its own task has met in an earlier row is found without a probe and
     spread over the partitions by its number, so a key with a third of all rows is not gathered in one task.
     """
-    return _seen(known, rows, key, order, False, part_keys)
+    return _seen(known, rows, key, order, "rows", part_keys)
 
 
 def seen_report(known: DataFrame, rows: DataFrame, key: str, order: str, part_keys: int = 250_000) -> DataFrame:
     """One row: keys, index_bytes, bits_per_key, probes, found, wrong_bound (expected number of wrong answers) and wrong_rate."""
-    parts = _seen(known, rows, key, order, True, part_keys)
+    parts = _seen(known, rows, key, order, "report", part_keys)
     total = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("keys", "index_bytes", "probes", "found")), F.coalesce(F.sum("wrong_bound"), F.lit(0.0)).alias("wrong_bound"))
     return total.withColumns({"bits_per_key": 8 * F.col("index_bytes") / F.nullif("keys", F.lit(0)), "wrong_rate": F.col("wrong_bound") / F.nullif("probes", F.lit(0))})
+
+
+def key_index(known: DataFrame, rows: DataFrame, key: str, order: str, part_keys: int = 250_000) -> DataFrame:
+    """The index of all keys of known and rows, to be stored: one row a partition, its code as bytes."""
+    return _seen(known, rows, key, order, "index", part_keys)
+
+
+def probe_index(index: DataFrame, rows: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a new batch seen before, as of seen_before, and the index with their keys.
+
+    index is one made by key_index or by this function, not empty; its partitions stay as they are, however it grows.
+    """
+    part_bits = index.select("part_bits").first()[0]
+    groups = lambda: index.groupBy("part").cogroup(_dealt(rows, key, order, part_bits).groupBy("part"))
+    return tuple(groups().applyInArrow(_scan(part_bits, want), _OUT[want]) for want in ("rows", "index"))

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from catalith.llm.membership import EliasFano, seen_before, seen_report
+from catalith.llm.membership import EliasFano, key_index, probe_index, seen_before, seen_report
 
 
 @settings(max_examples=150, deadline=None)
@@ -57,3 +57,18 @@ def test_empty_sides_and_nulls(spark):
     assert run(spark, [b"a"], [(5, b"a")])[2] == [5]
     (report,) = seen_report(*run(spark, [], [])[:2], "key", "entry_no").collect()
     assert report["keys"] == 0 and report["wrong_rate"] is None
+
+
+def test_a_stored_index_takes_further_batches(spark):
+    rnd = random.Random(8)
+    keys = [rnd.randbytes(33) for _ in range(200)]
+    rows = [(i, rnd.choice([*keys, None])) for i in range(900)]
+    make = lambda part: spark.createDataFrame(part, "entry_no long, key binary")
+    known = spark.createDataFrame([(k,) for k in keys[:50]], "key binary")
+    index = key_index(known, make(rows[:300]), "key", "entry_no", part_keys=50)
+    got = [r["row_no"] for r in seen_before(known, make(rows[:300]), "key", "entry_no").collect()]
+    for part in (rows[300:600], rows[600:]):
+        found, index = probe_index(index, make(part), "key", "entry_no")
+        got += [r["row_no"] for r in found.collect()]
+    assert sorted(got) == [r["row_no"] for r in seen_before(known, make(rows), "key", "entry_no").orderBy("row_no").collect()]
+    assert index.count() == index.select("part").distinct().count() and sum(r["keys"] for r in index.collect()) == len({k for _, k in rows if k} | set(keys[:50]))
