@@ -106,7 +106,12 @@ def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
     return found.unionByName(short)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_counts, p6_months, p7_found, p7_report, p8_ids, p8_counts, p9_draw, p9_shares, p10_found, p10_shared)}
+def p10_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The cluster of each document that is long enough, its links, and the one document kept of each cluster."""
+    return _spans(spark, sf).clusters().withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p6_counts, p6_months, p7_found, p7_report, p8_ids, p8_counts, p9_draw, p9_shares, p10_found, p10_shared, p10_clusters)}
 
 _MEMBERS = f"""SELECT DISTINCT f.package_id AS id, {digits_sql('f.blob_hash')} AS h FROM package_files f WHERE f.role = 'member' AND {digits_sql('f.blob_hash')} IS NOT NULL AND f.package_id IN (SELECT id FROM packages)"""
 

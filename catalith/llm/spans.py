@@ -120,6 +120,26 @@ def common_reach(pairs: pa.Table, gram: int, window: int) -> tuple[np.ndarray, n
     return after >= 0, before, np.maximum(after, 0)
 
 
+def components(nodes: DataFrame, links: DataFrame, key: str, least: str) -> DataFrame:
+    """key and least: the least number among the nodes of each node's connected component.
+
+    nodes: key and its own number least, unique; links: a, b in both directions. In each round every node takes the least label
+    among its neighbours, and then the label that the node of this number has by now, so that labels travel in leaps; the
+    rounds end when no label changes. Labels are folded before the shuffle, so a node with very many links is no task's own.
+    """
+    state = cut(nodes.select(key, F.col(least).alias("own"), F.col(least).alias("label")))
+    while True:
+        heard = links.join(state.select(F.col(key).alias("b"), "label"), "b").groupBy(F.col("a").alias(key)).agg(F.min("label").alias("heard"))
+        near = state.join(heard, key, "left").select(key, "own", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
+        near = cut(near)
+        # a label is the number of a node, whose own label may be lower still
+        ahead = near.where(F.col("label") < F.col("own")).select(F.col("own").alias("label"), F.col("label").alias("further"))
+        state = cut(near.join(ahead, "label", "left").select(key, "own", "was", F.coalesce("further", "label").alias("label")))
+        if state.where(F.col("label") != F.col("was")).isEmpty():
+            return state.select(key, F.col("label").alias(least))
+        state = state.drop("was")
+
+
 class SharedSpans:
     """Spans of at least span characters (code points, compared exactly) that stand in more than one text.
 
@@ -263,6 +283,21 @@ class SharedSpans:
         both = across.unionByName(copies.where(F.col("a") < F.col("b")).select(F.col("a").alias("x"), F.col("b").alias("y")))
         return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
+    def clusters(self) -> DataFrame:
+        """doc, cluster, n_links, kept: the rows of at least span characters, by connected components of shared spans.
+
+        cluster is the least doc that can be reached through shared spans (copies are one text), n_links the number of
+        other texts that share a span with the row's own; kept is true for one row of each cluster, that least doc.
+        """
+        docs = self.docs.select(F.struct("hi", "lo").alias("t"), "doc")
+        links = cut(self.text_pairs())
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        texts = docs.groupBy("t").agg(F.min("doc").alias("least"))
+        label = components(texts, both, "t", "least")
+        counts = both.groupBy("a").agg(F.count("*").alias("n"))
+        out = docs.join(label, "t").join(counts, docs["t"] == counts["a"], "left")
+        return out.select("doc", F.col("least").alias("cluster"), F.coalesce("n", F.lit(0)).alias("n_links"), (F.col("doc") == F.col("least")).alias("kept"))
+
     def coverage(self) -> DataFrame:
         """doc, n_chars, n_shared: for each row of at least span characters, how many of them lie in shared spans.
 

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 
-from catalith.llm.spans import SharedSpans
+from catalith.llm.spans import SharedSpans, components
 
 
 def brute(docs, span):
@@ -61,3 +61,25 @@ def test_runs_periods_and_a_hot_text(spark):
 
 def test_nothing(spark):
     assert run(spark, [], 20, 8) == (set(), {}) and run(spark, [(1, None), (2, "")], 20, 8) == (set(), {})
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components(spark, seed):
+    rnd = random.Random(seed)
+    nodes = rnd.sample(range(1000), 120)
+    links = {(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(70)} | set(zip(nodes[:40], nodes[1:40]))
+    label = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    n = spark.createDataFrame([(f"k{x}", x) for x in nodes], "k string, least long")
+    e = spark.createDataFrame([(f"k{a}", f"k{b}") for x in links for a, b in (x, x[::-1]) if a != b], "a string, b string")
+    assert {r["k"]: r["least"] for r in components(n, e, "k", "least").collect()} == {f"k{x}": y for x, y in label.items()}
+    assert components(n.limit(0), e.limit(0), "k", "least").count() == 0
+
+
+def test_clusters(spark):
+    p, q, r = ("one shared stretch of text", "another stretch that is shared", "stands alone in its document")
+    docs = [(5, p), (3, p + q), (9, "x" + q), (7, r), (2, r), (1, "a third one without company")]
+    s = SharedSpans(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 20, 8)
+    assert {tuple(x) for x in s.clusters().collect()} == {(5, 3, 1, False), (3, 3, 2, True), (9, 3, 1, False), (7, 2, 0, False), (2, 2, 0, True), (1, 1, 0, True)}
