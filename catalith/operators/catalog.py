@@ -39,13 +39,6 @@ def canonical_packages(packages: DataFrame) -> DataFrame:
     return joined.select("id", "package_hash", canonical.alias("canonical_id"), (canonical != F.col("id")).alias("is_clone"))
 
 
-def first_rows(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """The first row of each key by order (nulls last): keys and columns. Null key parts are keys of their own."""
-    rank = F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c))))
-    slim = df.select(*keys, F.struct(*columns).alias("_row"), rank.alias("_rank"))
-    return slim.groupBy(*keys).agg(F.min_by("_row", "_rank").alias("_row")).select(*keys, *(F.col("_row")[c].alias(c) for c in columns))
-
-
 def reference_counts(files: DataFrame) -> DataFrame:
     """blob_hash, cnt: how many file rows name each blob."""
     return clean(files.select("id", "blob_hash"), "blob_hash").where(F.col("blob_hash").isNotNull()).groupBy("blob_hash").agg(F.count("*").alias("cnt"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.functions.hashes import digits_sql, hash_digits
+from catalith.functions.hashes import digits_sql
 from catalith.functions.times import utc_month
 from catalith.operators import catalog as C
 from catalith.operators import payloads as P

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.functions.hashes import digits_sql, hash_digits
+from catalith.functions.hashes import digits_sql
 from catalith.operators import catalog as C
 from catalith.operators import merge as M
 from catalith.operators import metrics as X
 from catalith.operators import ordered as O
-from catalith.operators import payloads as P
 from catalith.operators import shards as S
-from catalith.plans.catalog import _B, _F, _content, _files, _packages
+from catalith.plans.catalog import _B, _content, _files, _packages
 from catalith.tables import table
 
 QUERIES = {}

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.sources.records import INDEX_ROW, MAGIC, decode_index, encode_footer, encode_index, encode_record, scan_segment
+from catalith.sources.records import INDEX_ROW, decode_index, encode_footer, encode_record, scan_segment
 
 _NUMBER = r"segment_(\d+)\.[a-z]+$"
 
@@ -31,7 +31,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = list(scan_segment(data.as_buffer().to_pybytes() if hasattr(data, "as_buffer") else data.as_py()))
+                rows = list(scan_segment(data.as_py()))
                 at, magic, payload, good = zip(*rows) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number] * len(rows), pa.int32()), pa.array(at, pa.int64()), pa.array(magic, pa.int64()), pa.array(map(len, payload), pa.int64()), pa.array(payload, pa.binary()), pa.array(good, pa.bool_())],
