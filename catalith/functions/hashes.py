@@ -21,6 +21,25 @@ def hash_digits(text: Column) -> Column:
     return F.when(low.rlike(_CLEAN), low).when(run != "", run).otherwise(F.when(rest != "", rest))
 
 
+def has_digits(text: Column) -> Column:
+    """Whether a hash text names a hash, that is holds any hex digit; a filter on this costs little."""
+    return text.rlike("[0-9A-Fa-f]")
+
+
+def known_digits(text: Column) -> Column:
+    """hash_digits of a text that has_digits.
+
+    It is never null, so that filters on nulls, which joins bring too, are not pushed down into the scan, where they
+    would work out the digits once more for each time the expression names them.
+    """
+    return F.coalesce(hash_digits(text), F.lit(""))
+
+
+def known_key(text: Column) -> Column:
+    """hash_key of a text that has_digits; never null, as known_digits."""
+    return F.coalesce(hash_key(text), F.lit(b""))
+
+
 def digits_sql(text: str) -> str:
     """hash_digits as DuckDB SQL over the expression text."""
     low = f"lower({text})"

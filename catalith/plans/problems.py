@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.functions.hashes import digits_sql, hash_digits, hash_key
+from catalith.functions.hashes import digits_sql, has_digits, hash_digits, hash_key, known_key
 from catalith.functions.times import utc_month
 from catalith.operators.diff import diff_cells
 from catalith.operators.nested import JOURNAL, files_of_entries, schema_graph, shred, table_of
@@ -60,14 +60,14 @@ def _bad(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda name, *columns: table(spark, sf, name, *columns)
     packages = t("packages", "id", "received_at").groupBy("id").agg(F.min("received_at").alias("at"))
     lit = lambda name: F.lit(name).alias("ref")
-    files = t("package_files", "id", "package_id", "blob_hash").select(F.col("id").alias("record_id"), "package_id", digest_ref(hash_key(F.col("blob_hash"))).alias("key"))
+    files = t("package_files", "id", "package_id", "blob_hash").where(has_digits(F.col("blob_hash"))).select(F.col("id").alias("record_id"), "package_id", digest_ref(known_key(F.col("blob_hash"))).alias("key"))
     of_files = files.join(packages, files["package_id"] == packages["id"], "left").select(lit("package_files.blob_hash"), "record_id", "key", "at")
     lines = t("journal", "received_at", "files").select(F.col("received_at").try_cast("timestamp").alias("at"), F.explode("files").alias("f"))
-    of_lines = lines.where(F.col("f").isNotNull()).select(lit("journal.files.blob_hash"), F.col("f.file_id").alias("record_id"), digest_ref(hash_key(F.col("f.blob_hash"))).alias("key"), "at")
+    of_lines = lines.where(has_digits(F.col("f.blob_hash"))).select(lit("journal.files.blob_hash"), F.col("f.file_id").alias("record_id"), digest_ref(known_key(F.col("f.blob_hash"))).alias("key"), "at")
     of_packages = t("packages", "id", "received_at", "canonical_package_id").select(lit("packages.canonical_package_id"), F.col("id").alias("record_id"), number_ref(F.col("canonical_package_id")).alias("key"), F.col("received_at").alias("at"))
     refs = of_files.unionByName(of_lines).unionByName(of_packages)
     keys = files.select("key").unionByName(of_lines.select("key")).unionByName(of_packages.select("key"))
-    parents = t("content_blobs", "content_hash", "first_seen_at").select(digest_ref(hash_key(F.col("content_hash"))).alias("key"), F.col("first_seen_at").alias("seen")).unionByName(
+    parents = t("content_blobs", "content_hash", "first_seen_at").where(has_digits(F.col("content_hash"))).select(digest_ref(known_key(F.col("content_hash"))).alias("key"), F.col("first_seen_at").alias("seen")).unionByName(
         t("packages", "id", "received_at").select(number_ref(F.col("id")).alias("key"), F.col("received_at").alias("seen"))
     )
     gone = t("removals").select(
