@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.functions.hashes import binary_key, digits_sql, hash_key
+from catalith.functions.hashes import binary_key, digits_sql, has_digits, hash_key, known_key
 from catalith.functions.times import day_number
 from catalith.llm.distinct import ALL, BOTH, FIRST, SECOND, distinct_sketches, estimates, merge_sketches
 from catalith.llm.encoding import count_tokens, encode_texts
@@ -19,7 +19,7 @@ from catalith.tables import table
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     packages = table(spark, sf, "packages", "id", "package_hash").select("id", hash_key(F.col("package_hash")).alias("key"))
     files = table(spark, sf, "package_files", "package_id", "blob_hash", "role")
-    members = files.where(F.col("role") == "member").select("package_id", fingerprint(hash_key(F.col("blob_hash"))).alias("item"))
+    members = files.where((F.col("role") == "member") & has_digits(F.col("blob_hash"))).select("package_id", fingerprint(known_key(F.col("blob_hash"))).alias("item"))
     return history_duplicates(packages, table(spark, sf, "intake_batches", "package_id", "batch_no"), members, files.count())
 
 
@@ -27,8 +27,9 @@ def _uploads(spark: SparkSession, sf: str) -> DataFrame:
     """The blobs of all package files with the day and supplier of their package, where it is known."""
     packages = table(spark, sf, "packages", "id", "supplier_id", "received_at").groupBy("id").agg(F.min("supplier_id").alias("supplier_id"), F.min("received_at").alias("received_at"))
     packages = packages.select("id", "supplier_id", day_number(F.col("received_at")).alias("day"))
-    files = table(spark, sf, "package_files", "package_id", "blob_hash").select("package_id", fingerprint(hash_key(F.col("blob_hash"))).alias("fp"))
-    return files.where(F.col("fp").isNotNull()).join(packages, F.col("package_id") == F.col("id"), "left")
+    files = table(spark, sf, "package_files", "package_id", "blob_hash").where(has_digits(F.col("blob_hash")))
+    files = files.select("package_id", fingerprint(known_key(F.col("blob_hash"))).alias("fp"))
+    return files.join(packages, F.col("package_id") == F.col("id"), "left")
 
 
 def _named(counts: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def p6_months(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _keys(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    known = table(spark, sf, "content_blobs", "content_hash").select(hash_key(F.col("content_hash")).alias("key"))
+    known = table(spark, sf, "content_blobs", "content_hash").where(has_digits(F.col("content_hash"))).select(known_key(F.col("content_hash")).alias("key"))
     return known, table(spark, sf, "segment_index", "entry_no", "hash").select("entry_no", binary_key(F.col("hash")).alias("key"))
 
 
