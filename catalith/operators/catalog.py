@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalith.functions.hashes import hash_digits
+from catalith.functions.hashes import has_digits, hash_digits, known_digits
 
 
 def clean(df: DataFrame, *hashes: str) -> DataFrame:
@@ -18,11 +18,17 @@ def clean(df: DataFrame, *hashes: str) -> DataFrame:
     return df.withColumns({h: hash_digits(F.col(h)) for h in hashes}).distinct()
 
 
+def named(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows of df, without repeats and with only these columns, whose blob_hash names a blob, as digits that are never null."""
+    rows = df.where(has_digits(F.col("blob_hash"))).select(*columns, known_digits(F.col("blob_hash")).alias("blob_hash"))
+    return rows.distinct()
+
+
 def blobs(df: DataFrame) -> DataFrame:
     """One row for each content_hash: of rows written differently the one seen first (then placed first)."""
     rest = [c for c in df.columns if c != "content_hash"]
     order = F.struct(F.col("first_seen_at").isNull(), "first_seen_at", "segment_id", "offset")
-    keyed = df.select(hash_digits(F.col("content_hash")).alias("content_hash"), F.struct(*rest).alias("row"), order.alias("order")).where(F.col("content_hash").isNotNull())
+    keyed = df.where(has_digits(F.col("content_hash"))).select(known_digits(F.col("content_hash")).alias("content_hash"), F.struct(*rest).alias("row"), order.alias("order"))
     return keyed.groupBy("content_hash").agg(F.min_by("row", "order").alias("row")).select("content_hash", "row.*")
 
 
@@ -33,7 +39,8 @@ def canonical_packages(packages: DataFrame) -> DataFrame:
     a third of all rows is split by the skew join.
     """
     slim = packages.select("id", hash_digits(F.col("package_hash")).alias("package_hash")).where(F.col("id").isNotNull()).distinct()
-    first = slim.where(F.col("package_hash").isNotNull()).groupBy(F.col("package_hash").alias("h")).agg(F.min("id").alias("first"))
+    hashed = packages.where(F.col("id").isNotNull() & has_digits(F.col("package_hash")))
+    first = hashed.groupBy(known_digits(F.col("package_hash")).alias("h")).agg(F.min("id").alias("first"))
     joined = slim.join(first, slim["package_hash"] == first["h"], "left")
     canonical = F.coalesce("first", "id")
     return joined.select("id", "package_hash", canonical.alias("canonical_id"), (canonical != F.col("id")).alias("is_clone"))
@@ -41,7 +48,7 @@ def canonical_packages(packages: DataFrame) -> DataFrame:
 
 def reference_counts(files: DataFrame) -> DataFrame:
     """blob_hash, cnt: how many file rows name each blob."""
-    return clean(files.select("id", "blob_hash"), "blob_hash").where(F.col("blob_hash").isNotNull()).groupBy("blob_hash").agg(F.count("*").alias("cnt"))
+    return named(files, "id").groupBy("blob_hash").agg(F.count("*").alias("cnt"))
 
 
 def recompute_refcounts(content: DataFrame, files: DataFrame) -> DataFrame:
@@ -53,7 +60,7 @@ def recompute_refcounts(content: DataFrame, files: DataFrame) -> DataFrame:
 
 def files_with_blobs(files: DataFrame, content: DataFrame) -> DataFrame:
     """The files whose blob is known, with its size and place (inner join)."""
-    f = clean(files.select("id", "package_id", "blob_hash", "role", "original_filename", "sequence_number"), "blob_hash")
+    f = named(files, "id", "package_id", "role", "original_filename", "sequence_number")
     b = blobs(content).select("content_hash", "size", "stored_size", "segment_id", "offset")
     return f.join(b, f["blob_hash"] == b["content_hash"]).drop("content_hash")
 
@@ -99,7 +106,7 @@ def ingest_counters(packages: DataFrame, files: DataFrame) -> DataFrame:
     A reference is new if its file id is the least that names the blob. Of a package that repeats an earlier one all
     files count as duplicates.
     """
-    f = clean(files.select("id", "package_id", "blob_hash"), "blob_hash").where(F.col("blob_hash").isNotNull())
+    f = named(files, "id", "package_id")
     first = f.groupBy("blob_hash").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("is_first"))
     counted = f.join(first, "id", "left").groupBy("package_id").agg(F.count_if(F.col("is_first")).alias("new"), F.count_if(F.col("is_first").isNull()).alias("dup"))
     head = packages.select("id", "supplier_id", "received_at", "file_count").distinct()

@@ -183,7 +183,7 @@ def blob_lookup(spark, sf):
 @_query(f"WITH {_B}, {_F} SELECT DISTINCT f.h AS blob_hash FROM f WHERE h IS NOT NULL AND h NOT IN (SELECT h FROM b)")
 def new_vs_existing_blobs(spark, sf):
     """The hashes that files name and the catalog lacks."""
-    named = C.clean(_files(spark, sf).select("blob_hash"), "blob_hash").where(F.col("blob_hash").isNotNull())
+    named = C.named(_files(spark, sf))
     b = C.blobs(_content(spark, sf)).select("content_hash")
     return named.join(b, named["blob_hash"] == b["content_hash"], "left_anti")
 
