@@ -105,7 +105,7 @@ def mix_sources(
 ) -> DataFrame:
     """The documents drawn: doc, source, n_tokens, copies (how often each is used, at least once).
 
-    targets: source STRING, target_share DOUBLE, max_repeats INT, a small table. Of several rows of a source the
+    targets: source STRING, target_share DOUBLE, max_repeats INT, a small table that the driver reads. Of several rows of a source the
     greatest share and the least repeats hold; null, negative or zero shares and repeats mean none. A document takes
     part if its source has a target; one of null, empty or other source, without tokens or with a null key is not
     drawn. Sources are compared exactly.
@@ -122,7 +122,7 @@ def mix_sources(
     so that the others can make up for their rounding; the result is the same in every run.
     """
     spark = df.sparkSession
-    wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("share"), F.min("max_repeats").alias("repeats")).limit(10_000).collect()
+    wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("share"), F.min("max_repeats").alias("repeats")).collect()
     shares = {r["source"]: max(0.0, r["share"] or 0.0) for r in wanted}
     repeats = {r["source"]: max(0, r["repeats"] or 0) for r in wanted}
     names = [s for s in shares if shares[s] > 0 and repeats[s] > 0]
