@@ -11,7 +11,6 @@ from catalith.functions.arrays import longs, one
 from catalith.session import cut
 
 _U = np.uint64
-_CHUNK = 1_000_000
 #: An odd multiplier of the rolling hash and its inverse modulo 2 ** 64.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -71,22 +70,47 @@ def _later_least(hashes: np.ndarray, best: np.ndarray, step: int) -> np.ndarray:
     return np.where(hashes[b] <= hashes[a], b, a)
 
 
-def _anchor_rows(gram: int, window: int):
-    def flush(ids, texts) -> pa.RecordBatch:
+def _anchor_rows(gram: int, window: int, chunk: int):
+    def flush(ids, since, texts) -> pa.RecordBatch:
         raw = "".join(texts).encode("utf-32-le", "surrogatepass")
         ends = np.cumsum([len(t) for t in texts])
         text, place, hashes = anchors(np.frombuffer(raw, np.uint32), ends, gram, window)
-        return pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(place), pa.array(hashes.view(np.int64))], names=["doc", "place", "gram"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(place + since[text]), pa.array(hashes.view(np.int64))], names=["doc", "place", "gram"])
 
     def run(batches):
+        ids, since, parts, held = [], [], [], 0
         for batch in batches:
-            ids = longs(batch.column(0))[0]
-            texts, since, held = batch.column(1).to_pylist(), 0, 0
-            for i, text in enumerate(texts, 1):
-                held += len(text)
-                if held >= _CHUNK or i == len(texts):
-                    yield flush(ids[since:i], texts[since:i])
-                    since, held = i, 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for at in range(0, len(text), chunk):  # parts overlap, so that every window lies in one
+                    part = text[at : at + chunk + gram + window - 2]
+                    ids.append(doc), since.append(at), parts.append(part)
+                    held += len(part)
+                    if held >= chunk:
+                        yield flush(np.array(ids), np.array(since), parts)
+                        ids, since, parts, held = [], [], [], 0
+        if parts:
+            yield flush(np.array(ids), np.array(since), parts)
+
+    return run
+
+
+def _around(gram: int, side: int):
+    """Cuts the surroundings of the places listed with each text."""
+    names = ["hi", "lo", "gram", "place", "left", "right"]
+
+    def run(batches):
+        rows: list[tuple] = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()] * 2)], names=names)
+        for batch in batches:
+            for hi, lo, text, at in zip(*(c.to_pylist() for c in batch.columns)):
+                for x in at:
+                    p = x["place"]
+                    rows.append((hi, lo, x["gram"], p, text[max(0, p - side) : p], text[p : p + gram + side]))
+                    if len(rows) >= 50_000:
+                        yield pack()
+                        rows = []
+        if rows:
+            yield pack()
 
     return run
 
@@ -153,10 +177,11 @@ class SharedSpans:
     dropped after a count by gram that is folded before the shuffle. Equal surroundings are compared once, however many
     texts have them, and pairs are dealt out by salts in proportion to their number. A gram with more than most_kinds
     different surroundings is cut into finer blocks first, so that a common phrase shorter than a span brings no pairs.
+    Texts are read chunk characters at a time, whatever their length.
     """
 
-    def __init__(self, df: DataFrame, key: str, text: str, span: int = 160, gram: int = 48, most_kinds: int = 500):
-        self.most_kinds = most_kinds
+    def __init__(self, df: DataFrame, key: str, text: str, span: int = 160, gram: int = 48, most_kinds: int = 500, chunk: int = 1_000_000):
+        self.most_kinds, self.chunk = most_kinds, chunk
         self.span, self.gram, self.window = span, gram, span - gram + 1
         long_ = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.char_length(text) >= span))
         self.docs = long_.select("doc", F.xxhash64("text").alias("hi"), F.xxhash64(F.lit(17), "text").alias("lo"), "text")
@@ -167,17 +192,13 @@ class SharedSpans:
         """hi, lo (the text), gram, place, left, right, ctx: the anchors whose gram stands in several texts, and their surroundings."""
         if self._places is None:
             w, g = self.window - 1, self.gram
-            found = cut(self.docs.select("doc", "text").mapInArrow(_anchor_rows(g, self.window), "doc long, place long, gram long"))
+            found = cut(self.docs.select("doc", "text").mapInArrow(_anchor_rows(g, self.window, self.chunk), "doc long, place long, gram long"))
             several = found.groupBy("gram").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where(F.col("x") != F.col("y")).select("gram")
             kept = found.join(several, "gram")
-            near = kept.join(self.docs, "doc").select(
-                "hi",
-                "lo",
-                "gram",
-                "place",
-                F.substring("text", F.greatest(F.col("place") - w, F.lit(0)).cast("int") + 1, F.least(F.col("place"), F.lit(w)).cast("int")).alias("left"),
-                F.substring("text", F.col("place").cast("int") + 1, F.lit(g + w)).alias("right"),
-            )
+            # a text's places, a few for each hundred characters, go with it as one list
+            at = kept.groupBy("doc").agg(F.collect_list(F.struct("place", "gram")).alias("at"))
+            near = self.docs.join(at, "doc").select("hi", "lo", "text", "at")
+            near = near.mapInArrow(_around(g, w), "hi long, lo long, gram long, place long, left string, right string")
             self._places = cut(near.withColumn("ctx", F.xxhash64("left", F.lit(0), "right")).distinct())
         return self._places
 
