@@ -331,7 +331,7 @@ def ingest_pipeline(spark, sf):
 
     d = table(spark, sf, "documents", "doc_id", "author_id", "text")
     uploads = d.select(F.col("doc_id").alias("id"), F.col("author_id").alias("supplier"), F.col("text").alias("body"))
-    return ingest_batch(uploads, None, any_text=True).select(F.col("id").alias("doc_id"), "supplier_id", "package_hash", "canonical_id", "is_clone")
+    return ingest_batch(uploads, None, any_text=True, max_bytes=None).select(F.col("id").alias("doc_id"), "supplier_id", "package_hash", "canonical_id", "is_clone")
 
 
 @_query(f"""WITH j AS (SELECT package_id, arg_max(line_no, line_no) AS line_no FROM journal WHERE package_id IS NOT NULL GROUP BY 1),

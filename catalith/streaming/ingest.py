@@ -12,16 +12,18 @@ from catalith.operators.payloads import validate_uploads
 from catalith.session import shared_dir
 
 
-def ingest_batch(uploads: DataFrame, stored: DataFrame | None, any_text: bool = False, max_bytes: int = 16 << 20) -> DataFrame:
+def ingest_batch(uploads: DataFrame, stored: DataFrame | None, any_text: bool = False, max_bytes: int | None = 16 << 20, any_size: bool = False) -> DataFrame:
     """id, supplier_id, payload_type, n_bytes, package_hash, canonical_id, is_clone of the accepted uploads of a batch.
 
     uploads: id BIGINT, supplier, body STRING. stored: package_hash, canonical_id of what was taken in before (None:
     nothing), one row a hash. The first upload with the same bytes, stored ones before those of the batch and lower ids
-    before higher, stands for all. any_text also accepts bodies that are neither XML nor an archive. A body is hashed
+    before higher, stands for all. any_text also accepts bodies that are neither XML nor an archive, any_size also those
+    that are empty, too small or too large, of whatever kind (a null body is none and never accepted). A body is hashed
     where it is read; only its hash is shuffled.
     """
     checked = validate_uploads(uploads, "supplier", "body", max_bytes)
-    fine = F.col("reason").isNull() | (F.lit(any_text) & (F.col("reason") == "unsupported"))
+    lifted = ["unsupported"] * any_text + ["empty", "too_small", "too_large"] * any_size
+    fine = F.col("body").isNotNull() & (F.col("reason").isNull() | F.col("reason").isin(lifted))
     rows = checked.where(fine & F.col("id").isNotNull()).select("id", "supplier_id", "payload_type", "n_bytes", F.sha2(F.encode("body", "utf-8"), 256).alias("package_hash"))
     first = rows.groupBy("package_hash").agg(F.min("id").alias("first"))
     if stored is not None:
@@ -30,7 +32,7 @@ def ingest_batch(uploads: DataFrame, stored: DataFrame | None, any_text: bool =
     return rows.join(first, "package_hash").select("id", "supplier_id", "payload_type", "n_bytes", "package_hash", canonical.alias("canonical_id"), (canonical != F.col("id")).alias("is_clone"))
 
 
-def ingest_stream(uploads: DataFrame, table_path: str, checkpoint: str, any_text: bool = False) -> StreamingQuery:
+def ingest_stream(uploads: DataFrame, table_path: str, checkpoint: str, any_text: bool = False, any_size: bool = False) -> StreamingQuery:
     """A stream of uploads taken in batch by batch into the Parquet table at table_path, until the source is read to its end.
 
     Every batch is led back to what the table holds; only its hashes are read. A batch is written under its number and
@@ -44,13 +46,16 @@ def ingest_stream(uploads: DataFrame, table_path: str, checkpoint: str, any_text
         if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
             earlier = spark.read.option("basePath", table_path).schema("package_hash string, canonical_id long, batch long").parquet(table_path)
             stored = earlier.where(F.col("batch") < number).groupBy("package_hash").agg(F.min("canonical_id").alias("canonical_id"))
-        ingest_batch(batch, stored, any_text).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        ingest_batch(batch, stored, any_text, any_size=any_size).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
 
     return uploads.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_first_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, package_hash: the first document of each text, by a stream over the table into a table in the shared folder."""
+    """doc_id, package_hash: the first document of each text, by a stream over the table into a table in the shared folder.
+
+    Texts of any size count, the empty one too; documents whose doc_id or text is null take no part.
+    """
     schema = "doc_id BIGINT, text STRING"
     path = f"{sf_dir}/documents.parquet"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,6 +63,6 @@ def stream_first_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(schema).parquet(path) if folder else spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     uploads = source.select(F.col("doc_id").alias("id"), F.lit("1").alias("supplier"), F.col("text").alias("body"))
     own = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    ingest_stream(uploads, f"{own}/table", f"{own}/log", any_text=True).awaitTermination()
+    ingest_stream(uploads, f"{own}/table", f"{own}/log", any_text=True, any_size=True).awaitTermination()
     taken = spark.read.parquet(f"{own}/table")
     return taken.where(~F.col("is_clone")).select(F.col("id").alias("doc_id"), "package_hash")

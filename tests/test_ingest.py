@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalith.operators.rebuild import rebuild
+from catalith.plans.storage import ingest_pipeline, stream_dedup
 from catalith.sources.journal import ENTRY
 from catalith.streaming.ingest import ingest_batch, ingest_stream
 
@@ -26,6 +27,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r["id"], r["canonical_id"], r["is_clone"]) for r in taken.collect()} == want
 
 
+def test_texts_of_any_size(spark, tmp_path):
+    texts = ["", "", "4", "42", "42", "No.", " ", "\u3000", "é", "plain", "plain", "<a/>", "PK", None, None]
+    df = spark.createDataFrame([(100 - i, 7, t) for i, t in enumerate(texts)], "doc_id long, author_id long, text string")
+    # longer than an upload may be, equal but for the last character
+    long_ = spark.range(200, 204).select(F.col("id").alias("doc_id"), F.lit(7).cast("long").alias("author_id"), F.concat(F.repeat(F.lit("a"), 16 << 20), (F.col("id") % 2).cast("string")).alias("text"))
+    df.unionByName(long_).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    first = docs.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    want = {tuple(r) for r in first.select("doc_id", F.sha2(F.col("text").cast("binary"), 256)).collect()}
+    got = [tuple(r) for r in stream_dedup(spark, str(tmp_path)).collect()]
+    assert len(want) == 12 and len(got) == len(set(got)) and set(got) == want
+    # uploads must have 4 bytes, as the query's SQL says, and may have any number of them
+    assert {r["doc_id"] for r in ingest_pipeline(spark, str(tmp_path)).collect()} == {89, 90, 91, 200, 201, 202, 203}
+
+
 def test_rebuild(spark):
     h = "ab" * 32
     files = [{"file_id": 2001, "blob_hash": h, "role": "original", "original_filename": None, "sequence_number": None}]
