@@ -223,14 +223,19 @@ class SharedSpans:
         text = F.concat(F.substring("left", F.char_length("left") - before + 1, before), F.substring("right", F.lit(1), g + after))
         return cut_up.withColumn("block", F.xxhash64("i", text))
 
-    def _compared(self, kinds: DataFrame, on: list[str], step: int) -> DataFrame:
-        """gram, ctx_a, ctx_b, before, after: the pairs of kinds, equal in on, that share a stretch."""
+    def _compared(self, kinds: DataFrame, on: list[str], step: int, apart: bool = False) -> DataFrame:
+        """gram, ctx_a, ctx_b, before, after: the pairs of kinds, equal in on, that share a stretch.
+
+        apart: without the pairs whose two kinds stand in one and the same text only.
+        """
         sizes = kinds.groupBy(*on).agg(F.count("*").alias("size")).where(F.col("size") > 1).select(*on, F.ceil(F.col("size") / 500).cast("int").alias("salts"))
         kinds = kinds.join(sizes, on)
-        side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("ctx", "left", "right")]
+        side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("ctx", "left", "right", *["least", "most"] * apart)]
         a = kinds.select(*on, F.pmod(F.col("ctx"), F.col("salts").cast("long")).cast("int").alias("salt"), *side("a"))
         b = kinds.select(*on, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *side("b"))
         pairs = a.join(b, [*on, "salt"]).where(F.col("ctx_a") < F.col("ctx_b")).drop("salt")
+        if apart:
+            pairs = pairs.where(F.least("least_a", "least_b") != F.greatest("most_a", "most_b")).drop("least_a", "least_b", "most_a", "most_b")
         g, w, span = self.gram, self.window, self.span
         blocks = "i" in on
 
@@ -246,8 +251,8 @@ class SharedSpans:
 
         return pairs.mapInArrow(run, "gram long, ctx_a long, ctx_b long, before long, after long")
 
-    def _few(self) -> DataFrame:
-        return self._compared(self._kinds().where(F.col("n") <= self.most_kinds), ["gram"], 1)
+    def _few(self, apart: bool = False) -> DataFrame:
+        return self._compared(self._kinds().where(F.col("n") <= self.most_kinds), ["gram"], 1, apart)
 
     def matches(self) -> DataFrame:
         """gram, ctx_a, ctx_b, before, after: surroundings that share a stretch, and how far they agree around the gram.
@@ -262,11 +267,11 @@ class SharedSpans:
         return self._matches
 
     def reach(self) -> DataFrame:
-        """gram, ctx, before, after: how far around its gram the text of a kind is shared with another kind.
+        """gram, ctx, before, after: how far around its gram the text of a kind is shared with another kind in another text.
 
         Surroundings of a gram that has many are not paired for this: each of their stretches is looked up among all.
         """
-        few = self._few()
+        few = self._few(apart=True)
         near = few.select("gram", F.col("ctx_a").alias("ctx"), "before", "after").unionByName(few.select("gram", F.col("ctx_b").alias("ctx"), "before", "after"))
         many = self._windows(self._kinds().where(F.col("n") > self.most_kinds), 1).select("gram", "ctx", "i", "block", "least", "most")
         shared = many.groupBy("gram", "i", "block").agg(F.min("least").alias("x"), F.max("most").alias("y")).where(F.col("x") != F.col("y")).select("gram", "i", "block")

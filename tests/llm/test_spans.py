@@ -54,6 +54,20 @@ def test_bounds_of_the_span(spark):
     assert run(spark, docs, 160, 48) == ({(1, 2), (1, 5), (2, 5)}, {1: 160, 2: 160, 3: 0, 4: 0, 5: 160})
 
 
+@pytest.mark.parametrize("most_kinds", [500, 2])
+def test_a_span_repeated_within_one_text_only(spark, most_kinds):
+    rnd = random.Random(7)
+    t = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    own, common = t(40), t(40)
+    docs = [(1, own + t(30) + own + t(30) + common), (2, t(9) + common), (3, common + t(5) + common)]
+    # parts of the repeated span, shorter than a span, stand in other texts too
+    docs += [(10 + i, f"{t(25)}#{own[i : i + 19]}#{t(25)}") for i in range(22)]
+    want = brute(docs, 20)
+    assert want[1][1] == 40 and run(spark, docs, 20, 8, most_kinds) == want
+    docs.append((4, t(20) + own[:25] + t(30) + own[:25]))
+    assert run(spark, docs, 20, 8, most_kinds) == brute(docs, 20)
+
+
 def test_runs_periods_and_a_hot_text(spark):
     docs = [(i, "a" * n) for i, n in enumerate((5, 30, 31, 500))] + [(10, "ab" * 200), (11, "ba" * 100)] + [(20 + i, "the same text in very many rows") for i in range(12)]
     assert run(spark, docs, 20, 8) == brute(docs, 20)
