@@ -2,111 +2,233 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalith.functions.arrays import longs, one
 from catalith.session import cut
 
+_U = np.uint64
 #: A set of a members and one of b with i in common are near duplicates if i / (a + b - i) >= 0.7. As sequences in one
 #: order their edit distance (insertions and deletions) is a + b - 2 i, so that is at most 3 (a + b) / 17.
 _NUM, _DEN = 3, 17
 _SALTS = 16
-#: Sets of more items than this are indexed by the single items of their beginning.
-LONG = 100
+#: Sets are indexed in parts of at most about this many items.
+_PART = 32
+#: Rows a task turns into entries or probes at a time, counted in items.
+_CHUNK = 200_000
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def ordered_sets(members: DataFrame, owner: str, item: Column, rows: int, hot_parts: int = 20_000) -> DataFrame:
-    """owner, items ARRAY<BIGINT>: the distinct items (64 bits each) of each owner, in one order for all sets.
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers (the splitmix64 finaliser; its constants are fixed values)."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
-    Items that stand in more than 1 / hot_parts of all rows come last, the most frequent at the very end, so that no
-    segment consists of a hot item alone; there are at most hot_parts of them, which bounds what is broadcast. Rows
-    with a null item are left out, and an owner that has no other is not returned. rows: at least the rows of members.
+
+def hot_items(members: DataFrame, item: Column, rows: int, hot_parts: int = 20_000) -> DataFrame:
+    """item, rank: the items that stand in more than 1 / hot_parts of all rows, at most hot_parts of them. rows: at least the rows of members."""
+    counts = members.select(item.alias("item")).where(F.col("item").isNotNull()).groupBy("item").agg(F.count("*").alias("rank"))
+    return counts.where(F.col("rank") > max(2, rows // hot_parts))
+
+
+def ordered_sets(members: DataFrame, owner: str, item: Column, hot: DataFrame) -> DataFrame:
+    """owner, items ARRAY<BIGINT>, hot INT: the distinct items (64 bits each) of each owner, in one order for all sets.
+
+    Items in hot (bounded as of hot_items, so broadcast) stand at the end, the most frequent last; hot is their number
+    in the set. Rows with a null item are left out, and an owner that has no other is not returned.
     """
     slim = members.select(F.col(owner).alias("owner"), item.alias("item")).where(F.col("owner").isNotNull() & F.col("item").isNotNull())
-    hot = slim.groupBy("item").count().where(F.col("count") > max(2, rows // hot_parts))
-    ranked = slim.join(F.broadcast(hot), "item", "left").select("owner", F.struct(F.coalesce("count", F.lit(0)).alias("rank"), "item").alias("x"))
+    ranked = slim.join(F.broadcast(hot), "item", "left").select("owner", F.struct(F.coalesce("rank", F.lit(0).cast("long")).alias("rank"), "item").alias("x"))
     sets = ranked.groupBy("owner").agg(F.sort_array(F.collect_set("x")).alias("x"))
-    return sets.select(F.col("owner").alias(owner), F.transform("x", lambda x: x["item"]).alias("items"))
+    return sets.select(F.col("owner").alias(owner), F.transform("x", lambda x: x["item"]).alias("items"), F.size(F.filter("x", lambda x: x["rank"] > 0)).alias("hot"))
 
 
-def _segments(size: Column) -> Column:
-    """Into how many segments a stored set of this size is cut: one more than the edits to the longest set it can resemble."""
-    return F.floor(_NUM * (size + F.floor(size * 10 / 7)) / _DEN).cast("int") + 1
+def _edits(a, b):
+    """The most edits between near duplicates of a and b items."""
+    return _NUM * (a + b) // _DEN
 
 
-def _start(k: Column, size: Column, parts: Column) -> Column:
-    short = F.floor(size / parts).cast("int")
-    return k * short + F.greatest(F.lit(0), k - (parts - size % parts))
+def _segments(size):
+    """Into how many segments a stored part is cut: one more than the edits to the longest part it can resemble."""
+    return _edits(size, size * 10 // 7) + 1
 
 
-def _length(k: Column, size: Column, parts: Column) -> Column:
-    return F.floor(size / parts).cast("int") + (k >= parts - size % parts).cast("int")
+def _parts_of(size: np.ndarray) -> np.ndarray:
+    """Into how many parts a set of this size is dealt: a power of two."""
+    return 1 << np.ceil(np.log2(np.maximum(1, size / _PART))).astype(np.int64)
 
 
-def _segment_key(size: Column, k: Column, items: Column, at: Column, length: Column) -> Column:
-    return F.xxhash64(size, k, F.slice(items, at + 1, length))
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts[i] rows each: i and the number within i."""
+    at = np.repeat(np.arange(len(counts)), counts)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _beginning(sets: DataFrame, set_id: str, to: str) -> DataFrame:
-    """seg and the set's id for the items of a set's beginning: of two sets with 0.7 of the union in common, one of these is the same."""
-    size = F.size("items")
-    first = F.slice("items", F.lit(1), size - F.ceil(size * 7 / 10).cast("int") + 1)
-    return sets.select(F.col(set_id).alias(to), F.explode(first).alias("item")).select(F.xxhash64(F.lit(0), "item").alias("seg"), to)
+class _Parts:
+    """The parts of some sets: owner (row of the set), first (place in items), n (items) and rare (those that are not hot).
 
+    An item's part depends on the item and on the number of parts alone. Within a part items keep the sets' order.
+    """
 
-def segment_entries(sets: DataFrame, set_id: str = "sid") -> DataFrame:
-    """The index entries of stored sets: seg BIGINT (hash of size, position and items of a segment) and the set's id.
-
-    A set of a given size is always cut into the same number of segments at the same places. For sets of more than
-    LONG items, whose probes would grow with the cube of the size, the segments are the single items of the set's
-    beginning in the common order, and their position is left out. An index grows by appending the entries of new
-    sets; nothing stored changes.
+    def __init__(self, items: np.ndarray, sizes: np.ndarray, hot: np.ndarray, parts: np.ndarray):
+        row, at = _spread(sizes)
+        part = (_mix(items.view(_U)) >> _U(7)).astype(np.int64) & (parts[row] - 1)
+        is_hot = at >= (sizes - hot)[row]
+        by = np.lexsort((at, part, row))
+        row, part, is_hot, items = row[by], part[by], is_hot[by], items[by]
+        self.first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])]) if len(row) else np.empty(0, np.int64)
+        self.owner = row[self.first]
+        self.n = np.diff(np.r_[self.first, len(row)])
+        self.rare = self.n - (np.add.reduceat(is_hot.astype(np.int64), self.first) if len(row) else 0)
+        self.parts = parts[self.owner]
+        up = np.full(len(items) + 1, _BASE, _U)
+        up[0] = 1
+        up = np.cumprod(up)
+        down = np.full(len(items) + 1, _INVERSE, _U)
+        down[0] = 1
+        self._down = np.cumprod(down)
+        self._sums = np.r_[_U(0), np.cumsum(_mix(items.view(_U) + _U(1)) * up[:-1])]
+
+    def keys(self, part: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """64 bits of the length items from place at of parts, and of the number of parts."""
+        start = self.first[part] + at
+        slices = (self._sums[start + length] - self._sums[start]) * self._down[start]
+        return _mix(_mix(slices ^ _mix(length.astype(_U))) + self.parts[part].astype(_U)).view(np.int64)
+
+
+def _even(k: np.ndarray, size: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the k-th of the even parts of size, the longer ones last."""
+    short, longer = size // parts, size % parts
+    over = np.maximum(0, k - (parts - longer))
+    return k * short + over, short + (k >= parts - longer)
+
+
+def _entries_of(p: _Parts):
+    """part, number, start and length of all segments of parts.
+
+    A part of n items is cut into _segments(n) segments, of its rare items alone if there are enough of them, else each
+    rare item is one and the hot items are cut into the rest, which makes these as long as they can be.
+    """
+    want = _segments(p.n)
+    part, k = _spread(want)
+    n, rare, want = p.n[part], p.rare[part], want[part]
+    start, length = _even(k, rare, want)
+    few = rare < want
+    s2, l2 = _even(k - rare, n - rare, np.maximum(1, want - rare))
+    start = np.where(few, np.where(k < rare, k, rare + s2), start)
+    length = np.where(few, np.where(k < rare, 1, l2), length)
+    return part, k, start, length
+
+
+def _probes_of(p: _Parts):
+    """part, start and length of the substrings of new parts that can be a segment of a stored part that resembles them.
+
+    Segments of rare items have at most three: a part of n is cut into more than n / 3 segments. Segments of hot items
+    may be longer; they occur only in parts with fewer rare items than segments, and these cannot resemble one with
+    many more rare items.
+    """
+    found = []
+    for length in (1, 2, 3):
+        part, at = _spread(np.maximum(0, p.rare - length + 1))
+        found.append((part, at, np.full(len(part), length)))
+    longest = p.n * 10 // 7
+    reached = np.flatnonzero((p.rare < _segments(longest) + _edits(p.n, longest)) & (p.n > p.rare))
+    of, at = _spread((p.n - p.rare)[reached])
+    part = reached[of]
+    of, more = _spread((p.n - p.rare)[part] - at)
+    found.append((part[of], p.rare[part[of]] + at[of], more + 1))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+_ENTRIES = "seg long, stored struct<h:bigint,g:bigint>, n int, k int, start int"
+_PROBES = "seg long, probe struct<h:bigint,g:bigint>, b int, at int"
+
+
+def _sliced(batches):
+    """Batches of sets in pieces of at most about _CHUNK items (one set at least): id column, items, sizes, hot."""
+    for batch in batches:
+        ids, lists, hot = batch.column(0), batch.column(1), longs(batch.column(2))[0]
+        sizes = np.diff(np.asarray(lists.offsets))
+        ends, first = np.cumsum(sizes), 0
+        while first < len(sizes):
+            base = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, base + _CHUNK, side="right")))
+            piece = lists.slice(first, last - first)
+            yield ids.slice(first, last - first), longs(piece.flatten())[0], sizes[first:last], hot[first:last]
+            first = last
+
+
+def segment_entries(sets: DataFrame) -> DataFrame:
+    """The index entries of stored sets (sid, items, hot): seg BIGINT (64 bits of a segment's items), stored, n, k, start.
+
+    A set of more than about _PART items is dealt to parts by its items, and each part is indexed as if it were a set:
+    of two near duplicates, some part of one is a near duplicate of that part of the other, as the edits of all parts
+    together are few enough. A part of n items is cut into one segment more than the edits it can need; seg stands for
+    the segment's items, k is its number, start its place. An index grows by appending the entries of new sets;
+    nothing stored changes.
     """
-    k = F.col("k")
-    cut_up = sets.where(F.size("items") <= LONG).select(set_id, "items", F.size("items").alias("n")).withColumn("parts", _segments(F.col("n")))
-    cut_up = cut_up.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    n, parts = F.col("n"), F.col("parts")
-    short = cut_up.select(_segment_key(n, k, F.col("items"), _start(k, n, parts), _length(k, n, parts)).alias("seg"), F.col(set_id).alias("stored"))
-    return short.unionByName(_beginning(sets.where(F.size("items") > LONG), set_id, "stored"))
 
+    def run(batches):
+        for ids, items, sizes, hot in _sliced(batches):
+            p = _Parts(items, sizes, hot, _parts_of(sizes))
+            part, k, start, length = _entries_of(p)
+            owner = ids.take(pa.array(p.owner[part]))
+            yield pa.RecordBatch.from_arrays([pa.array(p.keys(part, start, length)), owner, *(pa.array(x.astype(np.int32)) for x in (p.n[part], k, start))], names=["seg", "stored", "n", "k", "start"])
 
-def segment_probes(sets: DataFrame, set_id: str = "sid") -> DataFrame:
-    """The substrings of new sets under which a near duplicate can be stored: seg BIGINT and the set's id.
+    return sets.select("sid", "items", "hot").mapInArrow(run, _ENTRIES)
 
-    For each size a stored near duplicate can have and each of its segments k, the substrings of that length are
-    taken that start where they can: if the sets differ by few enough edits, some segment is untouched with at most k
-    edits before it and no more after it than segments follow, which bounds how far it can have moved. A set that can
-    resemble one of more than LONG items also brings the items of its beginning.
+
+def segment_probes(sets: DataFrame) -> DataFrame:
+    """The substrings of new sets (sid, items, hot) that can be a segment of a near duplicate: seg, probe, b (items of the part), at.
+
+    A set is dealt to as many parts as each size it can resemble is, at most three different numbers of them. Probes
+    grow with the size of a set, not faster.
     """
-    base = sets.select(set_id, "items", F.size("items").alias("b"))
-    least, most = F.ceil(F.col("b") * 7 / 10).cast("int"), F.least(F.lit(LONG), F.floor(F.col("b") * 10 / 7).cast("int"))
-    base = base.where(least <= most).withColumn("n", F.explode(F.sequence(least, most)))
-    n, b, k, parts = F.col("n"), F.col("b"), F.col("k"), F.col("parts")
-    base = base.withColumn("parts", _segments(n)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    edits, grown, last = F.floor(_NUM * (n + b) / _DEN).cast("int"), b - n, parts - 1
-    base = base.withColumns({"start": _start(k, n, parts), "len": _length(k, n, parts)})
-    low = F.greatest(-k, grown - (last - k), F.ceil((grown - edits) / 2).cast("int"), -F.col("start"))
-    high = F.least(k, grown + (last - k), F.floor((grown + edits) / 2).cast("int"), b - F.col("len") - F.col("start"))
-    base = base.withColumns({"low": low, "high": high}).where(F.col("low") <= F.col("high"))
-    base = base.withColumn("at", F.explode(F.sequence(F.col("start") + F.col("low"), F.col("start") + F.col("high"))))
-    short = base.select(_segment_key(n, k, F.col("items"), F.col("at"), F.col("len")).alias("seg"), F.col(set_id).alias("probe")).distinct()
-    long_ = sets.where(F.floor(F.size("items") * 10 / 7) > LONG)
-    return short.unionByName(_beginning(long_, set_id, "probe"))
-
-
-def near_sets(entries: DataFrame, probes: DataFrame, stored: DataFrame, new: DataFrame, set_id: str = "sid") -> DataFrame:
-    """probe, stored: the pairs of a new and another stored set that differ by few enough edits, each once.
-
-    stored and new hold the ids and items of the sets that entries and probes were made of. No candidate is left out;
-    each is verified by its edit distance, a + b - 2 |common items|.
+
+    def run(batches):
+        for ids, items, sizes, hot in _sliced(batches):
+            least, most = _parts_of(-(-sizes * 7 // 10)), _parts_of(sizes * 10 // 7)
+            for step in (1, 2, 4):
+                tried = np.flatnonzero(least * step <= most)
+                if not len(tried):
+                    break
+                within = np.repeat(least * step <= most, sizes)
+                p = _Parts(items[within], sizes[tried], hot[tried], least[tried] * step)
+                part, at, length = _probes_of(p)
+                owner = ids.take(pa.array(tried[p.owner[part]]))
+                yield pa.RecordBatch.from_arrays([pa.array(p.keys(part, at, length)), owner, *(pa.array(x.astype(np.int32)) for x in (p.n[part], at))], names=["seg", "probe", "b", "at"])
+
+    return sets.select("sid", "items", "hot").mapInArrow(run, _PROBES)
+
+
+def candidates(entries: DataFrame, probes: DataFrame) -> DataFrame:
+    """probe, stored: the pairs of a new and another stored set that share a segment, each once.
+
+    Sizes must fit, and a segment can have moved by no more places than segments stand before it: if the parts
+    differ by few enough edits, some segment is untouched with exactly as many edits before it.
     """
-    pairs = entries.join(probes, "seg").where(F.col("probe") != F.col("stored")).select("probe", "stored").distinct()
-    a = new.select(F.col(set_id).alias("probe"), F.col("items").alias("x"))
-    b = stored.select(F.col(set_id).alias("stored"), F.col("items").alias("y"))
-    both = pairs.join(a, "probe").join(b, "stored")
+    n, b = F.col("n"), F.col("b")
+    fits = (n * 10 >= b * 7) & (b * 10 >= n * 7) & (F.abs(F.col("at") - F.col("start")) <= F.col("k"))
+    return entries.join(probes, "seg").where(fits & (F.col("probe") != F.col("stored"))).select("probe", "stored").distinct()
+
+
+def verified(pairs: DataFrame, stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The pairs whose edit distance, a + b - 2 |common items|, is small enough; stored and new have sid and items."""
+    a = new.select(F.col("sid").alias("probe"), F.col("items").alias("x"))
+    b = stored.select(F.col("sid").alias("stored"), F.col("items").alias("y"))
     sizes = F.size("x") + F.size("y")
     edits = sizes - 2 * F.size(F.array_intersect("x", "y"))
-    return both.where(edits * _DEN <= sizes * _NUM).select("probe", "stored")
+    return pairs.join(a, "probe").join(b, "stored").where(edits * _DEN <= sizes * _NUM).select("probe", "stored")
+
+
+def near_sets(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """probe, stored: the pairs of a new and another stored set (sid, items, hot) that are near duplicates. None is left out."""
+    return verified(candidates(segment_entries(stored), segment_probes(new)), stored, new)
 
 
 def _two(*what: Column) -> Column:
@@ -114,20 +236,25 @@ def _two(*what: Column) -> Column:
     return F.struct(F.xxhash64(*what).alias("h"), F.xxhash64(F.lit(17), *what).alias("g"))
 
 
-def _described(packages: DataFrame, numbers: DataFrame, members: DataFrame, member_rows: int) -> DataFrame:
-    """id, batch, kid, sid, items: each package once, with the classes of its hash and of its set."""
+def _described(packages: DataFrame, numbers: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, batch, kid, sid, items, hot: each package once, with the classes of its hash and of its set."""
     ids = packages.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("key").alias("key"))
-    sets = ordered_sets(members, "package_id", F.col("item"), member_rows)
     known = ids.join(numbers, ids["id"] == numbers["package_id"], "left").drop("package_id")
     return known.join(sets, known["id"] == sets["package_id"], "left").select(
         "id",
         F.coalesce("batch_no", F.lit(0)).alias("batch"),
         F.when(F.col("key").isNotNull(), _two(F.lit("key"), F.col("key"))).alias("kid"),
-        F.when(F.col("items").isNotNull(), _two(F.lit("set"), F.col("items"))).alias("sid"),
+        # the set, not the sequence: its order may differ from one index to another
+        F.when(F.col("items").isNotNull(), _two(F.lit("set"), F.sort_array("items"))).alias("sid"),
         "items",
+        "hot",
     )
 
 
+def _numbers(batches: DataFrame) -> DataFrame:
+    return batches.where(F.col("package_id").isNotNull() & F.col("batch_no").isNotNull()).groupBy("package_id").agg(F.min("batch_no").alias("batch_no"))
+
+
 def history_duplicates(packages: DataFrame, batches: DataFrame, members: DataFrame, member_rows: int) -> DataFrame:
     """first_id, package_id: the packages of a batch that repeat an earlier one, and the least id each repeats.
 
@@ -141,18 +268,17 @@ def history_duplicates(packages: DataFrame, batches: DataFrame, members: DataFra
     All packages with the same key, and all with the same set, form one class. Classes, not packages, are compared:
     a class keeps the least id of each batch, so copies never meet in pairs and a class with a third of all packages
     is one row a batch. Sets are looked up in the segment index, which holds each once. The packages of a class are
-    dealt out by a salt when they fetch their answer.
+    dealt out by a salt when they fetch their answer. HistoryIndex gives the same rows batch by batch.
     """
-    numbers = batches.where(F.col("package_id").isNotNull() & F.col("batch_no").isNotNull()).groupBy("package_id").agg(F.min("batch_no").alias("batch_no"))
-    full = cut(_described(packages, numbers, members, member_rows))
+    sets = ordered_sets(members, "package_id", F.col("item"), hot_items(members, F.col("item"), member_rows))
+    full = cut(_described(packages, _numbers(batches), sets))
     classes = _classes(full)
     new = classes.where(F.col("last") > 0)
-    links = near_sets(segment_entries(classes), segment_probes(new), classes, new)
-    return _answers(full.where(F.col("batch") > 0), _least(full), links)
+    return _answers(full.where(F.col("batch") > 0), _least(full), near_sets(classes, new))
 
 
 def _classes(full: DataFrame) -> DataFrame:
-    return full.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.first("items").alias("items"), F.max("batch").alias("last"))
+    return full.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.first("items").alias("items"), F.first("hot").alias("hot"), F.max("batch").alias("last"))
 
 
 def _least(full: DataFrame) -> DataFrame:
@@ -184,47 +310,96 @@ def _answers(asked: DataFrame, least: DataFrame, links: DataFrame) -> DataFrame:
 class HistoryIndex:
     """The segment index on disk: each batch is checked against what was accepted before, then its own entries are appended.
 
-    Under path, a folder all executors share, are three tables, a part for each batch: ids (the least id of each class
-    of the batch), sets (the sets new to the index) and segments (their entries). Checking a batch reads these, not the
-    packages accepted before. Items are ordered by their hash alone, as an order by frequency would change with every
-    batch; results are the same. Batches are appended under rising numbers; one appended again replaces itself.
+    Under path, a folder all executors share, are four tables. hot: the items that were frequent in the first batch
+    (history), which fix the order of items for good. ids (the least id of each class), sets (each set once) and
+    segments (their entries) are dealt to buckets by a hash of what they are looked up by, a folder a bucket and a part a
+    batch in it. Checking a batch opens only the buckets its probes, its candidates and its classes fall into, never the
+    packages accepted before; with as many buckets as keep one to some 100 MB, what a small batch reads is bounded by
+    its own size. The numbers of the buckets asked for, at most buckets of them, are all that comes to the driver.
+    Batches are appended under rising numbers; one appended again replaces itself.
     """
 
     _TABLES = {
         "ids": "cid struct<h:bigint,g:bigint>, least bigint",
-        "sets": "sid struct<h:bigint,g:bigint>, items array<bigint>",
-        "segments": "seg bigint, stored struct<h:bigint,g:bigint>",
+        "sets": "sid struct<h:bigint,g:bigint>, items array<bigint>, hot int",
+        "segments": _ENTRIES,
     }
+    _KEYS = {"ids": "cid", "sets": "sid", "segments": "seg"}
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 256):
+        self.spark, self.path, self.buckets = spark, path, buckets
+        #: How many buckets the last check opened, by table.
+        self.opened: dict[str, int] = {}
+
+    def _exists(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
-    def _read(self, name: str, before: int) -> DataFrame:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    def _read(self, name: str, asked: DataFrame, before: int) -> DataFrame:
+        """The rows of a table of batches before a number, from the buckets of the asked keys (a column) alone."""
         schema = self._TABLES[name]
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+        wanted = sorted(r[0] for r in asked.select(self._bucket(asked.columns[0]).alias("bucket")).distinct().collect())
+        paths = [p for b in wanted if self._exists(p := f"{self.path}/{name}/bucket={b}")]
+        self.opened[name] = len(paths)
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.path}/{name}").where(F.col("batch") < before).drop("batch")
+        rows = self.spark.read.option("basePath", f"{self.path}/{name}").schema(f"{schema}, bucket int, batch int").parquet(*paths)
+        return rows.where(F.col("batch") < before).drop("bucket", "batch")
 
-    def _batch(self, packages: DataFrame, members: DataFrame) -> DataFrame:
-        none = self.spark.createDataFrame([], "package_id bigint, batch_no int")
-        plain = _described(packages, none, members.where(F.lit(False)), 0).select("id", "kid")
-        items = members.where(F.col("package_id").isNotNull() & F.col("item").isNotNull()).groupBy("package_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
-        both = plain.join(items, plain["id"] == items["package_id"], "left")
-        return cut(both.select("id", F.lit(1).alias("batch"), "kid", F.when(F.col("items").isNotNull(), _two(F.lit("set"), F.col("items"))).alias("sid"), "items"))
+    def _append(self, name: str, rows: DataFrame, number: int) -> None:
+        key = self._KEYS[name]
+        dealt = rows.withColumns({"bucket": self._bucket(key), "batch": F.lit(number)}).repartition("bucket").sortWithinPartitions("bucket", key)
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{self.path}/{name}")
+
+    def _hot(self, members: DataFrame) -> DataFrame:
+        path = f"{self.path}/hot"
+        if not self._exists(path):
+            hot_items(members, F.col("item"), members.count()).write.parquet(path)
+        return self.spark.read.schema("item bigint, rank bigint").parquet(path)
 
     def check_and_append(self, number: int, packages: DataFrame, members: DataFrame) -> DataFrame:
         """first_id, package_id of the packages of batch number that repeat one of an earlier batch, or one of a lower id in it.
 
         packages and members are those of the batch alone, as of history_duplicates.
         """
-        full = self._batch(packages, members)
+        none = self.spark.createDataFrame([], "package_id bigint, batch_no int")
+        sets = ordered_sets(members, "package_id", F.col("item"), self._hot(members))
+        full = cut(_described(packages, none, sets).withColumn("batch", F.lit(1)))
+        mine = cut(_least(full))
+        known = self._read("ids", mine.select("cid"), number).groupBy("cid").agg(F.min("least").alias("least"))
         new = _classes(full).drop("last")
-        sets, segments = self._read("sets", number), self._read("segments", number)
-        fresh = cut(new.join(sets.select("sid"), "sid", "left_anti"))
-        links = near_sets(segments.unionByName(segment_entries(fresh)), segment_probes(new), sets.unionByName(fresh), new)
-        ids = self._read("ids", number).groupBy("cid").agg(F.min("least").alias("least")).select("cid", F.lit(0).alias("batch"), "least")
-        found = cut(_answers(full, ids.unionByName(_least(full)), links))
-        for name, rows in (("ids", _least(full).drop("batch")), ("sets", fresh), ("segments", segment_entries(fresh))):
-            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
+        fresh = cut(new.join(known.select(F.col("cid").alias("sid")), "sid", "left_anti"))
+        probes = cut(segment_probes(new))
+        entries = self._read("segments", probes.select("seg"), number)
+        pairs = cut(candidates(entries.unionByName(segment_entries(fresh)), probes))
+        stored = self._read("sets", pairs.select("stored"), number)
+        links = cut(verified(pairs, stored.unionByName(fresh), new))
+        asked = mine.select("cid").unionByName(links.select(F.col("stored").alias("cid")))
+        ids = self._read("ids", asked, number).groupBy("cid").agg(F.min("least").alias("least"))
+        found = cut(_answers(full, ids.select("cid", F.lit(0).alias("batch"), "least").unionByName(mine), links))
+        # of a class known already, only a lower id is news
+        lower = mine.join(known.withColumnRenamed("least", "had"), "cid", "left").where(F.col("had").isNull() | (F.col("least") < F.col("had"))).select("cid", "least")
+        for name, rows in (("ids", lower), ("sets", fresh), ("segments", segment_entries(fresh))):
+            self._append(name, rows, number)
         return found
+
+
+def incremental_duplicates(packages: DataFrame, batches: DataFrame, members: DataFrame, path: str, buckets: int = 256) -> DataFrame:
+    """The rows of history_duplicates from a HistoryIndex at path: history first, then batch by batch in rising order.
+
+    The numbers of the batches come to the driver; a batch is one step of the feed, so there are as many as arrivals.
+    """
+    spark = packages.sparkSession
+    numbers = cut(_numbers(batches))
+    index, found = HistoryIndex(spark, path, buckets), spark.createDataFrame([], "first_id bigint, package_id bigint")
+    steps = sorted(r[0] for r in numbers.select("batch_no").distinct().collect())
+    for number in (0, *steps):
+        ids = numbers.where(F.col("batch_no") == number).select("package_id")
+        take = lambda df, key: df.join(ids, df[key] == ids["package_id"], "left_semi") if number else df.join(numbers, df[key] == numbers["package_id"], "left_anti")  # noqa: B023, E731
+        repeats = index.check_and_append(number, take(packages, "id"), take(members, "package_id"))
+        if number:
+            found = found.unionByName(repeats)
+    return found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,18 +11,29 @@ from catalith.functions.hashes import binary_key, digits_sql, has_digits, hash_k
 from catalith.functions.times import day_number
 from catalith.llm.distinct import ALL, BOTH, FIRST, SECOND, distinct_sketches, estimates, merge_sketches
 from catalith.llm.encoding import count_tokens, encode_texts
-from catalith.llm.history import history_duplicates
+from catalith.llm.history import history_duplicates, incremental_duplicates
 from catalith.llm.membership import fingerprint, seen_before, seen_report
 from catalith.llm.mixing import mix_report, mix_sources
 from catalith.llm.spans import SharedSpans
+from catalith.session import shared_dir
 from catalith.tables import table
 
 
-def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+def _accepted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The packages with their hashes, the batches, and the members of packages."""
     packages = table(spark, sf, "packages", "id", "package_hash").select("id", hash_key(F.col("package_hash")).alias("key"))
     files = table(spark, sf, "package_files", "package_id", "blob_hash", "role")
     members = files.where((F.col("role") == "member") & has_digits(F.col("blob_hash"))).select("package_id", fingerprint(known_key(F.col("blob_hash"))).alias("item"))
-    return history_duplicates(packages, table(spark, sf, "intake_batches", "package_id", "batch_no"), members, files.count())
+    return packages, table(spark, sf, "intake_batches", "package_id", "batch_no"), members
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return history_duplicates(*_accepted(spark, sf), table(spark, sf, "package_files").count())
+
+
+def p5_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of p5_found from an index on disk that holds the history and takes the batches in one after the other."""
+    return incremental_duplicates(*_accepted(spark, sf), f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", buckets=64)
 
 
 def _uploads(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,12 +125,11 @@ def p10_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _spans(spark, sf).clusters().withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_counts, p6_months, p7_found, p7_report, p8_ids, p8_counts, p9_draw, p9_shares, p10_found, p10_shared, p10_clusters)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_incremental, p6_counts, p6_months, p7_found, p7_report, p8_ids, p8_counts, p9_draw, p9_shares, p10_found, p10_shared, p10_clusters)}
 
 _MEMBERS = f"""SELECT DISTINCT f.package_id AS id, {digits_sql('f.blob_hash')} AS h FROM package_files f WHERE f.role = 'member' AND {digits_sql('f.blob_hash')} IS NOT NULL AND f.package_id IN (SELECT id FROM packages)"""
 
-SQL = {
-    "p5_found": f"""WITH b AS (SELECT package_id AS id, min(batch_no) AS batch FROM intake_batches GROUP BY 1),
+_REPEATS = f"""WITH b AS (SELECT package_id AS id, min(batch_no) AS batch FROM intake_batches GROUP BY 1),
 p AS (SELECT p.id, min({digits_sql('p.package_hash')}) AS k, coalesce(min(b.batch), 0) AS batch FROM packages p LEFT JOIN b ON p.id = b.id GROUP BY p.id),
 m AS ({_MEMBERS}),
 n AS (SELECT id, count(*) AS n FROM m GROUP BY id),
@@ -126,7 +138,11 @@ pairs AS (
   SELECT c.id, c.other FROM common c JOIN n a ON a.id = c.id JOIN n b ON b.id = c.other WHERE 10 * c.i >= 7 * (a.n + b.n - c.i)
   UNION SELECT x.id, y.id FROM p x JOIN p y ON x.k = y.k AND x.id <> y.id WHERE x.batch > 0)
 SELECT min(q.other) AS first_id, q.id AS package_id FROM pairs q JOIN p x ON x.id = q.id JOIN p y ON y.id = q.other
-WHERE y.batch < x.batch OR (y.batch = x.batch AND y.id < x.id) GROUP BY q.id""",
+WHERE y.batch < x.batch OR (y.batch = x.batch AND y.id < x.id) GROUP BY q.id"""
+
+SQL = {
+    "p5_found": _REPEATS,
+    "p5_incremental": _REPEATS,
     "p7_found": f"""WITH e AS (SELECT entry_no, lower(hex(hash)) AS h, min(entry_no) OVER (PARTITION BY hash) AS first FROM segment_index WHERE hash IS NOT NULL)
 SELECT entry_no FROM e WHERE entry_no > first OR h IN (SELECT {digits_sql('content_hash')} FROM content_blobs WHERE content_hash IS NOT NULL)""",
 }

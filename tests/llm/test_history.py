@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from catalith.llm.history import HistoryIndex, history_duplicates, near_sets, ordered_sets, segment_entries, segment_probes
+from catalith.llm.history import HistoryIndex, candidates, history_duplicates, hot_items, incremental_duplicates, near_sets, ordered_sets, segment_entries, segment_probes, verified
 
 
 def brute(packages, batches, members):
@@ -39,6 +39,17 @@ def run(spark, packages, batches, members):
     return {tuple(r) for r in history_duplicates(p, b, m, len(members)).collect()}
 
 
+def frame(spark, sets, hot=(), first=0):
+    """sets as sid, items, hot: hot items last, the others in any one order."""
+    order = lambda s: sorted(s - set(hot), key=lambda x: (x * 7919) % 1_000_003) + sorted(s & set(hot))
+    rows = [((i, 0), order(set(s)), len(set(s) & set(hot))) for i, s in enumerate(sets, first)]
+    return spark.createDataFrame(rows, "sid struct<h:bigint,g:bigint>, items array<bigint>, hot int")
+
+
+def pairs(df):
+    return {(r["probe"]["h"], r["stored"]["h"]) for r in df.collect()}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_against_brute_force(spark, seed):
     rnd = random.Random(seed)
@@ -59,30 +70,42 @@ def test_against_brute_force(spark, seed):
     assert run(spark, packages + again, batches + batches[:5], members) == brute(packages, batches, members)
 
 
-def test_every_near_pair_is_found(spark):
+@pytest.mark.parametrize("n_hot", [0, 2, 40])
+def test_every_near_pair_is_found(spark, n_hot):
     rnd = random.Random(9)
-    sets, want = [], set()
-    for _ in range(60):
-        a = rnd.sample(range(10**6), rnd.choice([rnd.randrange(1, 60), rnd.randrange(60, 300)]))
+    sets, want, hot = [], set(), rnd.sample(range(10**6), n_hot)
+    some = lambda n: [rnd.choice(hot) if hot and rnd.random() < 0.5 else rnd.randrange(10**6) for _ in range(n)]
+    for _ in range(90):
+        a = some(rnd.choice([rnd.randrange(1, 10), rnd.randrange(1, 60), rnd.randrange(60, 400)]))
         b = list(a)
-        for _ in range(rnd.randrange(0, 1 + len(a) // 2)):
-            b.pop(rnd.randrange(len(b))) if len(b) > 1 and rnd.random() < 0.5 else b.append(rnd.randrange(10**6))
-        sets += [sorted(set(a)), sorted(set(b))]
+        for _ in range(rnd.randrange(0, 2 + len(a) // 3)):
+            b.pop(rnd.randrange(len(b))) if len(b) > 1 and rnd.random() < 0.5 else b.extend(some(1))
+        sets += [set(a), set(b)]
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
-            if i != j and 10 * len({*a} & {*b}) >= 7 * len({*a} | {*b}):
+            if i != j and 10 * len(a & b) >= 7 * len(a | b):
                 want.add((i, j))
-    df = spark.createDataFrame(list(enumerate(sets)), "sid int, items array<long>")
-    got = {(r["probe"], r["stored"]) for r in near_sets(segment_entries(df), segment_probes(df), df, df).collect()}
-    assert got == want
+    df = frame(spark, sets, hot)
+    assert len(want) > 60 and pairs(near_sets(df, df)) == want
 
 
 def test_an_index_grows_by_appending(spark):
-    sets = [[1, 2, 3, 4], [1, 2, 3, 5], [9], [1, 2, 3, 4, 6]]
-    old, new = (spark.createDataFrame(list(enumerate(sets))[a:b], "sid int, items array<long>") for a, b in ((0, 2), (2, 4)))
-    both = old.unionByName(new)
+    sets = [{1, 2, 3, 4}, {1, 2, 3, 5}, {9}, {1, 2, 3, 4, 6}]
+    old, new = frame(spark, sets[:2]), frame(spark, sets[2:], first=2)
     grown = segment_entries(old).unionByName(segment_entries(new))
-    assert {(r["probe"], r["stored"]) for r in near_sets(grown, segment_probes(new), both, new).collect()} == {(3, 0)}
+    assert pairs(verified(candidates(grown, segment_probes(new)), old.unionByName(new), new)) == {(3, 0)}
+
+
+def test_common_items_bring_no_candidates(spark):
+    for common, own in (({7, 8}, 3), ({7}, 1), (set(range(10)), 30), (set(range(10)), 200)):
+        n = 400 if own < 100 else 60
+        df = frame(spark, [common | {10**6 + i * 1000 + j for j in range(own)} for i in range(n)], common)
+        assert candidates(segment_entries(df), segment_probes(df)).count() == 0
+
+
+def test_probes_grow_with_the_size(spark):
+    count = lambda n: segment_probes(frame(spark, [set(range(n))])).count()
+    assert count(4000) < 3 * count(2000) and count(4000) < 10 * 4000
 
 
 def test_ties_copies_and_nothing(spark):
@@ -96,8 +119,9 @@ def test_ties_copies_and_nothing(spark):
 
 def test_hot_items_come_last(spark):
     rows = [(i, 7) for i in range(50)] + [(i, 8) for i in range(40)] + [(i, 100 + i) for i in range(50)]
-    sets = ordered_sets(spark.createDataFrame(rows, "o long, x long"), "o", F.col("x"), len(rows), hot_parts=10)
-    assert {tuple(r["items"]) for r in sets.where("o = 3").collect()} == {(103, 8, 7)}
+    df = spark.createDataFrame(rows, "o long, x long")
+    sets = ordered_sets(df, "o", F.col("x"), hot_items(df, F.col("x"), len(rows), hot_parts=10))
+    assert {(tuple(r["items"]), r["hot"]) for r in sets.where("o = 3").collect()} == {((103, 8, 7), 2)}
 
 
 def test_batch_by_batch_equals_all_at_once(spark, tmp_path):
@@ -111,11 +135,25 @@ def test_batch_by_batch_equals_all_at_once(spark, tmp_path):
         packages.append((i, rnd.choice([None, b"x", rnd.randbytes(8)])))
         members += [(i, x) for x in s] + [(i, None)]
     batch = {i: rnd.randrange(4) for i in range(60)}  # 0 is history
-    index, got = HistoryIndex(spark, str(tmp_path / "index")), set()
+    want = brute(packages, [(i, b) for i, b in batch.items() if b], members)
+    index, got = HistoryIndex(spark, str(tmp_path / "index"), 8), set()
     for number in (0, 1, 2, 2, 3):
         mine = {i for i in batch if batch[i] == number}
         p = spark.createDataFrame([x for x in packages if x[0] in mine], "id long, key binary")
         m = spark.createDataFrame([x for x in members if x[0] in mine], "package_id long, item long")
         found = {tuple(r) for r in index.check_and_append(number, p, m).collect()}
         got |= found if number else set()
-    assert got == brute(packages, [(i, b) for i, b in batch.items() if b], members)
+    assert got == want
+    p, m = spark.createDataFrame(packages, "id long, key binary"), spark.createDataFrame(members, "package_id long, item long")
+    b = spark.createDataFrame([(i, n) for i, n in batch.items() if n], "package_id long, batch_no int")
+    assert {tuple(r) for r in incremental_duplicates(p, b, m, str(tmp_path / "other"), 8).collect()} == want
+
+
+def test_a_small_batch_opens_few_buckets(spark, tmp_path):
+    index = HistoryIndex(spark, str(tmp_path / "index"), 64)
+    p = spark.createDataFrame([(i, bytes([i % 256, i // 256])) for i in range(300)], "id long, key binary")
+    m = spark.createDataFrame([(i, i * 100 + j) for i in range(300) for j in range(4)], "package_id long, item long")
+    index.check_and_append(0, p, m)
+    one = spark.createDataFrame([(900, b"new")], "id long, key binary"), spark.createDataFrame([(900, 700 + j) for j in range(5)], "package_id long, item long")
+    assert {tuple(r) for r in index.check_and_append(1, *one).collect()} == {(7, 900)}
+    assert index.opened["segments"] <= 12 and index.opened["sets"] == 1 and index.opened["ids"] <= 3
