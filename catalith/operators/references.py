@@ -10,27 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.functions.arrays import fixed, found_at, longs, one, same_width
+from catalith.session import cut
 
 MISSING, DELETED, LATE = "missing", "deleted", "late"
 _NEVER = np.iinfo(np.int64).min
 
 
 def _probe(refs: pa.Table, parents: pa.Table) -> pa.Table:
-    """The bad ones of a range's references, held against the sorted parents of that range."""
+    """The bad ones of a range's references, held against the sorted parents of that range, one of each key."""
     keys, wanted = same_width(fixed(parents["key"]), fixed(refs["key"]))
-    seen, seen_null = longs(parents["seen"])
-    gone, gone_null = longs(parents["gone"])
-    lives = np.asarray(one(parents["lives"])).astype(bool) if len(parents) else np.zeros(0, bool)
-    uniq, group = np.unique(keys, return_inverse=True)
-    present = np.zeros(len(uniq), bool)
-    np.logical_or.at(present, group, lives)
-    removed = np.zeros(len(uniq), bool)
-    np.logical_or.at(removed, group, ~lives)
-    first = np.full(len(uniq), np.iinfo(np.int64).max)
-    np.minimum.at(first, group[lives & ~seen_null], seen[lives & ~seen_null])
-    timed = first != np.iinfo(np.int64).max
-    last = np.full(len(uniq), _NEVER)
-    np.maximum.at(last, group[~lives & ~gone_null], gone[~lives & ~gone_null])
+    by = np.argsort(keys, kind="stable")
+    flag = lambda name: np.asarray(one(parents[name])).astype(bool)[by] if len(parents) else np.zeros(0, bool)
+    uniq, present, removed = keys[by], flag("lives"), flag("removed")
+    (first, untimed), (last, undated) = ((x[by], null[by]) for x, null in (longs(parents["seen"]), longs(parents["gone"])))
+    timed, last = ~untimed, np.where(undated, _NEVER, last)
 
     at, there = found_at(uniq, wanted)
     pick = lambda values: values[at] if len(values) else np.zeros(len(at), values.dtype)
@@ -53,10 +46,8 @@ def _probe(refs: pa.Table, parents: pa.Table) -> pa.Table:
 
 
 def _range_of(key: Column, bits: int) -> Column:
-    """The range a key falls into: equal slices of the digests, which spread evenly; slices of 65,536 numbers."""
-    digest = F.shiftright(F.conv(F.hex(F.substring(key, 2, 4)), 16, 10).cast("long"), 32 - bits)
-    number = F.shiftright(F.decode(F.substring(key, 2, 20), "utf-8").try_cast("long"), 16)
-    return F.when(F.substring(key, 1, 1) == F.lit(b"d"), digest).otherwise(number * 2 + (1 << 40))
+    """The range a key falls into: equal slices of its hash, which are as even for sparse numbers as for digests."""
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
 
 
 def digest_ref(key: Column) -> Column:
@@ -82,26 +73,27 @@ def bad_references(refs: DataFrame, parents: DataFrame, removals: DataFrame, ref
     a null time is never late. Of several rows of a parent its first time holds, of several removals the last. Repeated
     references come out once. Empty tables are allowed.
 
-    Parents are cut into ranges of their keys and held as one sorted array each; the references of a range are looked
-    up in it by binary search, a batch at a time. The references of a range of more than range_rows of them are dealt
-    to several copies of that range's parents, so a key that holds a third of all references does not meet in one
-    task. The 10,000 fullest ranges are dealt out, and the limit rises to the size of the last of them where there are
-    more; their numbers are all that comes to the driver.
+    Parents and removals are folded to one row a key before they are dealt out, so one with a third of all rows weighs
+    as much as any other. They are cut into ranges of their keys' hashes and held as one sorted array each; the
+    references of a range are looked up in it by binary search, a batch at a time. The references of a range of more
+    than range_rows of them (or one in 100,000 of all, if that is more) are dealt to several copies of that range's
+    parents, so a key that holds a third of all references does not meet in one task, nor do copies of one reference.
+    There are at most 100,000 such ranges; their list is broadcast, and nothing but two counts comes to the driver.
     """
-    spark = refs.sparkSession
     parents, removals = parents.where(F.col("key").isNotNull()), removals.where(F.col("key").isNotNull())
-    bits = min(20, max(3, math.ceil(math.log2(max(1, parents.count()) / (range_rows // 2) + 1)) + 1))
+    bits = max(3, math.ceil(math.log2(max(1, parents.count()) / (range_rows // 2) + 1)) + 1)
     slim = refs.where(F.col("key").isNotNull()).select("ref", "record_id", "key", "at", _range_of(F.col("key"), bits).alias("range"))
-    sizes = (refs if ref_keys is None else ref_keys).where(F.col("key").isNotNull()).groupBy(_range_of(F.col("key"), bits).alias("range")).count()
-    top = sizes.where(F.col("count") > range_rows).orderBy(F.desc("count")).limit(10_000).collect()
-    full = max(range_rows, top[-1][1] if len(top) == 10_000 else 0)
-    hot = [(r[0], -(-r[1] // full)) for r in top]
-    known = parents.select("key", F.col("seen").cast("timestamp").alias("seen"), F.lit(None).cast("timestamp").alias("gone"), F.lit(True).alias("lives")).unionByName(
-        removals.select("key", F.lit(None).cast("timestamp").alias("seen"), F.col("gone").cast("timestamp").alias("gone"), F.lit(False).alias("lives"))
+    sizes = cut((refs if ref_keys is None else ref_keys).where(F.col("key").isNotNull()).groupBy(_range_of(F.col("key"), bits).alias("range")).count())
+    full = max(range_rows, (sizes.agg(F.sum("count")).first()[0] or 0) // 100_000)
+    parts = F.broadcast(sizes.where(F.col("count") > full).select("range", F.ceil(F.col("count") / full).cast("int").alias("parts")))
+    time = lambda c: F.col(c).cast("timestamp").alias(c)
+    none = lambda c: F.lit(None).cast("timestamp").alias(c)
+    known = parents.select("key", time("seen"), none("gone"), F.lit(True).alias("lives"), F.lit(False).alias("removed")).unionByName(
+        removals.select("key", none("seen"), time("gone"), F.lit(False).alias("lives"), F.lit(True).alias("removed"))
     )
-    known = known.withColumn("range", _range_of(F.col("key"), bits))
-    parts = F.broadcast(spark.createDataFrame(hot, "range long, parts int"))
-    dealt = slim.join(parts, "range", "left").withColumn("part", F.pmod(F.xxhash64("record_id", "at"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    known = known.groupBy("key").agg(F.min("seen").alias("seen"), F.max("gone").alias("gone"), F.max("lives").alias("lives"), F.max("removed").alias("removed")).withColumn("range", _range_of(F.col("key"), bits))
+    spread = F.pmod(F.xxhash64("record_id", "at", F.spark_partition_id()), F.coalesce("parts", F.lit(1)))
+    dealt = slim.join(parts, "range", "left").withColumn("part", spread).drop("parts")
     copied = known.join(parts, "range", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("parts")
     found = dealt.groupBy("range", "part").cogroup(copied.groupBy("range", "part")).applyInArrow(_probe, "ref string, record_id long, at timestamp, state string")
     return found.distinct()

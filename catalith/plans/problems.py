@@ -11,6 +11,7 @@ from catalith.operators.diff import diff_cells
 from catalith.operators.nested import JOURNAL, files_of_entries, schema_graph, shred, table_of
 from catalith.operators.redelivery import accept_batch, first_deliveries, surplus_deliveries
 from catalith.operators.references import bad_references, digest_ref, number_ref
+from catalith.operators.skew import salted_left_join
 from catalith.tables import table
 
 
@@ -60,8 +61,9 @@ def _bad(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda name, *columns: table(spark, sf, name, *columns)
     packages = t("packages", "id", "received_at").groupBy("id").agg(F.min("received_at").alias("at"))
     lit = lambda name: F.lit(name).alias("ref")
-    files = t("package_files", "id", "package_id", "blob_hash").where(has_digits(F.col("blob_hash"))).select(F.col("id").alias("record_id"), "package_id", digest_ref(known_key(F.col("blob_hash"))).alias("key"))
-    of_files = files.join(packages, files["package_id"] == packages["id"], "left").select(lit("package_files.blob_hash"), "record_id", "key", "at")
+    named = t("package_files", "id", "package_id", "blob_hash")
+    files = named.where(has_digits(F.col("blob_hash"))).select(F.col("id").alias("record_id"), "package_id", digest_ref(known_key(F.col("blob_hash"))).alias("key"))
+    of_files = salted_left_join(files, packages.withColumnRenamed("id", "package_id"), "package_id", named.count()).select(lit("package_files.blob_hash"), "record_id", "key", "at")
     lines = t("journal", "received_at", "files").select(F.col("received_at").try_cast("timestamp").alias("at"), F.explode("files").alias("f"))
     of_lines = lines.where(has_digits(F.col("f.blob_hash"))).select(lit("journal.files.blob_hash"), F.col("f.file_id").alias("record_id"), digest_ref(known_key(F.col("f.blob_hash"))).alias("key"), "at")
     of_packages = t("packages", "id", "received_at", "canonical_package_id").select(lit("packages.canonical_package_id"), F.col("id").alias("record_id"), number_ref(F.col("canonical_package_id")).alias("key"), F.col("received_at").alias("at"))

@@ -63,3 +63,12 @@ def test_a_hot_key_is_dealt_out(spark):
     parents = [(k, rnd.choice([None, *range(10)])) for k in keys[:30]]
     removals = [(k, rnd.randrange(10)) for k in keys[20:35]]
     assert run(spark, refs, parents, removals, range_rows=20) == brute(refs, parents, removals)
+
+
+def test_a_hot_parent_and_sparse_numbers(spark):
+    rnd = random.Random(6)
+    keys = [rnd.getrandbits(64) - 2**63 for _ in range(300)]
+    refs = [(i, rnd.choice(keys), rnd.choice([None, *range(10)])) for i in range(600)] + [(10_000, keys[0], 1)] * 300
+    parents = [(keys[0] if i % 3 == 0 else rnd.choice(keys[:200]), rnd.choice([None, *range(10)])) for i in range(900)]
+    removals = [(keys[0] if i % 3 == 0 else rnd.choice(keys[150:250]), rnd.choice([None, *range(10)])) for i in range(300)]
+    assert run(spark, refs, parents, removals, number_ref, "long", range_rows=50) == sorted(set(brute(refs, parents, removals)))
