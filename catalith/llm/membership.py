@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.functions.arrays import longs
-from catalith.session import width
+from catalith.session import cut, width
 
 _U = np.uint64
 _BLOCK = 65_536
@@ -162,6 +162,19 @@ def _first_in_task(spread: int):
     return run
 
 
+def _once_in_task(batches):
+    """The different keys among each million or so of a task's, so that a key in very many rows leaves it as few."""
+    keys, held = [], 0
+    for batch in batches:
+        keys.append(longs(batch.column(0))[0])
+        held += batch.num_rows
+        if held >= _TASK:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)))], names=["fp"])
+            keys, held = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)))], names=["fp"])
+
+
 _INDEX = "part long, part_bits int, keys long, low_bits int, upper binary, lower binary"
 _INDEX_ARROW = pa.schema([("part", pa.int64()), ("part_bits", pa.int32()), ("keys", pa.int64()), ("low_bits", pa.int32()), ("upper", pa.binary()), ("lower", pa.binary())])
 
@@ -217,14 +230,16 @@ def _scan(part_bits: int, want: str):
         part = longs((known if len(known) else rows)["part"])[0][0]
         if want == "report":
             return pa.table({"part": [part], "keys": [index.size], "index_bytes": [index.nbytes], "probes": [probes], "found": [len(found)], "wrong_bound": [odds]})
-        if want == "index":
-            return _stored(index, part) if part >= 0 else _INDEX_ARROW.empty_table()
-        return pa.table({"row_no": pa.array(found)})
+        rows = pa.table({"row_no": pa.array(found)})
+        if want == "rows":
+            return rows
+        code = _stored(index, part) if part >= 0 else _INDEX_ARROW.empty_table()
+        return code if want == "index" else pa.concat_tables([rows, code], promote_options="default").select([*_INDEX_ARROW.names, "row_no"])
 
     return run
 
 
-_OUT = {"rows": "row_no long", "report": "part long, keys long, index_bytes long, probes long, found long, wrong_bound double", "index": _INDEX}
+_OUT = {"rows": "row_no long", "report": "part long, keys long, index_bytes long, probes long, found long, wrong_bound double", "index": _INDEX, "both": f"{_INDEX}, row_no long"}
 
 
 def _dealt(rows: DataFrame, key: str, order: str, part_bits: int) -> DataFrame:
@@ -235,7 +250,8 @@ def _dealt(rows: DataFrame, key: str, order: str, part_bits: int) -> DataFrame:
 
 def _seen(known: DataFrame, rows: DataFrame, key: str, order: str, want: str, part_keys: int) -> DataFrame:
     part_bits = part_bits_for(rows.sparkSession, known.count() + rows.count(), part_keys)
-    stored = known.where(F.col(key).isNotNull()).select(fingerprint(F.col(key)).alias("fp")).select(_part(part_bits).alias("part"), "fp")
+    keys = known.where(F.col(key).isNotNull()).select(fingerprint(F.col(key)).alias("fp"))
+    stored = keys.mapInArrow(_once_in_task, "fp long").select(_part(part_bits).alias("part"), "fp")
     return stored.groupBy("part").cogroup(_dealt(rows, key, order, part_bits).groupBy("part")).applyInArrow(_scan(part_bits, want), _OUT[want])
 
 
@@ -251,7 +267,8 @@ def seen_before(known: DataFrame, rows: DataFrame, key: str, order: str, part_ke
     its successor, and the new keys of the block are merged into the code. A row is wrongly found only if another key
     has the same 64 bits: with k keys before it the odds are below k / 2 ** 64; no row is wrongly missed. seen_report
     sums these odds. A row that repeats a key which its own task has met in an earlier row is found without a probe and
-    spread over the partitions by its number, so a key with a third of all rows is not gathered in one task.
+    spread over the partitions by its number, and known keys leave the task that reads them once, so a key with a third
+    of all rows on either side is not gathered in one task.
     """
     return _seen(known, rows, key, order, "rows", part_keys)
 
@@ -268,11 +285,35 @@ def key_index(known: DataFrame, rows: DataFrame, key: str, order: str, part_keys
     return _seen(known, rows, key, order, "index", part_keys)
 
 
-def probe_index(index: DataFrame, rows: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+def split_index(index: DataFrame, bits: int) -> DataFrame:
+    """An index with each partition cut into 2 ** bits by the next bits of its keys."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(i, 1)])
+                part, part_bits = row["part"][0].as_py(), row["part_bits"][0].as_py()
+                values = _loaded(row, part_bits).decode()
+                own = 64 - part_bits - bits
+                child = values >> _U(own)
+                for c in np.unique(child):
+                    code = EliasFano.encode(values[child == c] & _U((1 << own) - 1), own)
+                    yield from _stored(code, (part << bits) | int(c)).to_batches()
+
+    return index.select(*_INDEX_ARROW.names).mapInArrow(run, _INDEX)
+
+
+def probe_index(index: DataFrame, rows: DataFrame, key: str, order: str, part_keys: int = 250_000) -> tuple[DataFrame, DataFrame]:
     """The rows of a new batch seen before, as of seen_before, and the index with their keys.
 
-    index is one made by key_index or by this function, not empty; its partitions stay as they are, however it grows.
+    index is one made by key_index or by this function, not empty. Both results come from one pass, written once to the
+    shared folder. An index of whose partitions one has grown to twice part_keys is split first, so that codes keep
+    fitting a task.
     """
-    part_bits = index.select("part_bits").first()[0]
-    groups = lambda: index.groupBy("part").cogroup(_dealt(rows, key, order, part_bits).groupBy("part"))
-    return tuple(groups().applyInArrow(_scan(part_bits, want), _OUT[want]) for want in ("rows", "index"))
+    part_bits, most = index.agg(F.first("part_bits"), F.max("keys")).first()
+    if most > 2 * part_keys:
+        more = (-(-most // part_keys) - 1).bit_length()
+        index, part_bits = split_index(index, more), part_bits + more
+    groups = index.groupBy("part").cogroup(_dealt(rows, key, order, part_bits).groupBy("part"))
+    both = cut(groups.applyInArrow(_scan(part_bits, "both"), _OUT["both"]))
+    return both.where(F.col("row_no").isNotNull()).select("row_no"), both.where(F.col("row_no").isNull()).drop("row_no")

@@ -12,10 +12,11 @@ from catalith.functions.times import day_number
 from catalith.llm.distinct import ALL, BOTH, FIRST, SECOND, distinct_sketches, estimates, merge_sketches
 from catalith.llm.encoding import count_tokens, encode_texts
 from catalith.llm.history import history_duplicates, incremental_duplicates
-from catalith.llm.membership import fingerprint, seen_before, seen_report
+from catalith.llm.membership import fingerprint, key_index, probe_index, seen_before, seen_report
 from catalith.llm.mixing import mix_report, mix_sources
 from catalith.llm.spans import SharedSpans
 from catalith.session import shared_dir
+from catalith.operators.skew import salted_left_join
 from catalith.tables import table
 
 
@@ -42,7 +43,7 @@ def _uploads(spark: SparkSession, sf: str) -> DataFrame:
     packages = packages.select("id", "supplier_id", day_number(F.col("received_at")).alias("day"))
     files = table(spark, sf, "package_files", "package_id", "blob_hash").where(has_digits(F.col("blob_hash")))
     files = files.select("package_id", fingerprint(known_key(F.col("blob_hash"))).alias("fp"))
-    return files.join(packages, F.col("package_id") == F.col("id"), "left")
+    return salted_left_join(files, packages.withColumnRenamed("id", "package_id"), "package_id", table(spark, sf, "package_files").count())
 
 
 def _named(counts: DataFrame) -> DataFrame:
@@ -73,6 +74,19 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return seen_before(*_keys(spark, sf), "key", "entry_no").withColumnRenamed("row_no", "entry_no")
 
 
+def p7_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of p7_found from a stored index of the catalog's keys that takes segment_index in as three batches."""
+    known, rows = _keys(spark, sf)
+    first, last = table(spark, sf, "segment_index", "entry_no").agg(F.min("entry_no"), F.max("entry_no")).first()
+    step = ((last or 0) - (first or 0)) // 3 + 1
+    index, found = key_index(known, rows.where(F.lit(False)), "key", "entry_no"), []
+    for i in range(3):
+        low = (first or 0) + i * step
+        seen, index = probe_index(index, rows.where(F.col("entry_no").between(low, low + step - 1)), "key", "entry_no")
+        found.append(seen)
+    return found[0].unionByName(found[1]).unionByName(found[2]).withColumnRenamed("row_no", "entry_no")
+
+
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     """Size of the index, and the expected number and rate of wrong answers."""
     return seen_report(*_keys(spark, sf), "key", "entry_no")
@@ -125,7 +139,7 @@ def p10_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _spans(spark, sf).clusters().withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_incremental, p6_counts, p6_months, p7_found, p7_report, p8_ids, p8_counts, p9_draw, p9_shares, p10_found, p10_shared, p10_clusters)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_incremental, p6_counts, p6_months, p7_found, p7_incremental, p7_report, p8_ids, p8_counts, p9_draw, p9_shares, p10_found, p10_shared, p10_clusters)}
 
 _MEMBERS = f"""SELECT DISTINCT f.package_id AS id, {digits_sql('f.blob_hash')} AS h FROM package_files f WHERE f.role = 'member' AND {digits_sql('f.blob_hash')} IS NOT NULL AND f.package_id IN (SELECT id FROM packages)"""
 
@@ -140,9 +154,12 @@ pairs AS (
 SELECT min(q.other) AS first_id, q.id AS package_id FROM pairs q JOIN p x ON x.id = q.id JOIN p y ON y.id = q.other
 WHERE y.batch < x.batch OR (y.batch = x.batch AND y.id < x.id) GROUP BY q.id"""
 
+_SEEN = f"""WITH e AS (SELECT entry_no, lower(hex(hash)) AS h, min(entry_no) OVER (PARTITION BY hash) AS first FROM segment_index WHERE hash IS NOT NULL)
+SELECT entry_no FROM e WHERE entry_no > first OR h IN (SELECT {digits_sql('content_hash')} FROM content_blobs WHERE content_hash IS NOT NULL)"""
+
 SQL = {
     "p5_found": _REPEATS,
     "p5_incremental": _REPEATS,
-    "p7_found": f"""WITH e AS (SELECT entry_no, lower(hex(hash)) AS h, min(entry_no) OVER (PARTITION BY hash) AS first FROM segment_index WHERE hash IS NOT NULL)
-SELECT entry_no FROM e WHERE entry_no > first OR h IN (SELECT {digits_sql('content_hash')} FROM content_blobs WHERE content_hash IS NOT NULL)""",
+    "p7_found": _SEEN,
+    "p7_incremental": _SEEN,
 }

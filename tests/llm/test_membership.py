@@ -51,6 +51,10 @@ def test_against_brute_force_with_a_hot_key(spark, seed):
     assert report["found"] == len(want) and 0 <= report["wrong_bound"] < 1e-9 and report["keys"] == len(seen - {None})
 
 
+def test_a_hot_known_key(spark):
+    assert run(spark, [b"a"] * 3000 + [b"b"], [(1, b"a"), (2, b"b"), (3, b"c")])[2] == [1, 2]
+
+
 def test_empty_sides_and_nulls(spark):
     assert run(spark, [], [])[2] == [] and run(spark, [b"a"], [])[2] == []
     assert run(spark, [], [(1, b"a"), (2, b"a"), (3, None), (4, None), (None, b"a")])[2] == [2]
@@ -68,7 +72,8 @@ def test_a_stored_index_takes_further_batches(spark):
     index = key_index(known, make(rows[:300]), "key", "entry_no", part_keys=50)
     got = [r["row_no"] for r in seen_before(known, make(rows[:300]), "key", "entry_no").collect()]
     for part in (rows[300:600], rows[600:]):
-        found, index = probe_index(index, make(part), "key", "entry_no")
+        found, index = probe_index(index, make(part), "key", "entry_no", part_keys=20)
         got += [r["row_no"] for r in found.collect()]
     assert sorted(got) == [r["row_no"] for r in seen_before(known, make(rows), "key", "entry_no").orderBy("row_no").collect()]
     assert index.count() == index.select("part").distinct().count() and sum(r["keys"] for r in index.collect()) == len({k for _, k in rows if k} | set(keys[:50]))
+    assert index.agg({"keys": "max"}).first()[0] <= 60 and index.select("part_bits").distinct().count() == 1
