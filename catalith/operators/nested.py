@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from decimal import Decimal, InvalidOperation
+from decimal import ROUND_DOWN, Decimal, InvalidOperation
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,12 +23,25 @@ def _no_constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
-_FAST = json.JSONDecoder(parse_constant=_no_constant)
+def _fraction(text: str):
+    """A number with a fraction or an exponent, exactly; one whose exponent no decimal holds stays a text."""
+    try:
+        return Decimal(text)
+    except InvalidOperation:
+        return text
+
+
+def _whole(text: str):
+    return int(text) if len(text) < 1000 else Decimal(text)
+
+
+_READ = {"parse_constant": _no_constant, "parse_float": _fraction, "parse_int": _whole}
+_FAST = json.JSONDecoder(**_READ)
 
 
 def _deep_decoder() -> json.JSONDecoder:
     """A decoder for values nested more deeply than the fast one takes."""
-    slow = json.JSONDecoder(parse_constant=_no_constant)
+    slow = json.JSONDecoder(**_READ)
     slow.parse_object, slow.parse_array = json.decoder.JSONObject, json.decoder.JSONArray
     slow.parse_string = json.decoder.py_scanstring
     slow.scan_once = json.scanner.py_make_scanner(slow)
@@ -50,20 +64,27 @@ def parse(line: str | None):
         return _BAD
 
 
+_NUMBER = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+
+
 def number(value) -> int | None:
     """A number, however it is written, as int64; None if it is none or is not whole or does not fit."""
-    if isinstance(value, bool) or value is None:
-        return None
     if isinstance(value, str):
-        try:
-            value = Decimal(value.strip())
-        except InvalidOperation:
+        value = value.strip()
+        value = _fraction(value) if _NUMBER.fullmatch(value) else None
+    if isinstance(value, float):
+        value = Decimal(value)
+    if isinstance(value, Decimal):
+        # looked at by its exponent first: written out, 1e999999999 would have a thousand million digits
+        if not value:
+            return 0 if value.is_finite() else None
+        if not value.is_finite() or not 0 <= value.adjusted() <= 18:
             return None
-    try:
-        whole = int(value)
-    except (TypeError, ValueError, OverflowError):
-        return None
-    return whole if whole == value and -(2**63) <= whole < 2**63 else None
+        whole = value.to_integral_value(ROUND_DOWN)
+        value = int(whole) if whole == value else None
+    if isinstance(value, int) and not isinstance(value, bool) and -(2**63) <= value < 2**63:
+        return value
+    return None
 
 
 @dataclass(frozen=True)
@@ -153,44 +174,84 @@ def layout(edges: set[tuple[str, str, str, bool]], named: set[str]) -> Layout:
     return Layout(frozenset(tables), frozenset(edges))
 
 
-def rows_of(value, elements: Elements, tables: frozenset[str], with_fields: bool) -> Iterator[dict]:
-    """The rows of one value: element, node, parent, parent_node, id, owner, owner_id, held (children by element), fields."""
-    count = 0
-    # value, property, nearest row above, its element, prefix of inlined fields, owner's element and id
-    start = [x for x in value if x is not None] if isinstance(value, list) else [value]
-    stack = [(x, ROOT, None, "", None) for x in reversed(start)]
-    out: list[dict] = []
-    while stack:
-        x, prop, above, prefix, owner = stack.pop()
-        row = above
-        for kind in elements.of(x, prop):
-            if above is not None and kind not in tables:
-                prefix = f"{prefix}{prop}."
-                continue
-            row = {"element": kind, "node": count, "parent": above and above["element"], "parent_node": above and above["node"], "id": None, "owner": owner and owner[0], "owner_id": owner and owner[1], "held": Counter(), "fields": {} if with_fields else None}
-            count += 1
-            if above is not None:
-                above["held"][kind] += 1
-            out.append(row)
-            prefix = ""
-            id_field = elements.ids.get(kind)
-            if id_field:
-                row["id"] = number(x.get(id_field)) if isinstance(x, dict) else None
-                owner = (kind, row["id"])
-            above = row
-        if isinstance(x, dict):
-            if with_fields:
-                for p, v in x.items():
-                    if v is not None and not isinstance(v, (dict, list)):
-                        row["fields"][prefix + p] = v if isinstance(v, str) else json.dumps(v)
-            stack.extend((y, p, row, prefix, owner) for p, _, y in reversed(list(_children(x))))
-        elif with_fields and row is not None:
-            row["fields"][prefix + "value"] = x if isinstance(x, str) else json.dumps(x)
-    yield from out
+def _text(value) -> str:
+    """A scalar as text."""
+    return value if isinstance(value, str) else ("true" if value else "false") if isinstance(value, bool) else str(value)
+
+
+class _Rows:
+    """The rows of all tables as columns that grow by one value after the other; what a row holds and its fields as flat lists."""
+
+    def __init__(self, with_fields: bool):
+        self.with_fields = with_fields
+        self.line, self.element, self.node, self.parent, self.parent_node = [], [], [], [], []
+        self.via, self.id, self.owner, self.owner_id = [], [], [], []
+        self.held: list[dict[str, int] | None] = []
+        self.fields: list[list[str]] = []  # name, value, name, value, ...
+
+    def add(self, line: int, value, elements: Elements, tables: frozenset[str]) -> None:
+        """Takes in the rows of one value."""
+        first = len(self.line)
+        start = [x for x in value if x is not None] if isinstance(value, list) else [value]
+        # value, property, nearest row above, prefix of inlined fields, owner's element and id
+        stack = [(x, ROOT, -1, "", None, None) for x in reversed(start)]
+        while stack:
+            x, prop, row, prefix, owner, owner_id = stack.pop()
+            path = prefix + prop
+            for kind in elements.of(x, prop):
+                if row >= 0 and kind not in tables:
+                    prefix = path = f"{prefix}{prop}."
+                    continue
+                above, row = row, len(self.line)
+                self.line.append(line)
+                self.element.append(kind)
+                self.node.append(row - first)
+                self.parent.append(self.element[above] if above >= 0 else None)
+                self.parent_node.append(above - first if above >= 0 else None)
+                self.via.append(path)
+                self.owner.append(owner)
+                self.owner_id.append(owner_id)
+                self.held.append(None)
+                self.fields.append([])
+                if above >= 0:
+                    held = self.held[above] = self.held[above] or {}
+                    held[path] = held.get(path, 0) + 1
+                prefix = path = ""
+                id_field = elements.ids.get(kind)
+                own = number(x.get(id_field)) if id_field and isinstance(x, dict) else None
+                self.id.append(own)
+                if id_field:
+                    owner, owner_id = kind, own
+            if isinstance(x, dict):
+                if self.with_fields:
+                    into = self.fields[row]
+                    for p, v in x.items():
+                        if v is not None and not isinstance(v, (dict, list)):
+                            into += (prefix + p, _text(v))
+                stack.extend((y, p, row, prefix, owner, owner_id) for p, _, y in reversed(list(_children(x))))
+            elif self.with_fields and row >= 0:
+                self.fields[row] += (prefix + "value", _text(x))
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.line)
+
+        def maps(pairs: list, kind: pa.DataType) -> pa.Array:
+            """Maps from each row's list of name, value, name, value, ...; of a name that repeats the last value holds."""
+            ends, names, values = [0], [], []
+            for row in pairs:
+                once = dict(zip(row[::2], row[1::2]))
+                names += once
+                values += once.values()
+                ends.append(len(names))
+            return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, kind))
+
+        held = maps([[y for item in h.items() for y in item] if h else [] for h in self.held], pa.int32())
+        fields = maps(self.fields, pa.string()) if self.with_fields else pa.nulls(n, pa.map_(pa.string(), pa.string()))
+        plain = (self.line, self.element, self.node, self.parent, self.parent_node, self.via, self.id, self.owner, self.owner_id)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, f.type) for x, f in zip(plain, _ARROW)), held, fields], schema=_ARROW)
 
 
 def _lines(batches, elements: Elements):
-    sys.set_int_max_str_digits(0)
     for batch in batches:
         for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             value = parse(line)
@@ -214,9 +275,9 @@ def schema_graph(df: DataFrame, key: str, line: str, elements: Elements) -> Layo
     return layout({tuple(r) for r in found}, elements.named())
 
 
-_SHRED = "line_no long, element string, node int, parent string, parent_node int, id long, owner string, owner_id long, held map<string,int>, fields map<string,string>"
+_SHRED = "line_no long, element string, node int, parent string, parent_node int, via string, id long, owner string, owner_id long, held map<string,int>, fields map<string,string>"
 _ARROW = pa.schema(
-    [("line_no", pa.int64()), ("element", pa.string()), ("node", pa.int32()), ("parent", pa.string()), ("parent_node", pa.int32()), ("id", pa.int64()), ("owner", pa.string()), ("owner_id", pa.int64()), ("held", pa.map_(pa.string(), pa.int32())), ("fields", pa.map_(pa.string(), pa.string()))]
+    [("line_no", pa.int64()), ("element", pa.string()), ("node", pa.int32()), ("parent", pa.string()), ("parent_node", pa.int32()), ("via", pa.string()), ("id", pa.int64()), ("owner", pa.string()), ("owner_id", pa.int64()), ("held", pa.map_(pa.string(), pa.int32())), ("fields", pa.map_(pa.string(), pa.string()))]
 )
 
 
@@ -224,9 +285,9 @@ def shred(df: DataFrame, key: str, line: str, elements: Elements, plan: Layout |
     """The rows of all tables of a nested text column, told apart by element; one table's rows by table_of.
 
     key: BIGINT, kept as line_no. node numbers the rows of a line; (line_no, node) is a primary key, (line_no,
-    parent_node) the foreign key to the row above, of the table parent. id is the element's own id as a number, owner
-    and owner_id are the element and the id of the nearest row above that has one. held counts the rows right below by
-    element. fields holds the scalar fields, nulls aside, and those of inlined elements under dotted names; it is null
+    parent_node) the foreign key to the row above, of the table parent, and via the properties that lead from there to the
+    row, dotted (empty where both rows are one value). id is the element's own id as a number, owner and owner_id are
+    the element and the id of the nearest row above that has one. held counts the rows right below by via. fields holds the scalar fields, nulls aside, and those of inlined elements under dotted names; it is null
     if with_fields is false.
 
     A line that is not one complete JSON value (null, blank, damaged, followed by more) gives no rows; a value of any
@@ -237,16 +298,13 @@ def shred(df: DataFrame, key: str, line: str, elements: Elements, plan: Layout |
     tables = plan.tables
 
     def run(batches):
-        buffer: list[dict] = []
+        rows = _Rows(with_fields)
         for line_no, value in _lines(batches, elements):
-            for row in rows_of(value, elements, tables, with_fields):
-                row["line_no"], row["held"] = line_no, list(row["held"].items())
-                row["fields"] = None if row["fields"] is None else list(row["fields"].items())
-                buffer.append(row)
-            if len(buffer) >= _ROWS:
-                yield pa.RecordBatch.from_pylist(buffer, schema=_ARROW)
-                buffer = []
-        yield pa.RecordBatch.from_pylist(buffer, schema=_ARROW)
+            rows.add(line_no, value, elements, tables)
+            if len(rows.line) >= _ROWS:
+                yield rows.batch()
+                rows = _Rows(with_fields)
+        yield rows.batch()
 
     return df.select(F.col(key).cast("long").alias("line_no"), F.col(line).alias("line")).mapInArrow(run, _SHRED)
 
@@ -254,7 +312,7 @@ def shred(df: DataFrame, key: str, line: str, elements: Elements, plan: Layout |
 def table_of(rows: DataFrame, element: str, columns: list[str]) -> DataFrame:
     """One table of shred's rows: keys, id, owner_id and the named fields as columns."""
     own = rows.where(F.col("element") == element)
-    return own.select("line_no", "node", "parent", "parent_node", "id", "owner_id", *(F.col("fields")[c].alias(c) for c in columns))
+    return own.select("line_no", "node", "parent", "parent_node", "via", "id", "owner_id", *(F.col("fields")[c].alias(c) for c in columns))
 
 
 #: Journal entries and the files they list.
@@ -264,13 +322,15 @@ JOURNAL = Elements(by_mark={"package_id": "entry"}, by_property={"files": "file"
 def files_of_entries(rows: DataFrame) -> DataFrame:
     """line_no, package_id, file_id: the distinct files of all entries; file_id 0 for an entry without files.
 
-    rows are those of shred with JOURNAL. A file without a readable file_id comes out with a null one.
+    rows are those of shred with JOURNAL. A file is an entry's if it stands in the entry's own property files, not in
+    one of an object inside it. A file without a readable file_id comes out with a null one.
     """
-    entry = rows["element"] == "entry"
-    mine = F.when(entry & (F.coalesce(F.element_at("held", F.lit("file")), F.lit(0)) == 0), F.lit(0)).when((rows["element"] == "file") & (rows["parent"] == "entry"), F.lit(1))
-    picked = rows.select("line_no", "id", "owner_id", mine.alias("what")).where(F.col("what").isNotNull())
+    own_file = (rows["element"] == "file") & (rows["parent"] == "entry") & (rows["via"] == "files")
+    bare = (rows["element"] == "entry") & (F.coalesce(F.element_at("held", F.lit("files")), F.lit(0)) == 0)
+    picked = rows.where(own_file | bare).select("line_no", "element", "id", "owner_id")
+    entry = F.col("element") == "entry"
     return picked.select(
         "line_no",
-        F.when(F.col("what") == 0, F.col("id")).otherwise(F.col("owner_id")).alias("package_id"),
-        F.when(F.col("what") == 0, F.lit(0).cast("long")).otherwise(F.col("id")).alias("file_id"),
+        F.when(entry, F.col("id")).otherwise(F.col("owner_id")).alias("package_id"),
+        F.when(entry, F.lit(0).cast("long")).otherwise(F.col("id")).alias("file_id"),
     ).distinct()

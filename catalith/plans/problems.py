@@ -123,6 +123,18 @@ UNION ALL SELECT shard_id, name, 'only_replica', NULL, NULL FROM j WHERE no_a
 UNION ALL SELECT shard_id, name, 'size', s1::VARCHAR, s2::VARCHAR FROM j WHERE NOT no_a AND NOT no_b AND s1 IS DISTINCT FROM s2
 UNION ALL SELECT shard_id, name, 'sha256', h1, h2 FROM j WHERE NOT no_a AND NOT no_b AND h1 IS DISTINCT FROM h2""".format(with_=_LISTINGS)
 
+# every node of every line; entries and what their own property files holds, lists of lists taken apart
+_NUM = "CASE WHEN regexp_full_match(trim({0}), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') AND try_cast(trim({0}) AS DOUBLE) = floor(try_cast(trim({0}) AS DOUBLE)) THEN coalesce(try_cast(trim({0}) AS BIGINT), try_cast(try_cast(trim({0}) AS DOUBLE) AS BIGINT)) END"
+_NESTED = f"""WITH RECURSIVE lines AS (SELECT line_no, trim(line, chr(32) || chr(9) || chr(10) || chr(13)) AS line FROM raw_journal),
+t AS (SELECT l.line_no, t.key, t.type, t.atom, t.value, t.id, t.parent FROM (SELECT line_no, CASE WHEN json_valid(line) THEN line ELSE 'null' END AS line FROM lines WHERE line <> '') l, json_tree(l.line) t),
+e AS (SELECT o.line_no, o.id, p.atom AS pid, p.type AS kind FROM t o JOIN t p ON p.line_no = o.line_no AND p.parent = o.id AND p.key = 'package_id' WHERE o.type = 'OBJECT' AND p.type <> 'NULL'),
+h AS (SELECT e.line_no, e.id AS entry, f.id, f.type FROM e JOIN t f ON f.line_no = e.line_no AND f.parent = e.id AND f.key = 'files' WHERE f.type IN ('OBJECT', 'ARRAY')
+  UNION ALL SELECT h.line_no, h.entry, x.id, x.type FROM h JOIN t x ON x.line_no = h.line_no AND x.parent = h.id WHERE h.type = 'ARRAY'),
+f AS (SELECT line_no, entry, id FROM h WHERE type NOT IN ('ARRAY', 'NULL')),
+i AS (SELECT f.line_no, f.entry, f.id, a.atom ->> '$' AS fid, a.type AS fkind FROM f LEFT JOIN t a ON a.line_no = f.line_no AND a.parent = f.id AND a.key = 'file_id'),
+n AS (SELECT e.line_no, CASE WHEN e.kind <> 'BOOLEAN' THEN {_NUM.format("(e.pid ->> '$')")} END AS package_id, CASE WHEN i.id IS NULL THEN 0 WHEN i.fkind <> 'BOOLEAN' THEN {_NUM.format('i.fid')} END AS file_id FROM e LEFT JOIN i ON i.line_no = e.line_no AND i.entry = e.id)
+SELECT DISTINCT line_no, package_id, file_id FROM n"""
+
 _BLOBS = f"SELECT {digits_sql('content_hash')} AS h, min(first_seen_at) AS seen FROM content_blobs GROUP BY 1"
 _BAD_SQL = f"""WITH blobs AS ({_BLOBS}),
 pk AS (SELECT id, min(received_at) AS came FROM packages GROUP BY id),
@@ -145,6 +157,7 @@ SQL = {
     "p1_cells": _CELLS,
     "p1_found": f"SELECT shard_id, name, diff FROM ({_CELLS})",
     "p1_counts": f"SELECT shard_id, diff, count(*) AS n FROM ({_CELLS}) GROUP BY 1, 2",
+    "p2_found": _NESTED,
     "p3_found": f"{_BAD_SQL} SELECT DISTINCT ref, record_id, state FROM bad WHERE state IS NOT NULL",
     "p3_counts": f"{_BAD_SQL} SELECT ref, month, state, count(*) AS n FROM (SELECT DISTINCT ref, record_id, state, strftime(came AT TIME ZONE 'UTC', '%Y-%m') AS month FROM bad WHERE state IS NOT NULL) GROUP BY 1, 2, 3",
     "p4_found": "SELECT line_no FROM (SELECT line_no, min(line_no) OVER (PARTITION BY package_id) AS first FROM journal WHERE package_id IS NOT NULL) WHERE line_no > first",

@@ -1,4 +1,5 @@
 import json
+import time
 
 from catalith.operators.nested import JOURNAL, ROOT, files_of_entries, layout, number, parse, schema_graph, shred, table_of, _BAD
 
@@ -41,6 +42,19 @@ def test_deep_and_long_values():
 
 def test_numbers():
     assert [number(x) for x in (5, "5", " 5 ", "5.0", 5.0, "5e0", True, None, "x", 5.5, 2**63, "", [1], "NaN")] == [5, 5, 5, 5, 5, 5] + [None] * 8
+    assert [number(x) for x in ("1_000", "٣", "0x5", "5.", ".5", "-0.0", "1e-400000")] == [None, None, None, 5, None, 0, None]
+
+
+def test_numbers_are_exact_and_any_exponent_is_cheap():
+    began = time.time()
+    ids = [parse(f'{{"package_id": {x}}}')["package_id"] for x in ("9007199254740993.0", "90071992547409930e-1", "1e999999999", "1e99999999999999999999999", "-1e400000", "1" + "0" * 100_000, "0." + "9" * 100_000, "0e999999999")]
+    assert [number(x) for x in ids] == [9007199254740993] * 2 + [None] * 5 + [0]
+    assert [number(x) for x in ("9007199254740993.0", "1e999999999")] == [9007199254740993, None] and time.time() - began < 1
+
+
+def test_files_of_an_object_inside_are_not_the_entrys(spark):
+    lines = ['{"package_id": 1, "meta": {"files": [{"file_id": 5}]}}', '{"package_id": 2, "files": [{"file_id": 6, "package_id": 7}]}']
+    assert found(spark, *lines) == [(0, 1, 0), (1, 2, 6), (1, 7, 0)]
 
 
 def test_layout_inlines_singletons_only():
@@ -57,5 +71,6 @@ def test_tables_and_their_keys(spark):
     (root,) = table_of(rows, ROOT, ["shard.id"]).collect()
     (entry,) = table_of(rows, "entry", ["attrs.size", "attrs.ok", "x"]).collect()
     (file,) = table_of(rows, "file", ["blob_hash"]).collect()
+    assert (entry["via"], file["via"]) == ("entries", "files")
     assert root["shard.id"] == "s" and (entry["attrs.size"], entry["attrs.ok"], entry["x"]) == ("5", "true", None)
     assert (entry["parent"], entry["parent_node"]) == (ROOT, root["node"]) and (file["parent_node"], file["owner_id"], file["id"]) == (entry["node"], 1, 2)
