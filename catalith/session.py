@@ -19,6 +19,7 @@ def build_session(app: str = "catalith", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     } | conf
     return builder.config(map=settings).getOrCreate()
@@ -44,6 +45,16 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Deletes the files of a table that cut wrote and nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    rdd = df._jdf.queryExecution().analyzed().rdd()
+    file = rdd.getCheckpointFile()
+    if file.isDefined():
+        where = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def width(spark: SparkSession) -> int:
     """The number of shuffle partitions set for the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
