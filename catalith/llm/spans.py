@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.functions.arrays import longs, one
-from catalith.session import cut
+from catalith.operators.skew import salted_left_join
+from catalith.session import cut, drop_cut
 
 _U = np.uint64
 #: An odd multiplier of the rolling hash and its inverse modulo 2 ** 64.
@@ -70,12 +71,33 @@ def _later_least(hashes: np.ndarray, best: np.ndarray, step: int) -> np.ndarray:
     return np.where(hashes[b] <= hashes[a], b, a)
 
 
+_COUNT_BITS = 32
+
+
+def runs(text: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring anchors of one text with one hash, equally far apart, as runs: where each begins, and its step and how many follow.
+
+    Repetitive text has an anchor in every period, however long it is; its anchors are a few runs.
+    """
+    if not len(place):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    same = np.r_[False, (text[1:] == text[:-1]) & (hashes[1:] == hashes[:-1])]
+    step = np.where(same, np.r_[0, np.diff(place)], 0)
+    before = np.r_[0, step[:-1]]
+    first = np.flatnonzero(~(same & ((before == step) | (before == 0))))
+    more = np.diff(np.r_[first, len(place)]) - 1
+    step = np.where(more > 0, step[np.minimum(first + 1, len(place) - 1)], 0)
+    return first, step << _COUNT_BITS | more
+
+
 def _anchor_rows(gram: int, window: int, chunk: int):
     def flush(ids, since, texts) -> pa.RecordBatch:
         raw = "".join(texts).encode("utf-32-le", "surrogatepass")
         ends = np.cumsum([len(t) for t in texts])
         text, place, hashes = anchors(np.frombuffer(raw, np.uint32), ends, gram, window)
-        return pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(place + since[text]), pa.array(hashes.view(np.int64))], names=["doc", "place", "gram"])
+        first, run = runs(text, place, hashes)
+        text, place, hashes = text[first], place[first], hashes[first]
+        return pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(place + since[text]), pa.array(run), pa.array(hashes.view(np.int64))], names=["doc", "place", "run", "gram"])
 
     def run(batches):
         ids, since, parts, held = [], [], [], 0
@@ -94,21 +116,55 @@ def _anchor_rows(gram: int, window: int, chunk: int):
     return run
 
 
-def _around(gram: int, side: int):
-    """Cuts the surroundings of the places listed with each text."""
-    names = ["hi", "lo", "gram", "place", "left", "right"]
+def _places_of(place: int, run: int, gram: int, side: int):
+    """The places of a run, as first and last of those in a row that have the same text around them.
+
+    If the grams of a run overlap or touch, its text repeats every step, and all places that are side away from both
+    ends look alike.
+    """
+    step, more = run >> _COUNT_BITS, run & ((1 << _COUNT_BITS) - 1)
+    last = place + step * more
+    alike = -(-side // step) if 0 < step <= gram else more
+    if more > 2 * alike:
+        for i in range(alike):
+            yield place + i * step, place + i * step
+        yield place + alike * step, last - alike * step
+        place = last - (alike - 1) * step
+    for p in range(place, last + 1, max(1, step)):
+        yield p, p
+
+
+def _around(gram: int, side: int, span: int):
+    """Cuts the surroundings of the places listed with each text.
+
+    Places of a text no more than span apart that have the same surroundings come out as one row, from the first to the
+    last; so low-entropy text of any length gives few rows. Spans of at least span characters around all of them
+    together cover the whole stretch.
+    """
+    names = ["hi", "lo", "gram", "place", "upto", "left", "right"]
 
     def run(batches):
         rows: list[tuple] = []
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()] * 2)], names=names)
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), [pa.int64()] * 5 + [pa.string()] * 2)], names=names)
         for batch in batches:
             for hi, lo, text, at in zip(*(c.to_pylist() for c in batch.columns)):
-                for x in at:
-                    p = x["place"]
-                    rows.append((hi, lo, x["gram"], p, text[max(0, p - side) : p], text[p : p + gram + side]))
-                    if len(rows) >= 50_000:
-                        yield pack()
-                        rows = []
+                open_: dict[tuple, list[int]] = {}
+                for x in sorted(at, key=lambda x: x["place"]):
+                    for p, q in _places_of(x["place"], x["run"], gram, side):
+                        kind = (x["gram"], text[max(0, p - side) : p], text[p : p + gram + side])
+                        mine = open_.get(kind)
+                        if mine and mine[0] - span <= q and p <= mine[1] + span:
+                            mine[0], mine[1] = min(mine[0], p), max(mine[1], q)
+                        else:
+                            if mine:
+                                rows.append((hi, lo, kind[0], *mine, *kind[1:]))
+                            open_[kind] = [p, q]
+                        if len(rows) + len(open_) >= 50_000:
+                            rows += ((hi, lo, k[0], *r, *k[1:]) for k, r in open_.items())
+                            open_ = {}
+                            yield pack()
+                            rows = []
+                rows += ((hi, lo, k[0], *r, *k[1:]) for k, r in open_.items())
         if rows:
             yield pack()
 
@@ -151,17 +207,18 @@ def components(nodes: DataFrame, links: DataFrame, key: str, least: str) -> Data
     among its neighbours, and then the label that the node of this number has by now, so that labels travel in leaps; the
     rounds end when no label changes. Labels are folded before the shuffle, so a node with very many links is no task's own.
     """
-    state = cut(nodes.select(key, F.col(least).alias("own"), F.col(least).alias("label")))
+    state = cut(nodes.select(key, F.col(least).alias("own"), F.col(least).alias("was"), F.col(least).alias("label")))
     while True:
         heard = links.join(state.select(F.col(key).alias("b"), "label"), "b").groupBy(F.col("a").alias(key)).agg(F.min("label").alias("heard"))
         near = state.join(heard, key, "left").select(key, "own", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         near = cut(near)
+        old = state
         # a label is the number of a node, whose own label may be lower still
         ahead = near.where(F.col("label") < F.col("own")).select(F.col("own").alias("label"), F.col("label").alias("further"))
         state = cut(near.join(ahead, "label", "left").select(key, "own", "was", F.coalesce("further", "label").alias("label")))
+        drop_cut(old), drop_cut(near)
         if state.where(F.col("label") != F.col("was")).isEmpty():
             return state.select(key, F.col("label").alias(least))
-        state = state.drop("was")
 
 
 class SharedSpans:
@@ -173,47 +230,54 @@ class SharedSpans:
     different texts are compared exactly with what surrounds them; a shared stretch always lies within window - 1
     characters of an anchor it contains, so this decides by itself.
 
-    Texts that are exact copies are treated as one and expanded at the end. Anchors that stand in one text only are
+    Texts that are exact copies are treated as one and expanded at the end. Repetitive text, whatever its length, gives a
+    few runs of anchors and few different surroundings. Anchors that stand in one text only are
     dropped after a count by gram that is folded before the shuffle. Equal surroundings are compared once, however many
     texts have them, and pairs are dealt out by salts in proportion to their number. A gram with more than most_kinds
-    different surroundings is cut into finer blocks first, so that a common phrase shorter than a span brings no pairs.
+    different surroundings is cut into finer blocks first, so that a common phrase shorter than a span brings no pairs;
+    this changes the plan, not the rows.
     Texts are read chunk characters at a time, whatever their length.
     """
 
-    def __init__(self, df: DataFrame, key: str, text: str, span: int = 160, gram: int = 48, most_kinds: int = 500, chunk: int = 1_000_000):
+    def __init__(self, df: DataFrame, key: str, text: str, span: int = 160, gram: int = 48, most_kinds: int = 32, chunk: int = 1_000_000):
         self.most_kinds, self.chunk = most_kinds, chunk
         self.span, self.gram, self.window = span, gram, span - gram + 1
         long_ = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.char_length(text) >= span))
         self.docs = long_.select("doc", F.xxhash64("text").alias("hi"), F.xxhash64(F.lit(17), "text").alias("lo"), "text")
         self._places: DataFrame | None = None
+        self._known_kinds: DataFrame | None = None
         self._matches: DataFrame | None = None
 
     def places(self) -> DataFrame:
-        """hi, lo (the text), gram, place, left, right, ctx: the anchors whose gram stands in several texts, and their surroundings."""
+        """hi, lo (the text), gram, place, upto, left, right, ctx: the anchors whose gram stands in several texts, and their surroundings."""
         if self._places is None:
             w, g = self.window - 1, self.gram
-            found = cut(self.docs.select("doc", "text").mapInArrow(_anchor_rows(g, self.window, self.chunk), "doc long, place long, gram long"))
+            found = cut(self.docs.select("doc", "text").mapInArrow(_anchor_rows(g, self.window, self.chunk), "doc long, place long, run long, gram long"))
             several = found.groupBy("gram").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where(F.col("x") != F.col("y")).select("gram")
-            kept = found.join(several, "gram")
+            # one row stands for all copies of a text
+            first = self.docs.groupBy("hi", "lo").agg(F.min("doc").alias("doc")).select("doc")
             # a text's places, a few for each hundred characters, go with it as one list
-            at = kept.groupBy("doc").agg(F.collect_list(F.struct("place", "gram")).alias("at"))
+            at = found.join(several, "gram").groupBy("doc").agg(F.collect_set(F.struct("place", "run", "gram")).alias("at")).join(first, "doc", "left_semi")
             near = self.docs.join(at, "doc").select("hi", "lo", "text", "at")
-            near = near.mapInArrow(_around(g, w), "hi long, lo long, gram long, place long, left string, right string")
-            self._places = cut(near.withColumn("ctx", F.xxhash64("left", F.lit(0), "right")).distinct())
+            near = near.mapInArrow(_around(g, w, self.span), "hi long, lo long, gram long, place long, upto long, left string, right string")
+            self._places = cut(near.withColumn("ctx", F.xxhash64("left", F.lit(0), "right")))
+            drop_cut(found)
         return self._places
 
     def _kinds(self) -> DataFrame:
-        """gram, ctx, left, right, least, most, n: the different surroundings of each gram, the texts that have them, and their number."""
-        t = F.struct("hi", "lo")
-        kinds = self.places().groupBy("gram", "ctx").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.min(t).alias("least"), F.max(t).alias("most"))
-        sizes = kinds.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-        return kinds.join(sizes, "gram")
+        """gram, ctx, left, right, least, most, n: the different surroundings of each gram that has several, the texts that have them, and their number."""
+        if self._known_kinds is None:
+            t = F.struct("hi", "lo")
+            kinds = self.places().groupBy("gram", "ctx").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.min(t).alias("least"), F.max(t).alias("most"))
+            sizes = self.places().select("gram", "ctx").distinct().groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+            self._known_kinds = cut(kinds.join(sizes, "gram"))
+        return self._known_kinds
 
     def _windows(self, kinds: DataFrame, step: int) -> DataFrame:
-        """kinds with i and block: for each step, a hash of the gram and as much around it as a shared stretch must have.
+        """kinds with i and block: for each step, the gram and as much around it as a shared stretch must have.
 
         A stretch that agrees for x characters before the gram, with i = x // step, agrees for i * step of them and for
-        all that then has to follow it. With a step of 1 a block stands for one stretch of span characters.
+        all that then has to follow it. With a step of 1 a block is a stretch of span characters itself, else its hash.
         """
         w, g = self.window - 1, self.gram
         i = F.col("i")
@@ -221,7 +285,7 @@ class SharedSpans:
         cut_up = kinds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(w // step))))
         cut_up = cut_up.where((F.char_length("left") >= before) & (F.char_length("right") >= g + after))
         text = F.concat(F.substring("left", F.char_length("left") - before + 1, before), F.substring("right", F.lit(1), g + after))
-        return cut_up.withColumn("block", F.xxhash64("i", text))
+        return cut_up.withColumn("block", text if step == 1 else F.xxhash64("i", text))
 
     def _compared(self, kinds: DataFrame, on: list[str], step: int, apart: bool = False) -> DataFrame:
         """gram, ctx_a, ctx_b, before, after: the pairs of kinds, equal in on, that share a stretch.
@@ -269,7 +333,8 @@ class SharedSpans:
     def reach(self) -> DataFrame:
         """gram, ctx, before, after: how far around its gram the text of a kind is shared with another kind in another text.
 
-        Surroundings of a gram that has many are not paired for this: each of their stretches is looked up among all.
+        Surroundings of a gram that has many are not paired for this: each of their stretches is looked up among all,
+        as text.
         """
         few = self._few(apart=True)
         near = few.select("gram", F.col("ctx_a").alias("ctx"), "before", "after").unionByName(few.select("gram", F.col("ctx_b").alias("ctx"), "before", "after"))
@@ -309,20 +374,49 @@ class SharedSpans:
         both = across.unionByName(copies.where(F.col("a") < F.col("b")).select(F.col("a").alias("x"), F.col("b").alias("y")))
         return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
+    def _stars(self) -> tuple[DataFrame, DataFrame]:
+        """links (a, b), by which texts that share spans are connected, and t, n_links of each text that has any.
+
+        All texts with the same surroundings of a gram are linked to the least of them. Surroundings of a gram that has
+        few are linked pair by pair; of one that has many, those that share a stretch are linked to the least of them,
+        for each of their stretches. So there are at most about most_kinds links for each anchor, however many texts
+        share it.
+        """
+        t, w, key = F.struct("hi", "lo"), self.window - 1, ["gram", "ctx"]
+        texts = self.places().where(F.char_length("left") + F.char_length("right") >= self.span).select(F.struct("gram", "ctx").alias("kind"), t.alias("t")).distinct()
+        classes = cut(texts.groupBy("kind").agg(F.min("t").alias("hub"), F.count("*").alias("n")).select("kind.*", "hub", "n"))
+        few = cut(self._few())
+        a, b = (classes.select("gram", F.col("ctx").alias(f"ctx_{x}"), F.col("hub").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+        across = cut(few.join(a, ["gram", "ctx_a"]).join(b, ["gram", "ctx_b"]))
+        # stretches begin from w - after to before characters before the gram; the most pairs meet where one of them begins
+        met = lambda mine, other: across.select("gram", F.col(f"ctx_{mine}").alias("ctx"), F.struct((w - F.col("after")).alias("first"), F.col("before").alias("last"), F.col(f"n_{other}").alias("n")).alias("m"))
+        lists = met("a", "b").unionByName(met("b", "a")).groupBy(*key).agg(F.collect_list("m").alias("m"))
+        here = lambda at: F.aggregate(F.filter("m", lambda y: (y["first"] <= at) & (at <= y["last"])), F.lit(0).cast("long"), lambda s, y: s + y["n"])
+        near = lists.select(*key, F.array_max(F.transform("m", lambda x: here(x["first"]))).alias("more"))
+        many = self._windows(self._kinds().where(F.col("n") > self.most_kinds), 1).select(*key, "i", "block").join(classes, key)
+        groups = many.groupBy("gram", "i", "block").agg(F.min("hub").alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where(F.col("kinds") > 1)
+        far = cut(many.join(groups, ["gram", "i", "block"]).groupBy(*key, "hub", "top").agg(F.max(F.col("all") - F.col("n")).alias("more")))
+        most = near.unionByName(far.select(*key, "more")).groupBy(*key).agg(F.max("more").alias("more"))
+        full = classes.join(most, key, "left").select(F.struct("gram", "ctx").alias("kind"), "hub", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n")).where(F.col("n") > 0)
+        joined = cut(salted_left_join(texts, full, "kind", self.places().count()).where(F.col("hub").isNotNull()).select("t", "hub", "n"))
+        links = joined.select(F.col("t").alias("a"), F.col("hub").alias("b")).unionByName(across.select("a", "b")).unionByName(far.select(F.col("hub").alias("a"), F.col("top").alias("b")))
+        return links.where(F.col("a") != F.col("b")).distinct(), joined.groupBy("t").agg(F.max("n").alias("n_links"))
+
     def clusters(self) -> DataFrame:
         """doc, cluster, n_links, kept: the rows of at least span characters, by connected components of shared spans.
 
-        cluster is the least doc that can be reached through shared spans (copies are one text), n_links the number of
-        other texts that share a span with the row's own; kept is true for one row of each cluster, that least doc.
+        cluster is the least doc that can be reached through shared spans (copies are one text); n_links is how many
+        other texts share the one stretch of the row's text that most of them share (one that has it in different
+        surroundings counts for each); kept is true for one row of each cluster, that least doc. Texts that share a
+        stretch are not listed in pairs.
         """
         docs = self.docs.select(F.struct("hi", "lo").alias("t"), "doc")
-        links = cut(self.text_pairs())
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        links, counts = self._stars()
+        both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         texts = docs.groupBy("t").agg(F.min("doc").alias("least"))
         label = components(texts, both, "t", "least")
-        counts = both.groupBy("a").agg(F.count("*").alias("n"))
-        out = docs.join(label, "t").join(counts, docs["t"] == counts["a"], "left")
-        return out.select("doc", F.col("least").alias("cluster"), F.coalesce("n", F.lit(0)).alias("n_links"), (F.col("doc") == F.col("least")).alias("kept"))
+        out = docs.join(label, "t").join(counts, "t", "left")
+        return out.select("doc", F.col("least").alias("cluster"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("doc") == F.col("least")).alias("kept"))
 
     def coverage(self) -> DataFrame:
         """doc, n_chars, n_shared: for each row of at least span characters, how many of them lie in shared spans.
@@ -332,7 +426,7 @@ class SharedSpans:
         """
         w, g = self.window - 1, self.gram
         reach = self.reach()
-        places = self.places().select("gram", "ctx", "hi", "lo", "place", F.char_length("left").alias("l"), F.char_length("right").alias("r"))
+        places = self.places().select("gram", "ctx", "hi", "lo", "place", "upto", F.char_length("left").alias("l"), F.char_length("right").alias("r"))
         t = F.struct("hi", "lo")
         same = places.groupBy("gram", "ctx").agg(F.min(t).alias("x"), F.max(t).alias("y")).where(F.col("x") != F.col("y")).select("gram", "ctx", F.lit(True).alias("twice"))
         full = F.col("twice") & (F.col("l") + F.col("r") >= self.span)
@@ -340,7 +434,7 @@ class SharedSpans:
             "hi",
             "lo",
             (F.col("place") - F.when(full, F.col("l")).otherwise(F.col("before"))).alias("start"),
-            (F.col("place") + F.when(full, F.col("r")).otherwise(F.col("after") + g)).alias("stop"),
+            (F.col("upto") + F.when(full, F.col("r")).otherwise(F.col("after") + g)).alias("stop"),
         )
         spans = spans.where(F.col("start").isNotNull()).distinct()
         # a text's spans in order, each cut where the ones before it end; their number is bounded by the text's length
