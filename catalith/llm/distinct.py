@@ -18,6 +18,9 @@ REGISTERS = 1024
 #: Levels: which of the two group columns a group fixes.
 ALL, FIRST, SECOND, BOTH = 0, 1, 2, 3
 _FLUSH = 400_000
+#: Sketches with registers a task holds before it passes them on (of 4 KB each at 1,024 registers).
+_HELD = 8192
+_SALTS = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -105,8 +108,8 @@ def _sketch(level: np.ndarray, a: np.ndarray, b: np.ndarray, group: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), null(a), null(b), few, packed], schema=_ARROW)
 
 
-def _partial(m: int, levels: tuple[int, ...]):
-    """Sketches of a task's rows, one row for each level and group met."""
+def _partial(m: int, levels: tuple[int, ...], flush_rows: int, held_most: int):
+    """Sketches of a task's rows, one row for each level and group with registers, and what small groups hold flush_rows at a time."""
 
     def flush(parts: list) -> pa.RecordBatch:
         a, b, fp = (np.concatenate(x) for x in zip(*parts))
@@ -125,17 +128,40 @@ def _partial(m: int, levels: tuple[int, ...]):
         n = len(at)
         return _sketch(level[at], x[at], y[at], group, e.view(_U), m, np.zeros(n, bool), _Lazy(n, m))
 
+    def folded(fold: dict) -> pa.RecordBatch:
+        level, a, b = (np.array(x) for x in zip(*fold))
+        packed = pa.array([x.tobytes() for x in fold.values()], pa.binary())
+        null = lambda x: pa.array(x, mask=x == _NONE)
+        return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), null(a), null(b), pa.nulls(len(level), pa.binary()), packed], schema=_ARROW)
+
     def run(batches):
-        parts, held = [], 0
+        parts, held, fold = [], 0, {}
+
+        def take(parts: list):
+            """Folds the sketches with registers into what the task holds; the others go on."""
+            made = flush(parts)
+            dense = np.asarray(made.column(4).is_valid())
+            level = longs(made.column(0))[0]
+            a, b = (np.where(null, _NONE, x) for x, null in (longs(made.column(i)) for i in (1, 2)))
+            for i in np.flatnonzero(dense):
+                key, mine = (int(level[i]), int(a[i]), int(b[i])), np.frombuffer(made.column(4)[int(i)].as_py(), np.float32)
+                fold[key] = np.minimum(fold[key], mine) if key in fold else mine
+            return made.filter(pa.array(~dense))
+
         for batch in batches:
             (a, a_null), (b, b_null), (fp, _) = (longs(batch.column(i)) for i in range(3))
             parts.append((np.where(a_null, _NONE, a), np.where(b_null, _NONE, b), fp))
             held += batch.num_rows
-            if held >= _FLUSH:
-                yield flush(parts)
+            if held >= flush_rows:
+                yield take(parts)
                 parts, held = [], 0
+                if len(fold) >= held_most:
+                    yield folded(fold)
+                    fold.clear()
         if held:
-            yield flush(parts)
+            yield take(parts)
+        if fold:
+            yield folded(fold)
 
     return run
 
@@ -207,12 +233,15 @@ def _merge(m: int):
     return run
 
 
-def _grouped(partial: DataFrame) -> DataFrame:
+def _grouped(partial: DataFrame, m: int) -> DataFrame:
+    """Sketches of parts merged into one a group: those with registers first within as many shares of the tasks as there are salts."""
     keys = ("level", "a", "b")
-    return partial.repartition(*keys).sortWithinPartitions(*keys)
+    salt = F.when(F.col("registers").isNotNull(), F.pmod(F.spark_partition_id(), F.lit(_SALTS))).otherwise(F.lit(0))
+    some = partial.withColumn("salt", salt).repartition(*keys, "salt").sortWithinPartitions(*keys).select(*keys, "few", "registers").mapInArrow(_merge(m), _SCHEMA)
+    return some.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge(m), _SCHEMA)
 
 
-def distinct_sketches(df: DataFrame, a: Column, b: Column, key: Column, levels: tuple[int, ...] = (ALL, FIRST, SECOND, BOTH), m: int = REGISTERS) -> DataFrame:
+def distinct_sketches(df: DataFrame, a: Column, b: Column, key: Column, levels: tuple[int, ...] = (ALL, FIRST, SECOND, BOTH), m: int = REGISTERS, flush_rows: int = _FLUSH, held_most: int = _HELD) -> DataFrame:
     """Mergeable sketches of the distinct keys overall, per a, per b and per both: level, a, b, few, registers.
 
     a, b: integer group columns; null is a group of its own. key: BIGINT, 64 bits of an identifier; null is none, and
@@ -221,17 +250,37 @@ def distinct_sketches(df: DataFrame, a: Column, b: Column, key: Column, levels:
     sketches of parts merge to that of the whole, elementwise by minimum. A key repeated or spread over many rows, tasks
     or sketches counts once.
 
-    Each task folds its rows into one sketch a group before the shuffle, so a group that holds a third of all rows
-    reaches its merging task as one small row a task.
+    Each task folds its rows, flush_rows at a time, into one sketch a group before the shuffle (up to held_most of those
+    with registers at once), so a group that holds a third of all rows leaves it as one small row; these are merged in
+    two steps, so that no task merges a sketch of every other.
     """
     slim = df.select(a.cast("long").alias("a"), b.cast("long").alias("b"), key.alias("fp")).where(F.col("fp").isNotNull())
-    return _grouped(slim.mapInArrow(_partial(m, levels), _SCHEMA)).mapInArrow(_merge(m), _SCHEMA)
+    return _grouped(slim.mapInArrow(_partial(m, levels, flush_rows, held_most), _SCHEMA), m)
 
 
 def merge_sketches(sketches: DataFrame, level: Column, a: Column, b: Column, m: int = REGISTERS) -> DataFrame:
     """Sketches merged into coarser groups: level, a and b are those of the merged sketch, from the columns of the finer ones."""
     moved = sketches.select(level.cast("int").alias("level"), a.cast("long").alias("a"), b.cast("long").alias("b"), "few", "registers")
-    return _grouped(moved).mapInArrow(_merge(m), _SCHEMA)
+    return _grouped(moved, m)
+
+
+def exact_counts(df: DataFrame, a: Column, b: Column, key: Column, levels: tuple[int, ...] = (ALL, FIRST, SECOND, BOTH)) -> DataFrame:
+    """level, a, b, n_exact: what distinct_sketches estimates, counted exactly, to measure its error by.
+
+    Keys are made distinct within their groups before these are counted, so no group is one task's work.
+    """
+    slim = df.select(a.cast("long").alias("x"), b.cast("long").alias("y"), key.alias("fp")).where(F.col("fp").isNotNull()).distinct()
+    level = slim.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    of = lambda bit, c: F.when(F.col("level").bitwiseAND(bit) == bit, F.col(c)).otherwise(F.lit(_NONE + 1))
+    once = level.select("level", of(1, "x").alias("a"), of(2, "y").alias("b"), "fp").distinct()
+    return once.groupBy("level", "a", "b").agg(F.count("*").alias("n_exact"))
+
+
+def measured(sketched: DataFrame, exact: DataFrame) -> DataFrame:
+    """The rows of estimates, with n_exact, and inside: whether the interval holds it."""
+    same = (sketched["level"] == exact["level"]) & sketched["a"].eqNullSafe(exact["a"]) & sketched["b"].eqNullSafe(exact["b"])
+    joined = sketched.join(exact, same).select(sketched["*"], exact["n_exact"])
+    return joined.withColumn("inside", F.col("n_exact").between(F.floor("low"), F.ceil("high")))
 
 
 def estimates(sketches: DataFrame, m: int = REGISTERS, confidence: float = 0.95) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions.hashes import binary_key, digits_sql, has_digits, hash_key, known_key
 from catalith.functions.times import day_number
-from catalith.llm.distinct import ALL, BOTH, FIRST, SECOND, distinct_sketches, estimates, merge_sketches
+from catalith.llm.distinct import ALL, BOTH, FIRST, REGISTERS, SECOND, distinct_sketches, estimates, exact_counts, measured, merge_sketches
 from catalith.llm.encoding import count_tokens, encode_texts
 from catalith.llm.history import history_duplicates, incremental_duplicates
 from catalith.llm.membership import fingerprint, key_index, probe_index, seen_before, seen_report
@@ -46,10 +46,10 @@ def _uploads(spark: SparkSession, sf: str) -> DataFrame:
     return salted_left_join(files, packages.withColumnRenamed("id", "package_id"), "package_id", table(spark, sf, "package_files").count())
 
 
-def _named(counts: DataFrame) -> DataFrame:
+def _named(counts: DataFrame, *more: str) -> DataFrame:
     day = F.when(F.col("level").bitwiseAND(1) == 1, F.date_from_unix_date(F.col("a").cast("int")))
     names = F.create_map(*(F.lit(x) for x in (ALL, "all", FIRST, "day", SECOND, "supplier", BOTH, "day_supplier")))
-    return counts.select(names[F.col("level")].alias("level"), day.alias("day"), F.when(F.col("level").bitwiseAND(2) == 2, F.col("b")).alias("supplier_id"), "n", "low", "high", "exact")
+    return counts.select(names[F.col("level")].alias("level"), day.alias("day"), F.when(F.col("level").bitwiseAND(2) == 2, F.col("b")).alias("supplier_id"), *(more or ("n", "low", "high", "exact")))
 
 
 def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,6 +57,24 @@ def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _named(estimates(distinct_sketches(_uploads(spark, sf), F.col("day"), F.col("supplier_id"), F.col("fp"))))
 
 
+def _measured(spark: SparkSession, sf: str) -> DataFrame:
+    what = _uploads(spark, sf), F.col("day"), F.col("supplier_id"), F.col("fp")
+    return measured(estimates(distinct_sketches(*what)), exact_counts(*what))
+
+
+def p6_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact count of every group, and whether the estimate is within five standard errors of it."""
+    bound = F.when(F.col("exact"), F.lit(0.0)).otherwise(5 / (REGISTERS - 2) ** 0.5 * F.col("n_exact"))
+    return _named(_measured(spark, sf).withColumn("within", F.abs(F.col("n") - F.col("n_exact")) <= bound), "n_exact", "within").withColumn("day", F.col("day").cast("string"))
+
+
+def p6_error(spark: SparkSession, sf: str) -> DataFrame:
+    """What the estimates are off by: one row over all groups that are held as registers."""
+    off = F.col("n") / F.col("n_exact") - 1
+    rmse, inside = F.sqrt(F.avg(off * off)), F.avg(F.col("inside").cast("double"))
+    return _measured(spark, sf).where(~F.col("exact")).agg(F.count("*").alias("n_groups"), inside.alias("share_inside"), rmse.alias("relative_rmse"), F.max(F.abs(off)).alias("greatest_error"))
+
+
 def p6_months(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct content hashes per month, from the sketches of its days."""
     days = distinct_sketches(_uploads(spark, sf), F.col("day"), F.col("supplier_id"), F.col("fp"), (FIRST,))
@@ -139,7 +157,7 @@ def p10_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _spans(spark, sf).clusters().withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_incremental, p6_counts, p6_months, p7_found, p7_incremental, p7_report, p8_ids, p8_counts, p9_draw, p9_shares, p10_found, p10_shared, p10_clusters)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_incremental, p6_counts, p6_exact, p6_error, p6_months, p7_found, p7_incremental, p7_report, p8_ids, p8_counts, p9_draw, p9_shares, p10_found, p10_shared, p10_clusters)}
 
 _MEMBERS = f"""SELECT DISTINCT f.package_id AS id, {digits_sql('f.blob_hash')} AS h FROM package_files f WHERE f.role = 'member' AND {digits_sql('f.blob_hash')} IS NOT NULL AND f.package_id IN (SELECT id FROM packages)"""
 
@@ -157,9 +175,15 @@ WHERE y.batch < x.batch OR (y.batch = x.batch AND y.id < x.id) GROUP BY q.id"""
 _SEEN = f"""WITH e AS (SELECT entry_no, lower(hex(hash)) AS h, min(entry_no) OVER (PARTITION BY hash) AS first FROM segment_index WHERE hash IS NOT NULL)
 SELECT entry_no FROM e WHERE entry_no > first OR h IN (SELECT {digits_sql('content_hash')} FROM content_blobs WHERE content_hash IS NOT NULL)"""
 
+_LEVELS = (("all", "NULL::VARCHAR", "NULL::BIGINT"), ("day", "day", "NULL::BIGINT"), ("supplier", "NULL::VARCHAR", "supplier_id"), ("day_supplier", "day", "supplier_id"))
+_EXACT = f"""WITH p AS (SELECT id, min(supplier_id)::BIGINT AS supplier_id, (min(received_at) AT TIME ZONE 'UTC')::DATE::VARCHAR AS day FROM packages GROUP BY id),
+u AS (SELECT DISTINCT f.h, p.day, p.supplier_id FROM (SELECT package_id, {digits_sql('blob_hash')} AS h FROM package_files) f LEFT JOIN p ON f.package_id = p.id WHERE f.h IS NOT NULL)
+""" + " UNION ALL ".join(f"SELECT '{name}' AS level, {day} AS day, {supplier} AS supplier_id, count(DISTINCT h) AS n_exact, true AS within FROM u GROUP BY 1, 2, 3" for name, day, supplier in _LEVELS)
+
 SQL = {
     "p5_found": _REPEATS,
     "p5_incremental": _REPEATS,
+    "p6_exact": _EXACT,
     "p7_found": _SEEN,
     "p7_incremental": _SEEN,
 }
