@@ -13,7 +13,7 @@ from catalith.llm.distinct import ALL, BOTH, FIRST, REGISTERS, SECOND, distinct_
 from catalith.llm.encoding import count_tokens, encode_texts
 from catalith.llm.history import history_duplicates, incremental_duplicates
 from catalith.llm.membership import fingerprint, key_index, probe_index, seen_before, seen_report
-from catalith.llm.mixing import mix_report, mix_sources
+from catalith.llm.mixing import Mix, mix_report
 from catalith.llm.spans import SharedSpans
 from catalith.session import shared_dir
 from catalith.operators.skew import salted_left_join
@@ -124,11 +124,15 @@ def _targets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "mix_targets", "source", "target_share", "max_repeats")
 
 
-def p9_draw(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents drawn and how often each is used."""
+def _mix(spark: SparkSession, sf: str) -> Mix:
     documents = table(spark, sf, "documents", "doc_id", "text", "source", "lang", "tags")
     lang = F.lower(F.regexp_extract("lang", "^[A-Za-z]+", 0))
-    return mix_sources(documents, _targets(spark, sf), "doc_id", "text", "source", lang, F.try_element_at("tags", F.lit(1))).withColumnRenamed("doc", "doc_id")
+    return Mix(documents, _targets(spark, sf), "doc_id", "text", "source", lang, F.try_element_at("tags", F.lit(1)))
+
+
+def p9_draw(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents drawn and how often each is used."""
+    return _mix(spark, sf).drawn().select(F.col("doc").alias("doc_id"), "source", "n_tokens", "copies")
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,6 +140,22 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix_report(p9_draw(spark, sf), _targets(spark, sf))
 
 
+def p9_margins(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of every source, language and topic: wanted, planned by the weights, and drawn."""
+    return _mix(spark, sf).margins()
+
+
+def p9_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """For each source with a target: the documents it has, and whether none was drawn too often or from elsewhere."""
+    mix = _mix(spark, sf)
+    has = mix.counted.groupBy("source").agg(F.count("*").alias("n_documents"))
+    uses = mix.drawn().groupBy("source").agg(F.max("copies").alias("most"), F.count("*").alias("n_rows"), F.count_distinct("doc").alias("n_docs"))
+    targets = _targets(spark, sf).where(F.col("source").isNotNull()).groupBy("source").agg(F.min("max_repeats").alias("max_repeats"))
+    both = targets.join(has, "source", "left").join(uses, "source", "left")
+    kept = F.coalesce((F.col("most") <= F.col("max_repeats")) & (F.col("n_rows") == F.col("n_docs")) & (F.col("n_docs") <= F.col("n_documents")), F.lit(True))
+    return both.select("source", "max_repeats", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), kept.alias("within"))
+
+
 def _spans(spark: SparkSession, sf: str) -> SharedSpans:
     return SharedSpans(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -157,7 +177,7 @@ def p10_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _spans(spark, sf).clusters().withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_incremental, p6_counts, p6_exact, p6_error, p6_months, p7_found, p7_incremental, p7_report, p8_ids, p8_counts, p9_draw, p9_shares, p10_found, p10_shared, p10_clusters)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_incremental, p6_counts, p6_exact, p6_error, p6_months, p7_found, p7_incremental, p7_report, p8_ids, p8_counts, p9_draw, p9_shares, p9_margins, p9_limits, p10_found, p10_shared, p10_clusters)}
 
 _MEMBERS = f"""SELECT DISTINCT f.package_id AS id, {digits_sql('f.blob_hash')} AS h FROM package_files f WHERE f.role = 'member' AND {digits_sql('f.blob_hash')} IS NOT NULL AND f.package_id IN (SELECT id FROM packages)"""
 
@@ -186,4 +206,6 @@ SQL = {
     "p6_exact": _EXACT,
     "p7_found": _SEEN,
     "p7_incremental": _SEEN,
+    "p9_limits": """SELECT t.source, min(t.max_repeats) AS max_repeats, coalesce(min(d.n), 0) AS n_documents, true AS within FROM mix_targets t
+LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE length(text) > 0 AND doc_id IS NOT NULL GROUP BY 1) d ON d.source = t.source WHERE t.source IS NOT NULL GROUP BY t.source""",
 }

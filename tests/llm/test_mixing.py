@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from catalith.llm.mixing import largest_total, mix_report, mix_sources, rake
+from catalith.llm.mixing import Mix, largest_total, mix_report, rake
 
 
 def test_raking_meets_margins_within_caps():
@@ -27,10 +27,15 @@ TARGETS = "source string, target_share double, max_repeats int"
 
 
 def mix(spark, docs, targets, **more):
+    return made_and_drawn(spark, docs, targets, **more)[1:]
+
+
+def made_and_drawn(spark, docs, targets, **more):
     df = spark.createDataFrame([(*d, 1, "x") for d in docs], DOCS)
     t = spark.createDataFrame(targets, TARGETS)
-    drawn = mix_sources(df, t, "doc_id", "text", "source", F.col("lang"), F.try_element_at("tags", F.lit(1)), **more)
-    return drawn, {r["source"]: r for r in mix_report(drawn, t).collect()}
+    made = Mix(df, t, "doc_id", "text", "source", F.col("lang"), F.try_element_at("tags", F.lit(1)), **more)
+    drawn = made.drawn()
+    return made, drawn, {r["source"]: r for r in mix_report(drawn, t).collect()}
 
 
 def test_shares_are_reached(spark):
@@ -53,10 +58,34 @@ def test_a_total_that_a_source_cannot_fill(spark):
     assert report["a"]["n_tokens"] == 500 and report["b"]["n_tokens"] == 100 and report["b"]["most_uses"] == 2
 
 
-def test_rare_languages_and_topics_count_as_one(spark):
-    docs = [(i, " word" * 10, "a", f"l{i}", [f"t{i}"]) for i in range(60)]
-    drawn, report = mix(spark, docs, [("a", 1.0, 1)], total_tokens=300, most_langs=2, most_topics=2)
-    assert abs(report["a"]["n_tokens"] - 300) <= 10
+def test_every_language_and_topic_counts(spark):
+    rnd = random.Random(3)
+    docs = [(i, " word" * rnd.randrange(1, 20), rnd.choice("aab"), rnd.choice(["en", "de", None, f"l{i % 9}"]), rnd.choice([None, ["t"], [f"t{i % 70}"]])) for i in range(3000)]
+    targets = [("a", 0.3, 1), ("b", 0.7, 3)]
+    here, drawn, report = made_and_drawn(spark, docs, targets)
+    tables, _, other = made_and_drawn(spark, docs, targets, driver_cells=0)
+    weights = lambda made: {(r["source"], r["lang"], r["topic"]): r["weight"] for r in made.cells.collect()}
+    a, b = weights(here), weights(tables)
+    assert set(a) == set(b) and len(a) > 400 and all(abs(a[k] - b[k]) < 0.001 for k in a)
+    assert abs(report["a"]["actual_share"] - 0.3) < 0.003 and abs(other["a"]["actual_share"] - 0.3) < 0.003
+    rows = here.margins().collect()
+    assert {m: sum(r["margin"] == m for r in rows) for m in ("source", "lang", "topic")} == {"source": 2, "lang": len({d[3] for d in docs}), "topic": len({d[4][0] if d[4] else None for d in docs})}
+    for r in rows:
+        assert abs(r["planned_share"] - r["target_share"]) < (0.0001 if r["margin"] == "source" else 0.01) and abs(r["actual_share"] - r["planned_share"]) < 0.02
+    assert {r["copies"] for r in drawn.collect()} <= {1, 2, 3}
+
+
+def test_documents_keep_their_weight_on_average(spark):
+    # over many keys (the draws hash them), documents of one cell and any size are drawn as often as the cell's weight says
+    sizes = [1] * 50 + [20] * 10 + [300]
+    docs = [(i * 1000 + j, " word" * n, "a", "en", None) for i in range(40) for j, n in enumerate(sizes)]
+    docs += [(10**6 + i, " word" * 10, "b", "en", None) for i in range(4000)]
+    _, drawn, _ = made_and_drawn(spark, docs, [("a", 0.2, 1), ("b", 0.8, 1)], total_tokens=30_000)
+    used = {r["doc"] for r in drawn.collect()}
+    weight = 6000 / (40 * (50 + 200 + 300))
+    for n in (1, 20, 300):
+        mine = [d for d, t, s, *_ in docs if s == "a" and len(t) == 5 * n]
+        assert abs(len([d for d in mine if d in used]) / len(mine) - weight) < 0.05 + 1.5 / len(mine)
 
 
 def test_nothing_to_draw(spark):
