@@ -27,13 +27,13 @@ def supplier_id(raw: Column) -> tuple[Column, Column]:
 
 
 def validate_uploads(df: DataFrame, supplier: str, body: str, max_bytes: int | None = 16 << 20) -> DataFrame:
-    """df with supplier_id, payload_type, n_bytes and reason (null if the upload is accepted).
+    """df with supplier_id, payload_type, n_bytes and reason (null if the upload is accepted). body: STRING or BINARY.
 
     Reasons in order: a supplier reason, empty, too_large, too_small, unsupported. A null body is empty. With
     max_bytes None nothing is too large. Columns of df named like the added ones are replaced.
     """
     number, why = supplier_id(F.col(supplier).cast("string"))
-    size, kind = F.coalesce(F.octet_length(body), F.lit(0)), payload_type(F.col(body))
+    size, kind = F.coalesce(F.octet_length(body), F.lit(0)), payload_type(F.col(body).cast("string"))
     reason = F.coalesce(why, F.when(size == 0, "empty").when(F.lit(False) if max_bytes is None else size > max_bytes, "too_large").when(kind.isin("too_small", "unsupported"), kind))
     return df.withColumns({"supplier_id": number, "n_bytes": size, "payload_type": F.when(kind.isin("zip", "xml"), kind), "reason": reason})
 

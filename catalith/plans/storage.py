@@ -184,15 +184,22 @@ def segment_packing(spark, sf):
 @_query("SELECT package_id, (row_number() OVER (PARTITION BY package_id ORDER BY id) - 1)::INT AS sequence_number, name AS filename, strlen(h) AS n_bytes FROM (SELECT DISTINCT id, package_id, coalesce(original_filename, 'file_' || id) AS name, coalesce(" + digits_sql("blob_hash") + ", '') AS h FROM package_files WHERE role = 'member' AND package_id IS NOT NULL) WHERE name NOT LIKE '%..%' AND name NOT LIKE '%/'")
 def zip_members(spark, sf):
     """Every package's members packed into an archive (their digests as contents) and unpacked again."""
-    from catalith.sources.segments import archive_members, build_archives
+    from catalith.sources.segments import archive_members
+
+    out = archive_members(_archives(spark, sf), "package_id", "body").where(F.col("error").isNull())
+    return out.select("package_id", "sequence_number", "filename", F.octet_length("data").cast("long").alias("n_bytes"))
+
+
+def _archives(spark, sf):
+    """package_id, body: every package's members packed into an archive, their digests as contents."""
+    from catalith.sources.segments import build_archives
 
     m = C.clean(_files(spark, sf).where((F.col("role") == "member") & F.col("package_id").isNotNull()).select("id", "package_id", "original_filename", "blob_hash"), "blob_hash")
     name = F.coalesce("original_filename", F.concat(F.lit("file_"), F.col("id").cast("string")))
     x = F.struct("id", name.alias("name"), F.encode(F.coalesce("blob_hash", F.lit("")), "utf-8").alias("data"))
     lists = m.groupBy("package_id").agg(F.sort_array(F.collect_list(x)).alias("x"))
     lists = lists.select("package_id", F.transform("x", lambda y: F.struct(y["name"].alias("name"), y["data"].alias("data"))).alias("members"))
-    out = archive_members(build_archives(lists, "package_id", "members"), "package_id", "body").where(F.col("error").isNull())
-    return out.select("package_id", "sequence_number", "filename", F.octet_length("data").cast("long").alias("n_bytes"))
+    return build_archives(lists, "package_id", "members")
 
 
 @_query()
@@ -334,6 +341,52 @@ def ingest_pipeline(spark, sf):
     return ingest_batch(uploads, None, any_text=True, max_bytes=None).select(F.col("id").alias("doc_id"), "supplier_id", "package_hash", "canonical_id", "is_clone")
 
 
+_INTAKE = f"""WITH d AS (SELECT doc_id AS id, '<d>' || text || '</d>' AS body FROM documents WHERE author_id BETWEEN 1 AND 1000000 AND text IS NOT NULL),
+m AS (SELECT 1000000000 + package_id AS id, (row_number() OVER (PARTITION BY package_id ORDER BY id) - 1)::INT AS sequence_number, name, h FROM (SELECT DISTINCT id, package_id, coalesce(original_filename, 'file_' || id) AS name, coalesce({digits_sql("blob_hash")}, '') AS h FROM package_files WHERE role = 'member' AND package_id IS NOT NULL) WHERE name NOT LIKE '%..%' AND name NOT LIKE '%/'),
+f AS (SELECT id AS package_id, 'original' AS role, NULL::VARCHAR AS original_filename, NULL::INT AS sequence_number, sha256(body) AS blob_hash, strlen(body) AS size FROM d
+UNION ALL SELECT id, 'member', name, sequence_number, sha256(h), strlen(h) FROM m)"""
+
+
+def _taken(spark, sf) -> dict[str, DataFrame]:
+    """Every document, as XML, and every package's members, as an archive, taken in; those of more than 20 members unpacked later."""
+    from catalith.operators.intake import take_in, unpack_late
+
+    d = table(spark, sf, "documents", "doc_id", "author_id", "text", "created_at")
+    none = F.lit(None).cast("string").alias("filename")
+    plain = d.select(F.col("doc_id").alias("id"), F.col("author_id").cast("string").alias("supplier"), F.col("created_at").alias("received_at"), none, F.encode(F.concat(F.lit("<d>"), "text", F.lit("</d>")), "utf-8").alias("body"))
+    zips = _archives(spark, sf).select((F.col("package_id") + 10**9).alias("id"), F.lit("1").alias("supplier"), F.lit(None).cast("timestamp").alias("received_at"), none, "body")
+    uploads = plain.unionByName(zips)
+    taken = take_in(uploads, max_bytes=None, large_entries=20)
+    return unpack_late(taken["packages"], taken["package_files"], uploads.select("id", "body"))
+
+
+def _no_archives(taken: dict[str, DataFrame]) -> DataFrame:
+    """The files but the archives themselves, whose bytes SQL does not know."""
+    xml = taken["packages"].where(F.col("payload_type") == "xml").select(F.col("id").alias("package_id"))
+    files = taken["package_files"]
+    return files.where(F.col("role") != "original").unionByName(files.where(F.col("role") == "original").join(xml, "package_id", "left_semi"))
+
+
+@_query(f"{_INTAKE} SELECT package_id, role, original_filename, sequence_number, blob_hash FROM f")
+def ingest_files(spark, sf):
+    return _no_archives(_taken(spark, sf)).drop("size")
+
+
+@_query(f"{_INTAKE} SELECT blob_hash AS content_hash, min(size)::BIGINT AS size, count(*) AS ref_count FROM f GROUP BY 1")
+def ingest_blobs(spark, sf):
+    from catalith.operators.intake import blob_rows
+
+    taken = _taken(spark, sf)
+    return blob_rows(taken["packages"], _no_archives(taken)).select("content_hash", F.col("size").cast("long").alias("size"), "ref_count")
+
+
+@_query(f"""{_INTAKE}, x AS (SELECT id, min(id) OVER (PARTITION BY body) AS first, 1 AS n FROM d), z AS (SELECT id, count(*) AS n, string_agg(sequence_number || name || h, '|' ORDER BY sequence_number) AS b FROM m GROUP BY id),
+w AS (SELECT id, first, n FROM x UNION ALL SELECT id, min(id) OVER (PARTITION BY b), n + 1 FROM z) SELECT id, CASE WHEN first < id THEN first END AS canonical_package_id, n::INT AS file_count FROM w""")
+def ingest_packages(spark, sf):
+    """The packages taken in: what each repeats, and how many files it has; archives without members left out, which SQL sees none of."""
+    return _taken(spark, sf)["packages"].where((F.col("payload_type") == "xml") | (F.col("file_count") > 1)).select("id", "canonical_package_id", "file_count")
+
+
 @_query(f"""WITH j AS (SELECT package_id, arg_max(line_no, line_no) AS line_no FROM journal WHERE package_id IS NOT NULL GROUP BY 1),
 f AS (SELECT f.file_id AS id, j.package_id, {digits_sql('f.blob_hash')} AS h FROM (SELECT package_id, line_no, unnest(files) AS f FROM journal) x JOIN j USING (package_id, line_no) WHERE f IS NOT NULL),
 g AS (SELECT h, count(*) AS n FROM (SELECT DISTINCT id, h FROM f) WHERE h IS NOT NULL GROUP BY 1),

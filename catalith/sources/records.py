@@ -22,36 +22,83 @@ _POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
 _KNOWN = frozenset(MAGIC.values())
 
 
+_BLOCK = 512
+
+
 @lru_cache
-def _tables(n: int = 8) -> list[list[int]]:
-    """Remainders of all bytes followed by 0 to n - 1 zero bytes."""
-    first = []
-    for x in range(256):
-        for _ in range(8):
-            x = (x >> 1) ^ (_POLYNOMIAL if x & 1 else 0)
-        first.append(x)
+def _tables() -> np.ndarray:
+    """Remainders of all bytes followed by 0 to 7 zero bytes."""
+    first = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        first = (first >> 1) ^ np.where(first & 1, np.uint32(_POLYNOMIAL), np.uint32(0))
     tables = [first]
-    for _ in range(n - 1):
-        tables.append([(x >> 8) ^ first[x & 255] for x in tables[-1]])
-    return tables
+    for _ in range(7):
+        tables.append((tables[-1] >> 8) ^ first[tables[-1] & 255])
+    return np.stack(tables)
+
+
+def _bytewise(tables: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return tables[0][crc & 255] ^ tables[1][crc >> 8 & 255] ^ tables[2][crc >> 16 & 255] ^ tables[3][crc >> 24]
+
+
+@lru_cache
+def _shift(power: int) -> np.ndarray:
+    """What 2 ** power zero bytes make of a remainder, by its four bytes."""
+    values = np.arange(256, dtype=np.uint32) << (np.arange(4, dtype=np.uint32) * np.uint32(8))[:, None]
+    if power == 0:
+        return (values >> 8) ^ _tables()[0][values & 255]
+    half = _shift(power - 1)
+    return _bytewise(half, _bytewise(half, values))
+
+
+def crc32c_many(payloads: list) -> np.ndarray:
+    """CRC-32C of each of many bytes-like objects.
+
+    Each is cut into blocks, the first filled up with zeros in front, which do not change a remainder that starts at
+    zero. All blocks are worked through together, eight bytes a step, then joined in their order; what the start value
+    contributes depends on the length alone.
+    """
+    sizes = np.array([len(p) for p in payloads], np.int64)
+    if sizes.sum() > 1 << 26 and len(payloads) > 1:
+        half = len(payloads) // 2
+        return np.concatenate([crc32c_many(payloads[:half]), crc32c_many(payloads[half:])])
+    blocks = np.maximum(1, -(-sizes // _BLOCK))
+    ends = np.cumsum(blocks)
+    data = np.zeros(int(ends[-1] if len(ends) else 0) * _BLOCK, np.uint8)
+    for p, size, end in zip(payloads, sizes.tolist(), (ends * _BLOCK).tolist()):
+        data[end - size : end] = np.frombuffer(p, np.uint8)
+    words, t = data.view("<u4").reshape(-1, _BLOCK // 4).T.copy(), _tables()
+    crc = np.zeros(words.shape[1], np.uint32)
+    for a, b in zip(words[::2], words[1::2]):
+        crc = _bytewise(t[7:3:-1], a ^ crc) ^ _bytewise(t[3::-1], b)
+    first = ends - blocks
+    out = crc[first]
+    for i in range(1, int(blocks.max(initial=1))):
+        more = np.flatnonzero(blocks > i)
+        out[more] = _bytewise(_shift(_BLOCK.bit_length() - 1), out[more]) ^ crc[first[more] + i]
+    start = np.full(len(sizes), 0xFFFFFFFF, np.uint32)
+    for power in range(int(sizes.max(initial=0)).bit_length()):
+        longer = np.flatnonzero(sizes >> power & 1)
+        start[longer] = _bytewise(_shift(power), start[longer])
+    return out ^ start ^ np.uint32(0xFFFFFFFF)
 
 
 def crc32c(data: bytes) -> int:
-    """CRC-32C of data, eight bytes a step."""
-    t = _tables()
-    crc, n = 0xFFFFFFFF, len(data) & ~7
-    for (word,) in struct.iter_unpack("<Q", memoryview(data)[:n]):
-        word ^= crc
-        crc = t[7][word & 255] ^ t[6][word >> 8 & 255] ^ t[5][word >> 16 & 255] ^ t[4][word >> 24 & 255] ^ t[3][word >> 32 & 255] ^ t[2][word >> 40 & 255] ^ t[1][word >> 48 & 255] ^ t[0][word >> 56]
-    for byte in data[n:]:
-        crc = (crc >> 8) ^ t[0][(crc ^ byte) & 255]
-    return crc ^ 0xFFFFFFFF
+    return int(crc32c_many([data])[0])
+
+
+def encode_records(magics: list[int], payloads: list[bytes]) -> list[bytes]:
+    return [HEADER.pack(m, len(p)) + p + struct.pack("<I", c) for m, p, c in zip(magics, payloads, crc32c_many(payloads).tolist())]
 
 
 def encode_record(magic: int, payload: bytes) -> bytes:
     return HEADER.pack(magic, len(payload)) + payload + struct.pack("<I", crc32c(payload))
 
 
+def encode_record(magic: int, payload: bytes) -> bytes:
+    return encode_records([magic], [payload])[0]
+
+
 def encode_footer(records: int, size: int) -> bytes:
     return _FOOT.pack(records, size, FOOTER_MAGIC)
 
@@ -64,24 +111,33 @@ def read_footer(data: bytes) -> tuple[int, int] | None:
     return (records, size) if magic == FOOTER_MAGIC else None
 
 
+def decode_records(raw: list[bytes]) -> list[tuple[int, bytes, bool]]:
+    """magic, payload and crc_ok of whole records; one that is cut off is not ok and comes out empty."""
+    raw = [r if len(r) >= RECORD_OVERHEAD else bytes(RECORD_OVERHEAD - 1) + b"\1" for r in raw]
+    heads = [HEADER.unpack_from(r) for r in raw]
+    payloads = [r[HEADER.size : HEADER.size + size] for r, (_, size) in zip(raw, heads)]
+    sums = [struct.unpack_from("<I", r, len(r) - 4)[0] for r in raw]
+    return [(magic, p, c == s and len(p) == size) for (magic, size), p, s, c in zip(heads, payloads, sums, crc32c_many(payloads).tolist())]
+
+
 def scan_segment(data: bytes):
     """offset, magic, payload, crc_ok of the records of a segment, up to the first place where none can begin.
 
     Footers are skipped wherever they stand, and a record without payload is one. A record whose checksum is wrong
     comes out with crc_ok false, and the scan goes on behind it.
     """
-    at = 0
+    at, places = 0, []
     while len(data) - at >= HEADER.size:
         magic, size = HEADER.unpack_from(data, at)
         end = at + RECORD_OVERHEAD + size
         if magic in _KNOWN and end <= len(data):
-            payload = bytes(data[at + HEADER.size : end - 4])
-            yield at, magic, payload, struct.unpack_from("<I", data, end - 4)[0] == crc32c(payload)
+            places.append((at, end))
             at = end
         elif len(data) - at >= FOOTER and _FOOT.unpack_from(data, at)[2] == FOOTER_MAGIC:
             at += FOOTER
         else:
-            return
+            break
+    return [(at, *r) for (at, _), r in zip(places, decode_records([data[a:b] for a, b in places]))]
 
 
 def encode_index(rows: np.ndarray) -> bytes:

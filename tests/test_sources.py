@@ -18,6 +18,39 @@ def test_crc32c_of_known_text():
     assert R.crc32c(b"123456789") == 0xE3069283 and R.crc32c(b"") == 0
 
 
+def test_crc32c_of_many():
+    def slow(data):
+        crc = 0xFFFFFFFF
+        for byte in data:
+            crc ^= byte
+            for _ in range(8):
+                crc = (crc >> 1) ^ (0x82F63B78 if crc & 1 else 0)
+        return crc ^ 0xFFFFFFFF
+
+    rnd = random.Random(4)
+    data = [rnd.randbytes(n) for n in (0, 1, 7, 8, 9, 511, 512, 513, 1024, 3000, 5)] + [b"\0" * 700]
+    assert R.crc32c_many(data).tolist() == list(map(slow, data)) and len(R.crc32c_many([])) == 0
+
+
+def test_contents_stored_and_read_by_their_index(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = [(i % 2, i, XML, None if i == 5 else rnd.randbytes(rnd.choice([0, 5, 800, 3000])), rnd.randbytes(32), 7, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "shard_id int, order long, magic long, payload binary, hash binary, supplier_id long, dict_id long")
+    index = G.store_contents(df, str(tmp_path), 8000).collect()
+    assert len(index) == 60 and len({(r["shard_id"], r["segment_id"]) for r in index}) > 6
+    files = {(s, int(f.stem[-4:])): f for s in (0, 1) for f in (tmp_path / f"shard_{s:04d}").glob("*.dat")}
+    assert all(f.stat().st_size <= 8000 for f in files.values()) and len(files) == len({(r["shard_id"], r["segment_id"]) for r in index})
+    by_file = {r["segment_id"]: r for r in G.read_indexes(spark, str(tmp_path / "shard_0001")).where("segment_id = 1").collect()}
+    assert by_file and all(r["supplier_id"] == 7 for r in by_file.values())
+    places = spark.createDataFrame([(r["shard_id"], r["segment_id"], r["offset"], r["stored_size"]) for r in index], "shard_id int, segment_id int, offset long, stored_size long")
+    got = {(r["shard_id"], r["segment_id"], r["offset"]): r for r in G.read_places(places.unionByName(places), str(tmp_path), 1000).collect()}
+    want = {bytes(h): p or b"" for *_, p, h, _, _ in rows}
+    assert len(got) == 60 and all(got[r["shard_id"], r["segment_id"], r["offset"]]["payload"] == want[bytes(r["hash"])] and got[r["shard_id"], r["segment_id"], r["offset"]]["crc_ok"] for r in index)
+    wrong = spark.createDataFrame([(0, 0, 1, 50), (0, 0, 10**9, 50)], "shard_id int, segment_id int, offset long, stored_size long")
+    assert not any(r["crc_ok"] for r in G.read_places(wrong, str(tmp_path)).collect())
+    assert G.store_contents(df.limit(0), str(tmp_path / "none")).count() == 0
+
+
 def test_scan_goes_on_behind_footers_and_empty_records():
     parts = [R.encode_record(XML, b"one"), R.encode_footer(1, 15), R.encode_record(ZIP, b""), R.encode_record(XML, b"three")]
     rows = list(R.scan_segment(b"".join(parts)))
