@@ -41,3 +41,8 @@ def registry(primary: DataFrame, replica: DataFrame) -> DataFrame:
 def read_route(state: Column, has_replica: Column) -> Column:
     """Where a shard is read: its replica once it is sealed and has one."""
     return F.when((state == "sealed") & F.coalesce(has_replica, F.lit(False)), "replica").otherwise("primary")
+
+
+def seal_due(total_bytes: Column, threshold: Column) -> Column:
+    """Whether a shard has reached the size at which it is sealed; null bytes have not."""
+    return F.coalesce(total_bytes >= threshold, F.lit(False))

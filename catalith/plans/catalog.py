@@ -9,6 +9,8 @@ from catalith.functions.hashes import digits_sql
 from catalith.functions.times import utc_month
 from catalith.operators import catalog as C
 from catalith.operators import payloads as P
+from catalith.operators.bloom import bloom_index, might_contain
+from catalith.session import cut
 from catalith.tables import table
 
 QUERIES = {}
@@ -54,10 +56,10 @@ def canonical_packages(spark, sf):
     return C.canonical_packages(_packages(spark, sf))
 
 
-@_query(f"WITH {_K}, {_P} SELECT canonical_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS clones FROM k WHERE id <> canonical_id GROUP BY canonical_id")
+@_query(f"WITH {_K} SELECT canonical_id, id AS clone_id FROM k WHERE id <> canonical_id")
 def clones_of(spark, sf):
-    """The clones of every canonical package."""
-    return C.canonical_packages(_packages(spark, sf)).where("is_clone").groupBy("canonical_id").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string"))).alias("clones"))
+    """The clones of every canonical package, a row each, as one may have any number of them."""
+    return C.canonical_packages(_packages(spark, sf)).where("is_clone").select("canonical_id", F.col("id").alias("clone_id"))
 
 
 @_query(f"WITH {_B} SELECT count(*) AS n FROM b")
@@ -182,10 +184,24 @@ def blob_lookup(spark, sf):
 
 @_query(f"WITH {_B}, {_F} SELECT DISTINCT f.h AS blob_hash FROM f WHERE h IS NOT NULL AND h NOT IN (SELECT h FROM b)")
 def new_vs_existing_blobs(spark, sf):
-    """The hashes that files name and the catalog lacks."""
-    named = C.named(_files(spark, sf))
+    """The hashes that files name and the catalog lacks: those a Bloom filter rules out, and of the others those an exact lookup does."""
+    named = C.named(_files(spark, sf)).withColumn("key", F.xxhash64("blob_hash"))
     b = C.blobs(_content(spark, sf)).select("content_hash")
-    return named.join(b, named["blob_hash"] == b["content_hash"], "left_anti")
+    gated = cut(might_contain(named, "key", bloom_index(b, F.xxhash64("content_hash"))))
+    maybe = gated.where("maybe").select("blob_hash")
+    return gated.where("NOT maybe").select("blob_hash").unionByName(maybe.join(b, maybe["blob_hash"] == b["content_hash"], "left_anti"))
+
+
+@_query(f"WITH {_B}, {_F}, n AS (SELECT DISTINCT h, h IN (SELECT h FROM b) AS known FROM f WHERE h IS NOT NULL) SELECT count(*) AS n_asked, count(*) FILTER (WHERE known) AS n_known, 0::BIGINT AS n_missed, true AS within FROM n")
+def bloom_gate(spark, sf):
+    """The gate held against exact lookups: known hashes it missed, and whether it let no more through than three times its rate and ten."""
+    named = C.named(_files(spark, sf)).withColumn("key", F.xxhash64("blob_hash"))
+    b = C.blobs(_content(spark, sf)).select("content_hash")
+    gated = might_contain(named, "key", bloom_index(b, F.xxhash64("content_hash"), 0.01))
+    known = F.col("content_hash").isNotNull()
+    both = gated.join(b, gated["blob_hash"] == b["content_hash"], "left")
+    sums = both.agg(F.count("*").alias("n_asked"), F.count_if(known).alias("n_known"), F.count_if(known & ~F.col("maybe")).alias("n_missed"), F.count_if(~known & F.col("maybe")).alias("n_false"))
+    return sums.select("n_asked", "n_known", "n_missed", (F.col("n_false") <= 10 + 0.03 * (F.col("n_asked") - F.col("n_known"))).alias("within"))
 
 
 @_query(f'WITH {_B} SELECT h AS content_hash, segment_id, "offset", size FROM b')
@@ -236,9 +252,16 @@ _GO_SPACE = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 _TYPE = f"CASE WHEN strlen(text) < 4 THEN 'too_small' WHEN starts_with(text, 'PK') THEN 'zip' WHEN regexp_matches(text, '^{_GO_SPACE}*<') THEN 'xml' WHEN text IS NOT NULL THEN 'unsupported' END"
 
 
-@_query(f"SELECT doc_id, {_TYPE} AS payload_type FROM documents")
+_KINDS = "(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'PK' || text WHEN 1 THEN ' ' || chr(10) || chr(8195) || '<' || text ELSE text END AS text FROM documents)"
+
+
+@_query(f"SELECT doc_id, {_TYPE} AS payload_type FROM {_KINDS}")
 def detect_payload(spark, sf):
-    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", P.payload_type(F.col("text")).alias("payload_type"))
+    """What each text is taken for, a quarter of them made to begin like archives and a quarter like XML."""
+    d = table(spark, sf, "documents", "doc_id", "text")
+    turn = F.col("doc_id") % 4
+    body = F.when(turn == 0, F.concat(F.lit("PK"), "text")).when(turn == 1, F.concat(F.lit(" \n\u2003<"), "text")).otherwise(F.col("text"))
+    return d.select("doc_id", P.payload_type(body).alias("payload_type"))
 
 
 @_query(f"""SELECT doc_id, CASE WHEN s IS NULL THEN 'missing' WHEN s NOT BETWEEN 1 AND 1000000 THEN 'out_of_range' WHEN coalesce(strlen(text), 0) = 0 THEN 'empty' WHEN strlen(text) > 20000 THEN 'too_large'
@@ -250,7 +273,7 @@ def ingest_validation(spark, sf):
 
 @_query(f"WITH {_P} SELECT id, CASE WHEN sz > 20000 OR coalesce(file_count, 0) - 1 > 20 THEN 'raw_large' ELSE 'zip_with_members' END AS route FROM (SELECT DISTINCT p.id, p.file_count, coalesce(t.sz, 0) AS sz FROM p LEFT JOIN (WITH {_F}, {_B} SELECT package_id, sum(size) AS sz FROM f JOIN b ON f.h = b.h WHERE role = 'original' GROUP BY 1) t ON t.package_id = p.id WHERE p.payload_type = 'zip')")
 def zip_routing(spark, sf):
-    """Archives of more than 20,000 bytes or 20 members are kept whole (limits lowered to the test data)."""
+    """Archives of more than 20,000 bytes or 20 members are kept whole (limits of the query: the test tables have few larger ones)."""
     own = C.files_with_blobs(_files(spark, sf).where(F.col("role") == "original"), _content(spark, sf)).groupBy("package_id").agg(F.sum("size").alias("sz"))
     zips = _packages(spark, sf).where(F.col("payload_type") == "zip").select("id", "file_count").distinct()
     both = zips.join(own, zips["id"] == own["package_id"], "left")
@@ -289,10 +312,12 @@ def uuid_valid(spark, sf):
     return m.select("doc_id", u.alias("u"), P.is_uuid(u).alias("valid"))
 
 
-@_query("SELECT entry_no, (octet_length(hash) >= 4 AND hex(hash)[1:8] = '28B52FFD') AS is_frame FROM segment_index WHERE hash IS NOT NULL")
+@_query("SELECT doc_id, doc_id % 3 = 0 AS is_frame FROM documents WHERE text IS NOT NULL")
 def zstd_magic(spark, sf):
-    s = table(spark, sf, "segment_index", "entry_no", "hash").where(F.col("hash").isNotNull())
-    return s.select("entry_no", P.is_zstd(F.col("hash")).alias("is_frame"))
+    """Which texts are frames: a third of them were made to begin like one, another third almost."""
+    d = table(spark, sf, "documents", "doc_id", "text").where(F.col("text").isNotNull())
+    head = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("28B52FFD"))).when(F.col("doc_id") % 3 == 1, F.unhex(F.lit("28B52FFC"))).otherwise(F.unhex(F.lit("28B52F")))
+    return d.select("doc_id", P.is_zstd(F.concat(head, F.encode("text", "utf-8"))).alias("is_frame"))
 
 
 @_query("SELECT entry_no, lower(hex(hash)) AS digits, true AS same FROM segment_index WHERE hash IS NOT NULL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from catalith.operators import metrics as X
 from catalith.operators import ordered as O
 from catalith.operators import shards as S
 from catalith.plans.catalog import _B, _content, _files, _packages
+from catalith.session import cut, remove, shared_dir
 from catalith.tables import table
 
 QUERIES = {}
@@ -89,9 +92,12 @@ def active_shard_semi(spark, sf):
     return _listing(spark, sf).select("shard_id", "name", "size").distinct().join(active, "shard_id", "left_semi")
 
 
-@_query(f"WITH {_T} SELECT shard_id, total_bytes FROM t WHERE total_bytes >= 52428800")
+@_query(f"WITH {_T} SELECT shard_id, total_bytes, total_bytes >= (SELECT (sum(total_bytes) // count(*))::BIGINT FROM t) AS due FROM t")
 def seal_due(spark, sf):
-    return S.shard_totals(_listing(spark, sf)).where(F.col("total_bytes") >= 52_428_800).select("shard_id", "total_bytes")
+    """Which shards have reached the size at which they are sealed, here the mean of all."""
+    totals = S.shard_totals(_listing(spark, sf))
+    mean = F.broadcast(totals.agg(F.expr("sum(total_bytes) div count(*)").alias("mean")))  # one row
+    return totals.join(mean).select("shard_id", "total_bytes", S.seal_due(F.col("total_bytes"), F.col("mean")).alias("due"))
 
 
 @_query(f"WITH {_T} SELECT min((SELECT max(total_bytes) FROM t) - total_bytes)::BIGINT AS min_free, count(*) AS n FROM t WHERE shard_id < (SELECT max(shard_id) FROM t)")
@@ -165,12 +171,32 @@ def valid_prefix(spark, sf):
     return O.valid_prefix(rows, "segment_id", ["offset", "entry_no"], good).select("entry_no", "segment_id", "kept")
 
 
-@_query("""WITH b AS (SELECT segment_id, "offset", min(entry_no) AS entry_no, count(*) AS n FROM segment_index GROUP BY 1, 2) SELECT i.entry_no, b.entry_no AS first_there, b.n FROM segment_index i JOIN b ON i.segment_id = b.segment_id AND i."offset" = b."offset" """)
+@_query("SELECT doc_id, strlen(text) AS n_bytes, sha256(text) AS digest, true AS crc_ok FROM documents WHERE text IS NOT NULL")
 def point_read(spark, sf):
-    """For every entry, what stands at its segment and offset."""
-    rows = _index(spark, sf, "entry_no", "segment_id", "offset")
-    at = rows.groupBy("segment_id", "offset").agg(F.min("entry_no").alias("first_there"), F.count("*").alias("n"))
-    return rows.join(at, ["segment_id", "offset"]).select("entry_no", "first_there", "n")
+    """Every text stored once in the segments of four shards, then read for each document by hash, index and place."""
+    from catalith.sources.segments import read_places, store_contents
+
+    d = table(spark, sf, "documents", "doc_id", "text").where(F.col("text").isNotNull())
+    d = d.select("doc_id", F.encode("text", "utf-8").alias("payload")).withColumn("hash", F.unhex(F.sha2("payload", 256)))
+    first = d.groupBy("hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    shard = F.pmod(F.crc32("hash"), F.lit(4)).cast("int")
+    once = d.join(first, "doc_id", "left_semi").select(shard.alias("shard_id"), F.col("doc_id").alias("order"), F.lit(O.MAGIC["XML1"]).alias("magic"), "payload", "hash", F.lit(1).alias("supplier_id"), F.lit(0).alias("dict_id"))
+    path = f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+    index = cut(store_contents(once, path, 4 << 20))
+    found = read_places(index, path).join(index.select("shard_id", "segment_id", "offset", "hash"), ["shard_id", "segment_id", "offset"])
+    read = cut(found.select("hash", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("digest"), "crc_ok"))
+    remove(spark, path)
+    return d.select("doc_id", "hash").join(read, "hash").select("doc_id", "n_bytes", "digest", "crc_ok")
+
+
+@_query("SELECT doc_id, strlen(text) AS n_bytes, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
+def compress_roundtrip(spark, sf):
+    """Every text compressed where that makes it smaller, and read back."""
+    from catalith.sources.compression import compress, decompress
+
+    d = table(spark, sf, "documents", "doc_id", "text").where(F.col("text").isNotNull()).select("doc_id", F.encode("text", "utf-8").alias("raw"))
+    back = decompress(compress(d, "raw").select("doc_id", "stored"), "stored")
+    return back.select("doc_id", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("digest"))
 
 
 @_query()
@@ -387,16 +413,49 @@ def ingest_packages(spark, sf):
     return _taken(spark, sf)["packages"].where((F.col("payload_type") == "xml") | (F.col("file_count") > 1)).select("id", "canonical_package_id", "file_count")
 
 
-@_query(f"""WITH j AS (SELECT package_id, arg_max(line_no, line_no) AS line_no FROM journal WHERE package_id IS NOT NULL GROUP BY 1),
-f AS (SELECT f.file_id AS id, j.package_id, {digits_sql('f.blob_hash')} AS h FROM (SELECT package_id, line_no, unnest(files) AS f FROM journal) x JOIN j USING (package_id, line_no) WHERE f IS NOT NULL),
+_LAST = "j AS (SELECT package_id, max(line_no) AS line_no FROM journal WHERE package_id IS NOT NULL GROUP BY 1)"
+_RESTORED = f"{_LAST}, f AS (SELECT f.file_id AS id, j.package_id, {digits_sql('f.blob_hash')} AS h, f.role, f.original_filename, f.sequence_number FROM (SELECT package_id, line_no, unnest(files) AS f FROM journal) x JOIN j USING (package_id, line_no) WHERE f IS NOT NULL)"
+
+
+def _rebuilt(spark, sf) -> dict[str, DataFrame]:
+    from catalith.operators.rebuild import rebuild
+
+    return rebuild(table(spark, sf, "journal"), _index(spark, sf))
+
+
+@_query(f"""WITH {_RESTORED},
 g AS (SELECT h, count(*) AS n FROM (SELECT DISTINCT id, h FROM f) WHERE h IS NOT NULL GROUP BY 1),
 e AS (SELECT lower(hex(hash)) AS h, arg_max(logical_size, entry_no) AS size, arg_max(stored_size, entry_no) AS stored_size, arg_max(segment_id, entry_no) AS segment_id FROM segment_index WHERE hash IS NOT NULL GROUP BY 1)
 SELECT e.h AS content_hash, e.size, CASE WHEN e.stored_size = 0 THEN e.size ELSE e.stored_size END AS stored_size, e.segment_id, coalesce(g.n, 0) AS ref_count FROM e LEFT JOIN g ON e.h = g.h""")
 def rebuild_catalog(spark, sf):
     """The blobs of a catalog made anew from the index and the journal, references counted."""
-    from catalith.operators.rebuild import rebuild
+    return _rebuilt(spark, sf)["content_blobs"]
+
+
+@_query(f"WITH {_RESTORED} SELECT id, package_id, h AS blob_hash, role, original_filename, sequence_number FROM f")
+def rebuild_files(spark, sf):
+    return _rebuilt(spark, sf)["package_files"]
+
+
+@_query(f"""WITH {_LAST} SELECT package_id AS id, supplier_id, epoch_us(try_cast(received_at AS TIMESTAMPTZ)) AS received_at, {digits_sql('package_hash')} AS package_hash, payload_type, storage_mode, original_filename, canonical_package_id, file_count, unpack_error
+FROM journal JOIN j USING (package_id, line_no)""")
+def rebuild_packages(spark, sf):
+    return _rebuilt(spark, sf)["packages"].withColumn("received_at", F.unix_micros("received_at"))
+
 
-    return rebuild(table(spark, sf, "journal"), _index(spark, sf))["content_blobs"]
+@_query(f"""WITH {_RESTORED}, e AS (SELECT DISTINCT lower(hex(hash)) AS h FROM segment_index WHERE hash IS NOT NULL)
+SELECT (SELECT count(*) FROM j) AS n_packages, (SELECT count(*) FROM f) AS n_files, (SELECT count(*) FROM e) AS n_blobs, (SELECT count(DISTINCT h) FROM f WHERE h IS NOT NULL AND h NOT IN (SELECT h FROM e)) AS n_unplaced""")
+def rebuild_dry_run(spark, sf):
+    """What a rebuild would restore, and how many blobs its files name that no index entry places."""
+    t = _rebuilt(spark, sf)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    named = t["package_files"].where(F.col("blob_hash").isNotNull()).select(F.col("blob_hash").alias("content_hash")).distinct()
+    lost = named.join(t["content_blobs"], "content_hash", "left_anti")
+    parts = [count(t["packages"], "n_packages"), count(t["package_files"], "n_files"), count(t["content_blobs"], "n_blobs"), count(lost, "n_unplaced")]
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.join(F.broadcast(p))  # one row each
+    return one
 
 
 @_query()

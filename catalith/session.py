@@ -55,6 +55,12 @@ def drop_cut(df: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder, with all that is in it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def width(spark: SparkSession) -> int:
     """The number of shuffle partitions set for the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
