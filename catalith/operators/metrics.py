@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The upper bounds of the histogram's buckets.
@@ -35,3 +35,11 @@ def request_rate(df: DataFrame, keys: list[str], at: str, window: str = "1 minut
     """keys, start, n, rate: requests in each tumbling window that has any, and how many a second."""
     per = df.where(F.col(at).isNotNull()).groupBy(F.window(at, window).alias("w"), *keys).agg(F.count("*").alias("n"))
     return per.select(*keys, F.col("w.start").alias("start"), "n", (F.col("n") / seconds).alias("rate"))
+
+
+def exposition(df: DataFrame, name: str, labels: list[str], value: Column) -> DataFrame:
+    """line STRING: each row as a line of the text exposition format, its labels in the given order; a null label is empty."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    parts = [F.concat(F.lit(f'{c}="'), escaped(c), F.lit('"')) for c in labels]
+    head = F.concat(F.lit(f"{name}{{"), F.concat_ws(",", *parts), F.lit("} ")) if labels else F.lit(f"{name} ")
+    return df.select(F.concat(head, value.cast("string")).alias("line"))

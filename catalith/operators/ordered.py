@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalith.functions.arrays import longs
+from catalith.session import cut
 
 #: Bytes around a record's payload, of a segment's footer, and the magic numbers of records.
 RECORD_OVERHEAD, FOOTER = 12, 32
@@ -91,34 +93,93 @@ def pack_segments(df: DataFrame, shard: str, order: str, size: str, most: int) -
     return rows.groupBy(shard).applyInArrow(run, f"`{shard}` {kinds[shard]}, `{order}` {kinds[order]}, segment int, offset long")
 
 
-def shard_cuts(df: DataFrame, order: str, key: str, size: str, most: int, bits: int = 16) -> list[int]:
+def _cuts_in(most: int):
+    """The places at which shards are full, from one table of at, h, g (128 bits of the key) and size, by at."""
+
+    def run(table: pa.Table) -> pa.Table:
+        at, h, g, size = (longs(table[c])[0] for c in ("at", "h", "g", "size"))
+        by = np.argsort(at, kind="stable")
+        at, size = at[by], size[by]
+        _, key = np.unique(np.stack([h[by], g[by]], axis=1), axis=0, return_inverse=True)
+        order = np.lexsort((np.arange(len(key)), key.ravel()))
+        same = np.r_[False, key.ravel()[order][1:] == key.ravel()[order][:-1]]
+        before = np.full(len(at), -1)  # the row before with the same key
+        before[order[same]] = order[np.flatnonzero(same) - 1]
+        cuts, first = [], 0
+        step = 4096
+        while first < len(at):
+            held, last = 0, None
+            for lo in range(first, len(at), step):
+                hi = min(lo + step, len(at))
+                bytes_ = held + np.cumsum(np.where(before[lo:hi] < first, size[lo:hi], 0))
+                full = int(np.searchsorted(bytes_, most))
+                if full < hi - lo:
+                    last = lo + full
+                    break
+                held = int(bytes_[-1])
+            if last is None:
+                break
+            cuts.append(int(at[last]))
+            first = last + 1
+        return pa.table({"cut": pa.array(cuts, pa.int64())})
+
+    return run
+
+
+def _next_cut(left: DataFrame, most: int, bits: int) -> int | None:
+    """The place of the first cut, however many rows come before it: keys are folded before the shuffle, bytes added up by buckets."""
+    first = left.groupBy("h", "g").agg(F.min("at").alias("at"), F.min_by("size", "at").alias("size"))
+    first = first.withColumn("bucket", F.shiftright("at", bits))
+    placed = _carried(first, [], "bucket", F.col("size"), F.sum, F.lit(0), "before")
+    here = F.sum("size").over(W.partitionBy("bucket").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return placed.withColumn("bytes", F.col("before") + here).where(F.col("bytes") >= most).agg(F.min("at")).first()[0]
+
+
+def shard_cuts(df: DataFrame, order: str, key: str, size: str, most: int, bits: int = 16, window_rows: int = 1_000_000) -> list[int]:
     """The last place of each full shard when the feed is taken in by order, a unique BIGINT.
 
     A shard takes in rows until the bytes of its different keys reach most, counting a key once a shard; the row that
-    reaches it is its last. Each shard costs a pass over what is left of the feed, in which keys are folded before the
-    shuffle and bytes added up by buckets of 2 ** bits places; only the place of the cut comes to the driver. Rows
-    with a null order or key bring no bytes; null sizes count as 0.
+    reaches it is its last. Where the next shard begins depends on where this one ends, so the feed is gone through in
+    its order, a window of about window_rows rows at a time, in which one task finds all cuts from hashes and sizes; a
+    shard that does not end within a window is cut by a distributed pass of its own. Only the places of the cuts come
+    to the driver. Rows with a null order or key bring no bytes; null sizes count as 0.
     """
-    slim = df.where(F.col(order).isNotNull() & F.col(key).isNotNull()).select(F.col(order).cast("long").alias("at"), F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
+    slim = df.where(F.col(order).isNotNull() & F.col(key).isNotNull()).select(
+        F.col(order).cast("long").alias("at"), F.xxhash64(key).alias("h"), F.xxhash64(F.lit(17), key).alias("g"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size")
+    )
+    slim = cut(slim)
+    buckets = cut(slim.groupBy(F.shiftright("at", bits).alias("bucket")).agg(F.count("*").alias("n")))
+    upto = F.sum("n").over(W.orderBy("bucket"))  # one row for 2 ** bits places
     cuts: list[int] = []
     while True:
         left = slim.where(F.col("at") > cuts[-1]) if cuts else slim
-        first = left.groupBy("key").agg(F.min("at").alias("at"), F.min_by("size", "at").alias("size"))
-        first = first.withColumn("bucket", F.shiftright("at", bits))
-        placed = _carried(first, [], "bucket", F.col("size"), F.sum, F.lit(0), "before")
-        here = F.sum("size").over(W.partitionBy("bucket").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow))
-        full = placed.withColumn("bytes", F.col("before") + here).where(F.col("bytes") >= most)
-        cut = full.agg(F.min("at")).first()[0]
-        if cut is None:
+        ahead = buckets.where(F.col("bucket") >= (cuts[-1] >> bits)) if cuts else buckets
+        end = ahead.withColumn("upto", upto).where((F.col("upto") <= window_rows) | (F.col("upto") == F.col("n"))).agg(F.max("bucket")).first()[0]
+        if end is None:
             return cuts
-        cuts.append(cut)
+        near = left.where(F.shiftright("at", bits) <= end).withColumn("all", F.lit(0))
+        found = sorted(r[0] for r in near.groupBy("all").applyInArrow(_cuts_in(most), "cut long").collect())
+        if not found:
+            far = _next_cut(left, most, bits)
+            if far is None:
+                return cuts
+            found = [far]
+        cuts += found
 
 
 def assign_shards(df: DataFrame, order: str, key: str, size: str, most: int, to: str = "shard") -> DataFrame:
     """df with to INT: the number of the shard each row falls into, by shard_cuts; null for a null order."""
-    cuts = shard_cuts(df, order, key, size, most)
-    passed = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    return df.withColumn(to, F.when(F.col(order).isNotNull(), passed))
+    cuts = df.sparkSession.sparkContext.broadcast(np.array(shard_cuts(df, order, key, size, most), np.int64))  # 8 bytes a shard
+    rest = df.drop(to)
+    at = rest.columns.index(order)
+
+    def run(batches):
+        for batch in batches:
+            place, null = longs(batch.column(at))
+            shard = pa.array(np.searchsorted(cuts.value, place, side="left").astype(np.int32), mask=null)
+            yield pa.RecordBatch.from_arrays([*batch.columns, shard], names=[*batch.schema.names, to])
+
+    return rest.mapInArrow(run, T.StructType([*rest.schema, T.StructField(to, T.IntegerType())]))
 
 
 def carry_signal(df: DataFrame, keys: list[str], at: str, tie: str, signal: Column, period: str = "day") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from catalith.functions.times import utc_month
 from catalith.operators import catalog as C
 from catalith.operators import payloads as P
 from catalith.operators.bloom import bloom_index, might_contain
-from catalith.session import cut
+from catalith.session import cut, shared_dir
+from catalith.sources.buckets import BucketStore
 from catalith.tables import table
 
 QUERIES = {}
@@ -182,6 +185,19 @@ def blob_lookup(spark, sf):
     return asked.join(b, asked["hash"] == b["content_hash"], "left").select("hash", F.col("content_hash").isNotNull().alias("known"), "size", "ref_count")
 
 
+@_query(f"""WITH {_B}, {_F}, n AS (SELECT DISTINCT h FROM f WHERE h IS NOT NULL) SELECT n.h AS content_hash, b.segment_id, b."offset", b.size FROM n JOIN b ON n.h = b.h""")
+def stored_index(spark, sf):
+    """The hot index stored in buckets by hash, in two batches, and looked up for the hashes that files name."""
+    store = BucketStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "content_hash string, segment_id int, offset long, size int", "content_hash", 32)
+    rows = C.blobs(_content(spark, sf)).select("content_hash", "segment_id", "offset", "size")
+    half = F.crc32(F.encode("content_hash", "utf-8")) % 2 == 0
+    store.put(rows.where(half), 0)
+    store.put(rows.where(~half), 1)
+    found = cut(store.get(C.named(_files(spark, sf)).select("blob_hash")))
+    store.truncate()
+    return found
+
+
 @_query(f"WITH {_B}, {_F} SELECT DISTINCT f.h AS blob_hash FROM f WHERE h IS NOT NULL AND h NOT IN (SELECT h FROM b)")
 def new_vs_existing_blobs(spark, sf):
     """The hashes that files name and the catalog lacks: those a Bloom filter rules out, and of the others those an exact lookup does."""

@@ -104,6 +104,12 @@ def p4_kept(spark: SparkSession, sf: str) -> DataFrame:
     return first_deliveries(_journal(spark, sf), "package_id", "line_no")
 
 
+def p4_by_arrival(spark: SparkSession, sf: str) -> DataFrame:
+    """The entry of each package that was received first (by line where times are equal or missing)."""
+    j = table(spark, sf, "journal", "line_no", "package_id", "received_at").withColumn("at", F.col("received_at").try_cast("timestamp"))
+    return first_deliveries(j, "package_id", "line_no", ["at"]).select("line_no", "package_id", F.unix_micros("at").alias("arrived"))
+
+
 def p4_accepted(spark: SparkSession, sf: str) -> DataFrame:
     """What the second half of the batches adds to the first half's identifiers."""
     entries = _journal(spark, sf)
@@ -151,7 +157,7 @@ bad AS (SELECT r.ref, r.record_id, r.came,
   FROM refs r LEFT JOIN parents p ON p.target = r.target AND p.h = r.h LEFT JOIN gone g ON g.table_name = r.target AND g.h = r.h
   WHERE r.h IS NOT NULL)"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cells, p1_counts, p2_found, p2_entries, p2_files, p2_tables, p3_found, p3_counts, p4_found, p4_kept, p4_accepted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cells, p1_counts, p2_found, p2_entries, p2_files, p2_tables, p3_found, p3_counts, p4_found, p4_kept, p4_by_arrival, p4_accepted)}
 
 SQL = {
     "p1_cells": _CELLS,
@@ -162,6 +168,8 @@ SQL = {
     "p3_counts": f"{_BAD_SQL} SELECT ref, month, state, count(*) AS n FROM (SELECT DISTINCT ref, record_id, state, strftime(came AT TIME ZONE 'UTC', '%Y-%m') AS month FROM bad WHERE state IS NOT NULL) GROUP BY 1, 2, 3",
     "p4_found": "SELECT line_no FROM (SELECT line_no, min(line_no) OVER (PARTITION BY package_id) AS first FROM journal WHERE package_id IS NOT NULL) WHERE line_no > first",
     "p4_kept": "SELECT line_no, batch_id, package_id FROM (SELECT *, min(line_no) OVER (PARTITION BY package_id) AS first FROM journal) WHERE line_no = first OR package_id IS NULL",
+    "p4_by_arrival": """SELECT line_no, package_id, epoch_us(t) AS arrived FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY t NULLS LAST, line_no) AS n
+FROM (SELECT line_no, package_id, try_cast(received_at AS TIMESTAMPTZ) AS t FROM journal)) WHERE n = 1 OR package_id IS NULL""",
     "p4_accepted": """WITH n AS (SELECT line_no, batch_id, package_id, batch_id * 2 > (SELECT max(batch_id) FROM journal) AS new FROM journal)
 SELECT min(line_no) AS line_no, arg_min(batch_id, line_no) AS batch_id, package_id FROM n WHERE new AND package_id NOT IN (SELECT package_id FROM n WHERE NOT new) GROUP BY package_id""",
 }

@@ -199,7 +199,10 @@ def compress_roundtrip(spark, sf):
     return back.select("doc_id", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("digest"))
 
 
-@_query()
+@_query("""WITH RECURSIVE x AS (SELECT shard_id, line_no, (coalesce(strlen(line), 0) + 12)::BIGINT AS size, row_number() OVER (PARTITION BY shard_id ORDER BY line_no) AS n FROM raw_journal),
+r AS (SELECT shard_id, line_no, n, 0 AS segment, 0::BIGINT AS start, size AS used FROM x WHERE n = 1
+UNION ALL SELECT x.shard_id, x.line_no, x.n, CASE WHEN r.used + x.size > 65536 - 32 THEN r.segment + 1 ELSE r.segment END, CASE WHEN r.used + x.size > 65536 - 32 THEN 0 ELSE r.used END, CASE WHEN r.used + x.size > 65536 - 32 THEN x.size ELSE r.used + x.size END
+FROM r JOIN x ON x.shard_id IS NOT DISTINCT FROM r.shard_id AND x.n = r.n + 1) SELECT shard_id, line_no, segment, start AS "offset" FROM r""")
 def segment_packing(spark, sf):
     """The journal lines of each shard, packed into segments of 64 KiB."""
     lines = table(spark, sf, "raw_journal", "shard_id", "line_no", "line")
@@ -318,6 +321,12 @@ def http_metrics(spark, sf):
     return e.groupBy(F.col("event_type").alias("route"), F.floor(F.col("user_id") / 100).alias("code")).agg(F.count("*").alias("n"))
 
 
+@_query("""SELECT 'requests_total{route="' || replace(replace(route, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '",code="' || code || '"} ' || n AS line FROM (SELECT event_type AS route, floor(user_id / 100)::BIGINT AS code, count(*) AS n FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL GROUP BY 1, 2)""")
+def metrics_exposition(spark, sf):
+    counts = http_metrics(spark, sf).where(F.col("route").isNotNull() & F.col("code").isNotNull())
+    return X.exposition(counts, "requests_total", ["route", "code"], F.col("n"))
+
+
 _BOUNDS = ", ".join(f"({b}::DOUBLE)" for b in X.BOUNDS) + ", ('inf'::DOUBLE)"
 _BUCKETS = f"SELECT event_type, le, (SELECT count(*) FROM events x WHERE x.event_type = k.event_type AND x.value <= b.le) AS n FROM (SELECT DISTINCT event_type FROM events WHERE value IS NOT NULL) k, (VALUES {_BOUNDS}) b(le)"
 
@@ -458,7 +467,7 @@ def rebuild_dry_run(spark, sf):
     return one
 
 
-@_query()
+@_query("SELECT min(doc_id) AS doc_id, sha256(text) AS package_hash FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY 2")
 def stream_dedup(spark, sf):
     """The first document of each text, by a stream that has read the table to its end."""
     from catalith.streaming.ingest import stream_first_texts

@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.sources.segments import archive_members
+from catalith.session import exists
+from catalith.sources.segments import archive_members, opened
 
 SHARD = "shard_id INT, shard_uuid STRING, state STRING, primary_url STRING, replica_url STRING, total_bytes BIGINT"
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def folder_files(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
     """name, size, modified_unix of all files under path, and sha256 if asked for; the contents are read only then."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -39,6 +35,40 @@ def archive_samples(spark: SparkSession, path: str, suffix: str = ".xml", most:
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """The shards of a JSON array in a file; none if the file does not exist."""
-    if not _there(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], SHARD)
     return spark.read.schema(SHARD).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
+def _contents(spark: SparkSession, path: str) -> DataFrame:
+    """name (path below the folder), size, digest of all files under path; none if it does not exist."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "name string, size long, digest string")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.substr("path", F.lit(len(whole) + 2)).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+
+
+def sync_folder(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Copies the files under source that target lacks or holds otherwise; returns name and size of those copied.
+
+    Both are folders or URIs all executors share. Files are compared by their digests and copied by the tasks, each
+    under another name until it is complete. Files only target has stay. The copying happens when the result is read.
+    """
+    theirs = _contents(spark, target).select("name", F.col("digest").alias("there"))
+    due = _contents(spark, source).join(theirs, "name", "left").where(F.col("there").isNull() | (F.col("there") != F.col("digest"))).select("name", "size")
+
+    def run(batches):
+        (src, root), (dst, to) = opened(source), opened(target)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                folder = f"{to}/{name}".rpartition("/")[0]
+                dst.create_dir(folder, recursive=True)
+                with src.open_input_stream(f"{root}/{name}") as data, dst.open_output_stream(f"{to}/{name}.part") as out:
+                    while block := data.read(1 << 22):
+                        out.write(block)
+                dst.move(f"{to}/{name}.part", f"{to}/{name}")
+            yield batch
+
+    return due.repartition("name").mapInArrow(run, "name string, size long")

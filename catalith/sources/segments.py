@@ -67,7 +67,7 @@ def read_indexes(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "segment_id int, " + ", ".join(f"{n} long" for n in numbers) + ", hash binary")
 
 
-def _opened(path: str) -> tuple[files.FileSystem, str]:
+def opened(path: str) -> tuple[files.FileSystem, str]:
     """The file system of a path or URI (local, HDFS, an object store) and the path in it."""
     return files.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
@@ -89,7 +89,7 @@ def write_segments(records: DataFrame, path: str) -> DataFrame:
         rows = sorted(zip(table["offset"].to_pylist(), table["magic"].to_pylist(), table["payload"].to_pylist()))
         number = table["segment_id"][0].as_py()
         body = b"".join(encode_records([m for _, m, _ in rows], [p or b"" for *_, p in rows]))
-        system, folder = _opened(path)
+        system, folder = opened(path)
         system.create_dir(folder, recursive=True)
         _put(system, f"{folder}/segment_{number:04d}.dat", body + encode_footer(len(rows), len(body)))
         return pa.table({"segment_id": pa.array([number], pa.int32()), "n_records": [len(rows)], "n_bytes": [len(body)]})
@@ -124,7 +124,7 @@ def store_contents(contents: DataFrame, path: str, most: int = 64 << 20) -> Data
             rows[name] = [np.void((x or b"").ljust(32, b"\0")) for x in values] if name == "hash" else [x or 0 for x in values]
         body = b"".join(records)
         shard, segment = table["shard_id"][0].as_py(), table["segment_id"][0].as_py()
-        system, folder = _opened(f"{path}/shard_{shard:04d}")
+        system, folder = opened(f"{path}/shard_{shard:04d}")
         system.create_dir(folder, recursive=True)
         _put(system, f"{folder}/segment_{segment:04d}.dat", body + encode_footer(len(records), len(body)))
         _put(system, f"{folder}/segment_{segment:04d}.idx", encode_index(rows))
@@ -142,7 +142,7 @@ def read_places(places: DataFrame, path: str, chunk: int = 32 << 20) -> DataFram
     """
 
     def run(batches):
-        system, folder = _opened(path)
+        system, folder = opened(path)
         open_, held, asked = (None, None), 0, []
 
         def flush() -> pa.RecordBatch:

@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from catalith.operators.payloads import validate_uploads
 from catalith.operators.skew import salted_left_join
-from catalith.session import cut, drop_cut, exists, remove, shared_dir
+from catalith.session import cut, drop_cut, remove, shared_dir
+from catalith.sources.buckets import BucketStore
 
 
 def ingest_batch(uploads: DataFrame, stored: DataFrame | None, any_text: bool = False, max_bytes: int | None = 16 << 20, any_size: bool = False) -> DataFrame:
@@ -33,16 +34,6 @@ def ingest_batch(uploads: DataFrame, stored: DataFrame | None, any_text: bool =
     return rows.join(first, "package_hash").select("id", "supplier_id", "payload_type", "n_bytes", "package_hash", canonical.alias("canonical_id"), (canonical != F.col("id")).alias("is_clone"))
 
 
-def _known(spark: SparkSession, path: str, hashes: DataFrame, before: int) -> DataFrame:
-    """package_hash, before (canonical id) of what batches before a number brought, from the buckets of the given hashes alone."""
-    wanted = sorted(r[0] for r in hashes.select("bucket").distinct().collect())
-    paths = [p for b in wanted if exists(spark, p := f"{path}/bucket={b}")]
-    if not paths:
-        return spark.createDataFrame([], "package_hash string, before long")
-    rows = spark.read.option("basePath", path).schema("package_hash string, before long, bucket int, batch long").parquet(*paths)
-    return rows.where(F.col("batch") < before).groupBy("package_hash").agg(F.min("before").alias("before"))
-
-
 def ingest_stream(uploads: DataFrame, table_path: str, checkpoint: str, any_text: bool = False, any_size: bool = False, buckets: int = 64) -> StreamingQuery:
     """A stream of uploads taken in batch by batch into the Parquet table at table_path, until the source is read to its end.
 
@@ -50,17 +41,17 @@ def ingest_stream(uploads: DataFrame, table_path: str, checkpoint: str, any_text
     hashes fall into and appends those that are new, each once. A batch is written under its number and replaces what
     an attempt before a failure left there, so each upload is taken in once.
     """
-    spark, hashes_path = uploads.sparkSession, f"{table_path}_hashes"
+    known = BucketStore(uploads.sparkSession, f"{table_path}_hashes", "package_hash string, before long", "package_hash", buckets)
 
     def take(batch: DataFrame, number: int) -> None:
         rows = cut(ingest_batch(batch, None, any_text, any_size=any_size))
-        first = rows.groupBy("package_hash").agg(F.min("canonical_id").alias("first")).withColumn("bucket", F.pmod(F.crc32(F.encode("package_hash", "utf-8")), F.lit(buckets)).cast("int"))
-        first = cut(first.join(_known(spark, hashes_path, first, number), "package_hash", "left"))
+        first = rows.groupBy("package_hash").agg(F.min("canonical_id").alias("first"))
+        stored = known.around(first, number).groupBy("package_hash").agg(F.min("before").alias("before"))
+        first = cut(first.join(stored, "package_hash", "left"))
         led = salted_left_join(rows.drop("canonical_id", "is_clone"), first.select("package_hash", F.coalesce("before", "first").alias("canonical_id")), "package_hash", rows.count())
         led = led.select("id", "supplier_id", "payload_type", "n_bytes", "package_hash", "canonical_id", (F.col("canonical_id") != F.col("id")).alias("is_clone"))
         led.write.mode("overwrite").parquet(f"{table_path}/batch={number}")
-        fresh = first.where(F.col("before").isNull()).select("package_hash", F.col("first").alias("before"), "bucket", F.lit(number).alias("batch"))
-        fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(hashes_path)
+        known.put(first.where(F.col("before").isNull()).select("package_hash", F.col("first").alias("before")), number)
         drop_cut(rows), drop_cut(first)
 
     return uploads.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

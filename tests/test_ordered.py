@@ -91,3 +91,11 @@ def test_shards_are_cut_by_new_bytes(spark):
     got = {r["i"]: r["shard"] for r in O.assign_shards(df, "i", "k", "n", 100).collect()}
     assert number > 1 and got == {**want, None: None}
     assert O.assign_shards(df.limit(0), "i", "k", "n", 100).count() == 0
+
+
+def test_windows_of_any_size_cut_alike(spark):
+    rnd = random.Random(8)
+    rows = [(i, "a" if rnd.random() < 0.5 else str(rnd.randrange(80)), 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, k string, n int")
+    want = O.shard_cuts(df, "i", "k", "n", 60)
+    assert len(want) > 5 and O.shard_cuts(df, "i", "k", "n", 60, bits=3, window_rows=20) == want and O.shard_cuts(df, "i", "k", "n", 60, bits=5, window_rows=100) == want

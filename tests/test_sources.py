@@ -127,3 +127,16 @@ def test_journal_round_trip(spark, tmp_path):
     assert (row["package_id"], row["received_at"], row["files"][0]["file_id"], row["files"][0]["blob_hash"]) == (1001, None, 2001, "ab" * 32)
     with pytest.raises(Exception):
         parse_lines(spark.createDataFrame([("{damaged",)], "line string")).collect()
+
+
+def test_a_replica_fetches_what_it_lacks(spark, tmp_path):
+    from catalith.sources.folders import sync_folder
+
+    a, b = tmp_path / "a", tmp_path / "b"
+    (a / "x").mkdir(parents=True), b.mkdir()
+    for name, data in (("1.dat", b"one"), ("x/2.dat", b"two"), ("3.dat", b"same"), ("4.dat", b"")):
+        (a / name).write_bytes(data)
+    (b / "1.dat").write_bytes(b"eno"), (b / "3.dat").write_bytes(b"same"), (b / "own").write_bytes(b"stays")
+    assert {r["name"] for r in sync_folder(spark, str(a), str(b)).collect()} == {"1.dat", "x/2.dat", "4.dat"}
+    assert {str(p.relative_to(b)): p.read_bytes() for p in b.rglob("*") if p.is_file() and not p.name.startswith(".")} == {"1.dat": b"one", "x/2.dat": b"two", "3.dat": b"same", "4.dat": b"", "own": b"stays"}
+    assert sync_folder(spark, str(a), str(b)).count() == 0
