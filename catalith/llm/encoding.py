@@ -165,3 +165,18 @@ def count_tokens(df: DataFrame, text: str, to: str = "n_tokens", vocabulary: str
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], counts], names=[*rest, to])
 
     return df.select(*rest, text).mapInArrow(run, schema)
+
+
+def decode_ids(df: DataFrame, ids: str, to: str = "data", vocabulary: str = VOCABULARY) -> DataFrame:
+    """The columns of df but ids, and to BINARY: the bytes that token ids stand for; null for a null list. An id the vocabulary lacks is an error."""
+    shared = _Shared(df.sparkSession, vocabulary)
+    rest = [c for c in df.columns if c != ids and c != to]
+    schema = df.select(*rest).schema.add(to, "binary")
+
+    def run(batches):
+        tokens = {rank: token for token, rank in _encoder(shared).ranks.items()}
+        for batch in batches:
+            data = [None if row is None else b"".join(map(tokens.__getitem__, row)) for row in batch.column(len(rest)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(data, pa.binary())], names=[*rest, to])
+
+    return df.select(*rest, ids).mapInArrow(run, schema)

@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.functions.arrays import longs, one
-from catalith.session import cut
+from catalith.functions.arrays import longs
+from catalith.session import cut, exists
+from catalith.sources.buckets import BucketStore
 
 _U = np.uint64
 #: A set of a members and one of b with i in common are near duplicates if i / (a + b - i) >= 0.7. As sequences in one
@@ -312,51 +313,22 @@ class HistoryIndex:
 
     Under path, a folder all executors share, are four tables. hot: the items that were frequent in the first batch
     (history), which fix the order of items for good. ids (the least id of each class), sets (each set once) and
-    segments (their entries) are dealt to buckets by a hash of what they are looked up by, a folder a bucket and a part a
-    batch in it. Checking a batch opens only the buckets its probes, its candidates and its classes fall into, never the
-    packages accepted before; with as many buckets as keep one to some 100 MB, what a small batch reads is bounded by
-    its own size. The numbers of the buckets asked for, at most buckets of them, are all that comes to the driver.
-    Batches are appended under rising numbers; one appended again replaces itself.
+    segments (their entries) are bucket stores, keyed by what they are looked up by. Checking a batch opens only the
+    buckets its probes, its candidates and its classes fall into, never the packages accepted before, so with enough
+    buckets what a small batch reads is bounded by its own size. Batches are appended under rising numbers; one appended
+    again replaces itself.
     """
 
-    _TABLES = {
-        "ids": "cid struct<h:bigint,g:bigint>, least bigint",
-        "sets": "sid struct<h:bigint,g:bigint>, items array<bigint>, hot int",
-        "segments": _ENTRIES,
-    }
-    _KEYS = {"ids": "cid", "sets": "sid", "segments": "seg"}
-
     def __init__(self, spark: SparkSession, path: str, buckets: int = 256):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        #: How many buckets the last check opened, by table.
-        self.opened: dict[str, int] = {}
-
-    def _exists(self, path: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
-
-    def _bucket(self, key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
-
-    def _read(self, name: str, asked: DataFrame, before: int) -> DataFrame:
-        """The rows of a table of batches before a number, from the buckets of the asked keys (a column) alone."""
-        schema = self._TABLES[name]
-        wanted = sorted(r[0] for r in asked.select(self._bucket(asked.columns[0]).alias("bucket")).distinct().collect())
-        paths = [p for b in wanted if self._exists(p := f"{self.path}/{name}/bucket={b}")]
-        self.opened[name] = len(paths)
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.option("basePath", f"{self.path}/{name}").schema(f"{schema}, bucket int, batch int").parquet(*paths)
-        return rows.where(F.col("batch") < before).drop("bucket", "batch")
-
-    def _append(self, name: str, rows: DataFrame, number: int) -> None:
-        key = self._KEYS[name]
-        dealt = rows.withColumns({"bucket": self._bucket(key), "batch": F.lit(number)}).repartition("bucket").sortWithinPartitions("bucket", key)
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{self.path}/{name}")
+        self.spark, self.path = spark, path
+        store = lambda name, schema, key: BucketStore(spark, f"{path}/{name}", schema, key, buckets)
+        self.ids = store("ids", "cid struct<h:bigint,g:bigint>, least bigint", "cid")
+        self.sets = store("sets", "sid struct<h:bigint,g:bigint>, items array<bigint>, hot int", "sid")
+        self.segments = store("segments", _ENTRIES, "seg")
 
     def _hot(self, members: DataFrame) -> DataFrame:
         path = f"{self.path}/hot"
-        if not self._exists(path):
+        if not exists(self.spark, path):
             hot_items(members, F.col("item"), members.count()).write.parquet(path)
         return self.spark.read.schema("item bigint, rank bigint").parquet(path)
 
@@ -369,21 +341,21 @@ class HistoryIndex:
         sets = ordered_sets(members, "package_id", F.col("item"), self._hot(members))
         full = cut(_described(packages, none, sets).withColumn("batch", F.lit(1)))
         mine = cut(_least(full))
-        known = self._read("ids", mine.select("cid"), number).groupBy("cid").agg(F.min("least").alias("least"))
+        known = self.ids.around(mine.select("cid"), number).groupBy("cid").agg(F.min("least").alias("least"))
         new = _classes(full).drop("last")
         fresh = cut(new.join(known.select(F.col("cid").alias("sid")), "sid", "left_anti"))
         probes = cut(segment_probes(new))
-        entries = self._read("segments", probes.select("seg"), number)
+        entries = self.segments.around(probes.select("seg"), number)
         pairs = cut(candidates(entries.unionByName(segment_entries(fresh)), probes))
-        stored = self._read("sets", pairs.select("stored"), number)
+        stored = self.sets.around(pairs.select("stored"), number)
         links = cut(verified(pairs, stored.unionByName(fresh), new))
         asked = mine.select("cid").unionByName(links.select(F.col("stored").alias("cid")))
-        ids = self._read("ids", asked, number).groupBy("cid").agg(F.min("least").alias("least"))
+        ids = self.ids.around(asked, number).groupBy("cid").agg(F.min("least").alias("least"))
         found = cut(_answers(full, ids.select("cid", F.lit(0).alias("batch"), "least").unionByName(mine), links))
         # of a class known already, only a lower id is news
         lower = mine.join(known.withColumnRenamed("least", "had"), "cid", "left").where(F.col("had").isNull() | (F.col("least") < F.col("had"))).select("cid", "least")
-        for name, rows in (("ids", lower), ("sets", fresh), ("segments", segment_entries(fresh))):
-            self._append(name, rows, number)
+        for store, rows in ((self.ids, lower), (self.sets, fresh), (self.segments, segment_entries(fresh))):
+            store.put(rows, number)
         return found
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalith.functions.hashes import binary_key, digits_sql, has_digits, hash_key, known_key
 from catalith.functions.times import day_number
 from catalith.llm.distinct import ALL, BOTH, FIRST, REGISTERS, SECOND, distinct_sketches, estimates, exact_counts, measured, merge_sketches
-from catalith.llm.encoding import count_tokens, encode_texts
+from catalith.llm.encoding import count_tokens, decode_ids, encode_texts
 from catalith.llm.history import history_duplicates, incremental_duplicates
 from catalith.llm.membership import fingerprint, key_index, probe_index, seen_before, seen_report
 from catalith.llm.mixing import Mix, mix_report
@@ -114,6 +114,12 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_texts(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """What the ids of each document stand for, by its digest."""
+    back = decode_ids(p8_ids(spark, sf), "ids")
+    return back.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("digest"))
+
+
 def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens by source and language."""
     counted = count_tokens(table(spark, sf, "documents", "source", "lang", "text"), "text")
@@ -177,7 +183,7 @@ def p10_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _spans(spark, sf).clusters().withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_incremental, p6_counts, p6_exact, p6_error, p6_months, p7_found, p7_incremental, p7_report, p8_ids, p8_counts, p9_draw, p9_shares, p9_margins, p9_limits, p10_found, p10_shared, p10_clusters)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_incremental, p6_counts, p6_exact, p6_error, p6_months, p7_found, p7_incremental, p7_report, p8_ids, p8_roundtrip, p8_counts, p9_draw, p9_shares, p9_margins, p9_limits, p10_found, p10_shared, p10_clusters)}
 
 _MEMBERS = f"""SELECT DISTINCT f.package_id AS id, {digits_sql('f.blob_hash')} AS h FROM package_files f WHERE f.role = 'member' AND {digits_sql('f.blob_hash')} IS NOT NULL AND f.package_id IN (SELECT id FROM packages)"""
 
@@ -200,12 +206,27 @@ _EXACT = f"""WITH p AS (SELECT id, min(supplier_id)::BIGINT AS supplier_id, (min
 u AS (SELECT DISTINCT f.h, p.day, p.supplier_id FROM (SELECT package_id, {digits_sql('blob_hash')} AS h FROM package_files) f LEFT JOIN p ON f.package_id = p.id WHERE f.h IS NOT NULL)
 """ + " UNION ALL ".join(f"SELECT '{name}' AS level, {day} AS day, {supplier} AS supplier_id, count(DISTINCT h) AS n_exact, true AS within FROM u GROUP BY 1, 2, 3" for name, day, supplier in _LEVELS)
 
+# every stretch of 160 code points, wherever it begins
+_STRETCHES = """WITH RECURSIVE g AS MATERIALIZED (SELECT doc_id, i, substr(text, i, 160) AS s, md5(text) AS t FROM (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 160)),
+once AS (SELECT DISTINCT doc_id, s FROM g), common AS (SELECT s FROM once GROUP BY s HAVING count(*) > 1),
+pairs AS (SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM once a JOIN common USING (s) JOIN once b ON a.s = b.s AND a.doc_id < b.doc_id)"""
+_SHARED = f"""{_STRETCHES}, p AS (SELECT doc_id, least(160, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 160)) AS n FROM g JOIN common USING (s)),
+c AS (SELECT doc_id, sum(n)::BIGINT AS n FROM p GROUP BY 1) SELECT d.doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(c.n, 0) AS n_shared FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id"""
+_CLUSTERS = f"""{_STRETCHES}, linked AS (SELECT doc_a AS a, doc_b AS b FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
+reach AS (SELECT DISTINCT doc_id AS doc, doc_id AS far FROM g UNION SELECT reach.doc, linked.b FROM reach JOIN linked ON linked.a = reach.far),
+n AS (SELECT s, count(DISTINCT t) - 1 AS n FROM g GROUP BY s), m AS (SELECT doc_id, max(n) AS n FROM g JOIN n USING (s) GROUP BY 1)
+SELECT doc AS doc_id, min(far) AS cluster, min(m.n) AS n_links, min(far) = doc AS kept FROM reach JOIN m ON m.doc_id = doc GROUP BY doc"""
+
 SQL = {
     "p5_found": _REPEATS,
     "p5_incremental": _REPEATS,
     "p6_exact": _EXACT,
     "p7_found": _SEEN,
     "p7_incremental": _SEEN,
+    "p8_roundtrip": "SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, sha256(coalesce(text, '')) AS digest FROM documents",
+    "p10_found": f"{_STRETCHES} SELECT doc_a, doc_b FROM pairs",
+    "p10_shared": _SHARED,
+    "p10_clusters": _CLUSTERS,
     "p9_limits": """SELECT t.source, min(t.max_repeats) AS max_repeats, coalesce(min(d.n), 0) AS n_documents, true AS within FROM mix_targets t
 LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE length(text) > 0 AND doc_id IS NOT NULL GROUP BY 1) d ON d.source = t.source WHERE t.source IS NOT NULL GROUP BY t.source""",
 }

@@ -4,7 +4,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from catalith.llm.encoding import SPLIT, VOCABULARY, Encoder, count_tokens, encode_texts, merge_long, merge_short, read_ranks
+from catalith.llm.encoding import SPLIT, VOCABULARY, Encoder, count_tokens, decode_ids, encode_texts, merge_long, merge_short, read_ranks
 
 with open(VOCABULARY, "rb") as _file:
     RANKS = read_ranks(_file.read())
@@ -49,3 +49,10 @@ def test_counts(spark):
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_tokens int")
     both = count_tokens(df, "text").join(encode_texts(df, "doc_id", "text"), "doc_id")
     assert both.where(F.col("n_tokens") != F.size("ids")).count() == 0 and both.count() == len(TEXTS)
+
+
+def test_ids_stand_for_the_texts_bytes(spark):
+    texts = ["", None, "plain", "é漢🙂 <|endoftext|> \n\n  x", "a" * 3000, "plain"]
+    df = spark.createDataFrame([(i, t, "y") for i, t in enumerate(texts)], "doc_id long, text string, data string")
+    back = decode_ids(encode_texts(df, "doc_id", "text").unionByName(spark.createDataFrame([(9, None)], "doc_id long, ids array<int>")), "ids")
+    assert {r["doc_id"]: r["data"] for r in back.collect()} == {**{i: bytearray((t or "").encode()) for i, t in enumerate(texts)}, 9: None}

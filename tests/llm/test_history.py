@@ -156,4 +156,4 @@ def test_a_small_batch_opens_few_buckets(spark, tmp_path):
     index.check_and_append(0, p, m)
     one = spark.createDataFrame([(900, b"new")], "id long, key binary"), spark.createDataFrame([(900, 700 + j) for j in range(5)], "package_id long, item long")
     assert {tuple(r) for r in index.check_and_append(1, *one).collect()} == {(7, 900)}
-    assert index.opened["segments"] <= 12 and index.opened["sets"] == 1 and index.opened["ids"] <= 3
+    assert index.segments.opened <= 12 and index.sets.opened == 1 and index.ids.opened <= 3
