@@ -32,6 +32,11 @@ def blobs(df: DataFrame) -> DataFrame:
     return keyed.groupBy("content_hash").agg(F.min_by("row", "order").alias("row")).select("content_hash", "row.*")
 
 
+def _spread(digits: Column, number: Column) -> Column:
+    """Digits as a join key; where they are null a text of its own for each row, which meets nothing, so that nulls are spread."""
+    return F.coalesce(digits, F.concat(F.lit("-"), number.cast("string")))
+
+
 def canonical_packages(packages: DataFrame) -> DataFrame:
     """id, package_hash, canonical_id, is_clone: the least id with the same hash stands for all; a package without a hash stands for itself.
 
@@ -41,7 +46,7 @@ def canonical_packages(packages: DataFrame) -> DataFrame:
     slim = packages.select("id", hash_digits(F.col("package_hash")).alias("package_hash")).where(F.col("id").isNotNull()).distinct()
     hashed = packages.where(F.col("id").isNotNull() & has_digits(F.col("package_hash")))
     first = hashed.groupBy(known_digits(F.col("package_hash")).alias("h")).agg(F.min("id").alias("first"))
-    joined = slim.join(first, slim["package_hash"] == first["h"], "left")
+    joined = slim.join(first, _spread(slim["package_hash"], slim["id"]) == first["h"], "left")
     canonical = F.coalesce("first", "id")
     return joined.select("id", "package_hash", canonical.alias("canonical_id"), (canonical != F.col("id")).alias("is_clone"))
 
@@ -109,8 +114,11 @@ def ingest_counters(packages: DataFrame, files: DataFrame) -> DataFrame:
     f = named(files, "id", "package_id")
     first = f.groupBy("blob_hash").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("is_first"))
     counted = f.join(first, "id", "left").groupBy("package_id").agg(F.count_if(F.col("is_first")).alias("new"), F.count_if(F.col("is_first").isNull()).alias("dup"))
-    head = packages.select("id", "supplier_id", "received_at", "file_count").distinct()
-    head = head.join(canonical_packages(packages).select("id", "is_clone"), "id").join(counted, F.col("id") == F.col("package_id"), "left")
+    # one distinct of the packages serves both sides of the join
+    rows = packages.where(F.col("id").isNotNull()).select("id", "supplier_id", "received_at", "file_count", hash_digits(F.col("package_hash")).alias("package_hash")).distinct()
+    least = rows.where(F.col("package_hash").isNotNull()).groupBy(F.col("package_hash").alias("h")).agg(F.min("id").alias("least"))
+    head = rows.join(least, _spread(F.col("package_hash"), F.col("id")) == F.col("h"), "left").withColumn("is_clone", F.coalesce(F.col("least") != F.col("id"), F.lit(False)))
+    head = head.join(counted, F.col("id") == F.col("package_id"), "left")
     count = F.coalesce("file_count", F.lit(0))
     new = F.when(F.col("is_clone"), F.lit(0)).otherwise(F.coalesce("new", F.lit(0))).alias("new_refs")
     dup = F.when(F.col("is_clone"), count).otherwise(F.coalesce("dup", F.lit(0))).alias("duplicate_refs")
