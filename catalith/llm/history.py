@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalith.functions.arrays import longs
 from catalith.session import cut, exists
@@ -362,16 +363,19 @@ class HistoryIndex:
 def incremental_duplicates(packages: DataFrame, batches: DataFrame, members: DataFrame, path: str, buckets: int = 256) -> DataFrame:
     """The rows of history_duplicates from a HistoryIndex at path: history first, then batch by batch in rising order.
 
-    The numbers of the batches come to the driver; a batch is one step of the feed, so there are as many as arrivals.
+    The feed is laid out by batch first, so each step reads its own packages and members alone. The numbers of the
+    batches come to the driver; a batch is one step of the feed, so there are as many as arrivals.
     """
     spark = packages.sparkSession
     numbers = cut(_numbers(batches))
+    for name, df, key in (("packages", packages, "id"), ("members", members.distinct(), "package_id")):
+        known = df.join(numbers.withColumnRenamed("package_id", "_id"), F.col(key) == F.col("_id"), "left").drop("_id")
+        known.withColumn("batch_no", F.coalesce("batch_no", F.lit(0))).write.mode("overwrite").partitionBy("batch_no").parquet(f"{path}/feed/{name}")
+    feed = lambda name, df, number: spark.read.schema(T.StructType([*df.schema, T.StructField("batch_no", T.IntegerType())])).parquet(f"{path}/feed/{name}").where(F.col("batch_no") == number).drop("batch_no")
     index, found = HistoryIndex(spark, path, buckets), spark.createDataFrame([], "first_id bigint, package_id bigint")
     steps = sorted(r[0] for r in numbers.select("batch_no").distinct().collect())
     for number in (0, *steps):
-        ids = numbers.where(F.col("batch_no") == number).select("package_id")
-        take = lambda df, key: df.join(ids, df[key] == ids["package_id"], "left_semi") if number else df.join(numbers, df[key] == numbers["package_id"], "left_anti")  # noqa: B023, E731
-        repeats = index.check_and_append(number, take(packages, "id"), take(members, "package_id"))
+        repeats = index.check_and_append(number, feed("packages", packages, number), feed("members", members, number))
         if number:
             found = found.unionByName(repeats)
     return found
