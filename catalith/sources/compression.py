@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalith.sources.segments import opened, put
+
 #: Payloads below this size are kept as they are.
 LEAST = 64
 FRAME = b"\x28\xb5\x2f\xfd"
@@ -61,26 +62,32 @@ def decompress(df: DataFrame, stored: str, dictionary: bytes | None = None, to:
 
 
 def save_dictionary(folder: str, number: int, dictionary: bytes) -> str:
-    """Writes a dictionary beside the segments, under its number and digest, and makes it the current one; returns its path."""
-    os.makedirs(folder, exist_ok=True)
+    """Writes a dictionary beside the segments, under its number and digest, and makes it the current one; returns its name.
+
+    folder is a path or URI. The file that names the current dictionary is written last.
+    """
+    system, root = opened(folder)
+    system.create_dir(root, recursive=True)
     digest = hashlib.sha256(dictionary).hexdigest()
     name = f"dict_{number:04d}_{digest[:16]}.zdict"
-    for path, data in ((name, dictionary), ("current.json", json.dumps({"id": number, "file": name, "sha256": digest}).encode())):
-        with open(os.path.join(folder, f"{path}.part"), "wb") as file:
-            file.write(data)
-        os.replace(os.path.join(folder, f"{path}.part"), os.path.join(folder, path))
-    return os.path.join(folder, name)
+    put(system, f"{root}/{name}", dictionary)
+    put(system, f"{root}/current.json", json.dumps({"id": number, "file": name, "sha256": digest}).encode())
+    return name
 
 
 def load_dictionary(folder: str) -> tuple[int, bytes] | None:
     """Number and bytes of the current dictionary, None without one; bytes that do not match their digest are an error."""
+    system, root = opened(folder)
+
+    def read(name: str) -> bytes:
+        with system.open_input_stream(f"{root}/{name}") as file:
+            return file.read()
+
     try:
-        with open(os.path.join(folder, "current.json"), "rb") as file:
-            current = json.load(file)
+        current = json.loads(read("current.json"))
     except FileNotFoundError:
         return None
-    with open(os.path.join(folder, current["file"]), "rb") as file:
-        data = file.read()
+    data = read(current["file"])
     if hashlib.sha256(data).hexdigest() != current["sha256"]:
         raise ValueError(f"{current['file']} does not match its digest")
     return current["id"], data

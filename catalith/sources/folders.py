@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +15,35 @@ from catalith.sources.segments import archive_members, opened
 SHARD = "shard_id INT, shard_uuid STRING, state STRING, primary_url STRING, replica_url STRING, total_bytes BIGINT"
 
 
+def _listed(spark: SparkSession, path: str, digests: bool) -> DataFrame:
+    """path (below the folder), size, modified_unix, and digest if asked for, of all files under path, empty ones too; none if it does not exist.
+
+    The names come from one listing in the driver, a row a file; digests are made by tasks, a block at a time.
+    """
+    system, root = opened(path)
+    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
+    rows = [(f.path[len(root) :].lstrip("/"), f.size, (f.mtime_ns or 0) // 10**9) for f in found if f.is_file]
+    files = spark.createDataFrame(rows, "path string, size long, modified_unix long")
+
+    def run(batches):
+        system, root = opened(path)
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                digest = hashlib.sha256()
+                with system.open_input_stream(f"{root}/{name}") as data:
+                    while block := data.read(1 << 22):
+                        digest.update(block)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "digest"])
+
+    return files.repartition("path").mapInArrow(run, "path string, size long, modified_unix long, digest string") if digests else files
+
+
 def folder_files(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
     """name, size, modified_unix of all files under path, and sha256 if asked for; the contents are read only then."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    columns = [F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified_unix")]
-    return files.select(*columns, *([F.sha2("content", 256).alias("sha256")] if digests else []))
+    columns = [F.element_at(F.split("path", "/"), -1).alias("name"), "size", "modified_unix"]
+    return _listed(spark, path, digests).select(*columns, *([F.col("digest").alias("sha256")] if digests else []))
 
 
 def folder_bytes(spark: SparkSession, path: str) -> DataFrame:
@@ -40,24 +68,15 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SHARD).option("multiLine", "true").option("mode", "FAILFAST").json(path)
 
 
-def _contents(spark: SparkSession, path: str) -> DataFrame:
-    """name (path below the folder), size, digest of all files under path; none if it does not exist."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], "name string, size long, digest string")
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.substr("path", F.lit(len(whole) + 2)).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
-
-
 def sync_folder(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Copies the files under source that target lacks or holds otherwise; returns name and size of those copied.
 
     Both are folders or URIs all executors share. Files are compared by their digests and copied by the tasks, each
     under another name until it is complete. Files only target has stay. The copying happens when the result is read.
     """
-    theirs = _contents(spark, target).select("name", F.col("digest").alias("there"))
-    due = _contents(spark, source).join(theirs, "name", "left").where(F.col("there").isNull() | (F.col("there") != F.col("digest"))).select("name", "size")
+    files = lambda path: _listed(spark, path, True).withColumnRenamed("path", "name")
+    theirs = files(target).select("name", F.col("digest").alias("there"))
+    due = files(source).join(theirs, "name", "left").where(F.col("there").isNull() | (F.col("there") != F.col("digest"))).select("name", "size")
 
     def run(batches):
         (src, root), (dst, to) = opened(source), opened(target)

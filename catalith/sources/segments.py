@@ -72,7 +72,7 @@ def opened(path: str) -> tuple[files.FileSystem, str]:
     return files.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
 
-def _put(system: files.FileSystem, name: str, data: bytes) -> None:
+def put(system: files.FileSystem, name: str, data: bytes) -> None:
     """Writes a file as a whole: it is there under its name only once it is complete."""
     with system.open_output_stream(f"{name}.part") as out:
         out.write(data)
@@ -91,7 +91,7 @@ def write_segments(records: DataFrame, path: str) -> DataFrame:
         body = b"".join(encode_records([m for _, m, _ in rows], [p or b"" for *_, p in rows]))
         system, folder = opened(path)
         system.create_dir(folder, recursive=True)
-        _put(system, f"{folder}/segment_{number:04d}.dat", body + encode_footer(len(rows), len(body)))
+        put(system, f"{folder}/segment_{number:04d}.dat", body + encode_footer(len(rows), len(body)))
         return pa.table({"segment_id": pa.array([number], pa.int32()), "n_records": [len(rows)], "n_bytes": [len(body)]})
 
     return records.select("segment_id", "offset", "magic", "payload").groupBy("segment_id").applyInArrow(run, "segment_id int, n_records long, n_bytes long")
@@ -126,8 +126,8 @@ def store_contents(contents: DataFrame, path: str, most: int = 64 << 20) -> Data
         shard, segment = table["shard_id"][0].as_py(), table["segment_id"][0].as_py()
         system, folder = opened(f"{path}/shard_{shard:04d}")
         system.create_dir(folder, recursive=True)
-        _put(system, f"{folder}/segment_{segment:04d}.dat", body + encode_footer(len(records), len(body)))
-        _put(system, f"{folder}/segment_{segment:04d}.idx", encode_index(rows))
+        put(system, f"{folder}/segment_{segment:04d}.dat", body + encode_footer(len(records), len(body)))
+        put(system, f"{folder}/segment_{segment:04d}.idx", encode_index(rows))
         return table.select(names)
 
     rows = contents.select("shard_id", "order", F.col("magic").cast("long").alias("magic"), "payload", "hash", F.col("supplier_id").cast("long").alias("supplier_id"), F.col("dict_id").cast("long").alias("dict_id"))
