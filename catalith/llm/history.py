@@ -329,8 +329,8 @@ class HistoryIndex:
 
     def _hot(self, members: DataFrame) -> DataFrame:
         path = f"{self.path}/hot"
-        if not exists(self.spark, path):
-            hot_items(members, F.col("item"), members.count()).write.parquet(path)
+        if not exists(self.spark, f"{path}/_SUCCESS"):
+            hot_items(members, F.col("item"), members.count()).write.mode("overwrite").parquet(path)
         return self.spark.read.schema("item bigint, rank bigint").parquet(path)
 
     def check_and_append(self, number: int, packages: DataFrame, members: DataFrame) -> DataFrame:
