@@ -54,7 +54,8 @@ def take_in(uploads: DataFrame, stored_packages: DataFrame | None = None, stored
     fine = F.col("reason").isNull() & F.col("id").isNotNull()
     good = checked.where(fine)
     heads = good.select("id", "supplier_id", "received_at", F.sha2("body", 256).alias("package_hash"), "payload_type", F.col("filename").alias("original_filename"), F.col("n_bytes").alias("size"))
-    heads, n = cut(heads), uploads.count()
+    heads = cut(heads)
+    n = heads.count()
     first = heads.groupBy("package_hash").agg(F.min("id").alias("first"))
     if stored_packages is not None:
         before = stored_packages.where(F.col("package_hash").isNotNull()).groupBy("package_hash").agg(F.min(F.coalesce("canonical_package_id", "id")).alias("before"))

@@ -231,7 +231,12 @@ def _archives(spark, sf):
     return build_archives(lists, "package_id", "members")
 
 
-@_query()
+@_query("""WITH RECURSIVE d AS (SELECT doc_id, sha256(text) AS h, coalesce(strlen(text), 0)::BIGINT AS size, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id IS NOT NULL),
+q AS (SELECT greatest(1, coalesce(sum(size), 4) // 4) AS most FROM d),
+r AS (SELECT n, doc_id, 0 AS shard, size AS used, CASE WHEN h IS NULL THEN []::VARCHAR[] ELSE [h] END AS met FROM d WHERE n = 1
+UNION ALL SELECT d.n, d.doc_id, CASE WHEN r.used >= q.most THEN r.shard + 1 ELSE r.shard END, CASE WHEN r.used >= q.most THEN d.size WHEN d.h IS NULL OR list_contains(r.met, d.h) THEN r.used ELSE r.used + d.size END,
+CASE WHEN r.used >= q.most THEN CASE WHEN d.h IS NULL THEN []::VARCHAR[] ELSE [d.h] END WHEN d.h IS NULL OR list_contains(r.met, d.h) THEN r.met ELSE list_append(r.met, d.h) END
+FROM r JOIN d ON d.n = r.n + 1, q) SELECT doc_id, shard FROM r""")
 def shard_assignment(spark, sf):
     """The documents dealt to shards that are sealed once their different texts have a quarter of all bytes."""
     d = table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("h"), F.octet_length("text").alias("size"))
