@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.functions.arrays import longs, one
@@ -72,6 +72,8 @@ def _later_least(hashes: np.ndarray, best: np.ndarray, step: int) -> np.ndarray:
 
 
 _COUNT_BITS = 32
+#: Pairs compared at a time.
+_PAIRS = 20_000
 
 
 def runs(text: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,24 +184,30 @@ def _points(texts: list[str], width: int, right: bool) -> np.ndarray:
     return out
 
 
-def common_reach(pairs: pa.Table, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether the grams of pairs are equal, and how far their texts agree before and after them, up to window - 1.
+def common_reach(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether the grams of pairs of rows are equal, and how far their texts agree before and after them.
 
-    left_*: at most window - 1 characters before the gram; right_*: the gram and at most window - 1 characters after.
+    left: the code points before the gram, as of _points; right: those of the gram and after it.
     """
-    sides = {}
-    for side in "ab":
-        sides[side] = (
-            _points(one(pairs[f"left_{side}"]).to_pylist(), window - 1, False),
-            _points(one(pairs[f"right_{side}"]).to_pylist(), gram + window - 1, True),
-        )
-    same_left = (sides["a"][0] == sides["b"][0]) & (sides["a"][0] > 0)
-    same_right = (sides["a"][1] == sides["b"][1]) & (sides["a"][1] > 0)
-    before = np.where(same_left.all(axis=1), window - 1, np.argmin(same_left[:, ::-1], axis=1))
-    after = np.where(same_right.all(axis=1), gram + window - 1, np.argmin(same_right, axis=1)) - gram
+    x, y = left[a], right[a]
+    same_left, same_right = (x == left[b]) & (x > 0), (y == right[b]) & (y > 0)
+    before = np.where(same_left.all(axis=1), left.shape[1], np.argmin(same_left[:, ::-1], axis=1))
+    after = np.where(same_right.all(axis=1), right.shape[1], np.argmin(same_right, axis=1)) - gram
     return after >= 0, before, np.maximum(after, 0)
 
 
+def pairs_within(group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of each group (rows sorted by group and side): of side 2 each with each later one, of side 0 each with all of side 1."""
+    n = len(group)
+    ends = np.searchsorted(group, group, side="right")
+    ones = np.cumsum(side == 1)
+    others = ends - (ones[ends - 1] - ones + (side == 1))  # where side 1 of a row's group begins, seen from side 0
+    first = np.where(side == 2, np.arange(n) + 1, others)
+    counts = np.where(side == 1, 0, ends - first)
+    a = np.repeat(np.arange(n), counts)
+    return a, np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+
+
 def components(nodes: DataFrame, links: DataFrame, key: str, least: str) -> DataFrame:
     """key and least: the least number among the nodes of each node's connected component.
 
@@ -273,11 +281,11 @@ class SharedSpans:
             self._known_kinds = cut(kinds.join(sizes, "gram"))
         return self._known_kinds
 
-    def _windows(self, kinds: DataFrame, step: int) -> DataFrame:
+    def _windows(self, kinds: DataFrame, step: int, as_text: bool = False) -> DataFrame:
         """kinds with i and block: for each step, the gram and as much around it as a shared stretch must have.
 
         A stretch that agrees for x characters before the gram, with i = x // step, agrees for i * step of them and for
-        all that then has to follow it. With a step of 1 a block is a stretch of span characters itself, else its hash.
+        all that then has to follow it. A block is a hash of that, or, if asked for, the text itself.
         """
         w, g = self.window - 1, self.gram
         i = F.col("i")
@@ -285,38 +293,63 @@ class SharedSpans:
         cut_up = kinds.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(w // step))))
         cut_up = cut_up.where((F.char_length("left") >= before) & (F.char_length("right") >= g + after))
         text = F.concat(F.substring("left", F.char_length("left") - before + 1, before), F.substring("right", F.lit(1), g + after))
-        return cut_up.withColumn("block", text if step == 1 else F.xxhash64("i", text))
+        return cut_up.withColumn("block", text if as_text else F.xxhash64("i", text))
 
-    def _compared(self, kinds: DataFrame, on: list[str], step: int, apart: bool = False) -> DataFrame:
+    def _compared(self, kinds: DataFrame, on: list[str], step: int, apart: bool = False, parts: Column | None = None) -> DataFrame:
         """gram, ctx_a, ctx_b, before, after: the pairs of kinds, equal in on, that share a stretch.
 
-        apart: without the pairs whose two kinds stand in one and the same text only.
+        apart: without the pairs whose two kinds stand in one and the same text only. The kinds of a group are dealt to
+        parts of about 500, by default as many as their number asks for, and each two parts meet as one block of rows: a
+        text goes along once a block, not once a pair.
         """
-        sizes = kinds.groupBy(*on).agg(F.count("*").alias("size")).where(F.col("size") > 1).select(*on, F.ceil(F.col("size") / 500).cast("int").alias("salts"))
-        kinds = kinds.join(sizes, on)
-        side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("ctx", "left", "right", *["least", "most"] * apart)]
-        a = kinds.select(*on, F.pmod(F.col("ctx"), F.col("salts").cast("long")).cast("int").alias("salt"), *side("a"))
-        b = kinds.select(*on, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *side("b"))
-        pairs = a.join(b, [*on, "salt"]).where(F.col("ctx_a") < F.col("ctx_b")).drop("salt")
-        if apart:
-            pairs = pairs.where(F.least("least_a", "least_b") != F.greatest("most_a", "most_b")).drop("least_a", "least_b", "most_a", "most_b")
+        if parts is None:
+            sizes = kinds.groupBy(*on).agg(F.count("*").alias("size")).where(F.col("size") > 1).select(*on, F.ceil(F.col("size") / 500).cast("int").alias("parts"))
+            kinds, parts = kinds.join(sizes, on), F.col("parts")
+        mine, other = F.pmod(F.col("ctx"), parts.cast("long")).cast("int"), F.col("other")
+        rows = kinds.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        side = F.when(F.col("mine") == other, 2).when(F.col("mine") < other, 0).otherwise(1).alias("side")
+        alone = F.when((F.col("least") == F.col("most")) & F.lit(apart), F.col("least"))
+        keys = [*on, "low", "high"]
+        rows = rows.select(*on, F.least("mine", other).alias("low"), F.greatest("mine", other).alias("high"), side, "ctx", "left", "right", alone["hi"].alias("hi"), alone["lo"].alias("lo"))
         g, w, span = self.gram, self.window, self.span
         blocks = "i" in on
 
-        def run(batches):
-            for batch in batches:
-                equal, before, after = common_reach(pa.Table.from_batches([batch]), g, w)
-                good = equal & (before + g + after >= span)
+        def compare(table: pa.Table, group: np.ndarray):
+            side = longs(table["side"])[0]
+            left = _points(one(table["left"]).to_pylist(), w - 1, False)
+            right = _points(one(table["right"]).to_pylist(), g + w - 1, True)
+            (hi, many), (lo, _), (ctx, _), (gram, _) = (longs(table[c]) for c in ("hi", "lo", "ctx", "gram"))
+            i = longs(table["i"])[0] if blocks else None
+            all_a, all_b = pairs_within(group, side)
+            for at in range(0, len(all_a), _PAIRS):
+                a, b = all_a[at : at + _PAIRS], all_b[at : at + _PAIRS]
+                equal, before, after = common_reach(left, right, a, b, g)
+                good = equal & (before + g + after >= span) & (many[a] | many[b] | (hi[a] != hi[b]) | (lo[a] != lo[b]))
                 if blocks:  # a pair meets in several blocks and counts in one
-                    good &= before // step == longs(batch.column(batch.schema.get_field_index("i")))[0]
-                hit = pa.array(np.flatnonzero(good))
-                columns = [batch.column(batch.schema.get_field_index(c)).take(hit) for c in ("gram", "ctx_a", "ctx_b")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(before).take(hit), pa.array(after).take(hit)], names=["gram", "ctx_a", "ctx_b", "before", "after"])
+                    good &= before // step == i[a]
+                a, b = a[good], b[good]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[a], ctx[a], ctx[b], before[good], after[good])], names=["gram", "ctx_a", "ctx_b", "before", "after"])
 
-        return pairs.mapInArrow(run, "gram long, ctx_a long, ctx_b long, before long, after long")
+        def run(batches):
+            rest = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                table = pa.Table.from_batches([batch])
+                table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+                columns = [longs(table[k])[0] for k in keys]
+                group = np.cumsum(np.r_[False, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+                last = int(np.searchsorted(group, group[-1]))
+                if last:
+                    yield from compare(table.slice(0, last), group[:last])
+                rest = table.slice(last)
+            if rest is not None:
+                yield from compare(rest, np.zeros(len(rest), np.int64))
+
+        return rows.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "gram long, ctx_a long, ctx_b long, before long, after long")
 
     def _few(self, apart: bool = False) -> DataFrame:
-        return self._compared(self._kinds().where(F.col("n") <= self.most_kinds), ["gram"], 1, apart)
+        return self._compared(self._kinds().where(F.col("n") <= self.most_kinds), ["gram"], 1, apart, F.ceil(F.col("n") / 500).cast("int"))
 
     def matches(self) -> DataFrame:
         """gram, ctx_a, ctx_b, before, after: surroundings that share a stretch, and how far they agree around the gram.
@@ -338,7 +371,7 @@ class SharedSpans:
         """
         few = self._few(apart=True)
         near = few.select("gram", F.col("ctx_a").alias("ctx"), "before", "after").unionByName(few.select("gram", F.col("ctx_b").alias("ctx"), "before", "after"))
-        many = self._windows(self._kinds().where(F.col("n") > self.most_kinds), 1).select("gram", "ctx", "i", "block", "least", "most")
+        many = self._windows(self._kinds().where(F.col("n") > self.most_kinds), 1, True).select("gram", "ctx", "i", "block", "least", "most")
         shared = many.groupBy("gram", "i", "block").agg(F.min("least").alias("x"), F.max("most").alias("y")).where(F.col("x") != F.col("y")).select("gram", "i", "block")
         far = many.join(shared, ["gram", "i", "block"]).select("gram", "ctx", F.col("i").cast("long").alias("before"), (self.window - 1 - F.col("i")).cast("long").alias("after"))
         return near.unionByName(far).groupBy("gram", "ctx").agg(F.max("before").alias("before"), F.max("after").alias("after"))
@@ -393,7 +426,7 @@ class SharedSpans:
         lists = met("a", "b").unionByName(met("b", "a")).groupBy(*key).agg(F.collect_list("m").alias("m"))
         here = lambda at: F.aggregate(F.filter("m", lambda y: (y["first"] <= at) & (at <= y["last"])), F.lit(0).cast("long"), lambda s, y: s + y["n"])
         near = lists.select(*key, F.array_max(F.transform("m", lambda x: here(x["first"]))).alias("more"))
-        many = self._windows(self._kinds().where(F.col("n") > self.most_kinds), 1).select(*key, "i", "block").join(classes, key)
+        many = self._windows(self._kinds().where(F.col("n") > self.most_kinds), 1, True).select(*key, "i", "block").join(classes, key)
         groups = many.groupBy("gram", "i", "block").agg(F.min("hub").alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where(F.col("kinds") > 1)
         far = cut(many.join(groups, ["gram", "i", "block"]).groupBy(*key, "hub", "top").agg(F.max(F.col("all") - F.col("n")).alias("more")))
         most = near.unionByName(far.select(*key, "more")).groupBy(*key).agg(F.max("more").alias("more"))

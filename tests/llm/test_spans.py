@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from catalith.llm.spans import SharedSpans, _places_of, anchors, components, runs
+from catalith.llm.spans import SharedSpans, _places_of, anchors, components, pairs_within, runs
 
 
 def brute(docs, span):
@@ -100,6 +100,19 @@ def test_runs_name_all_places():
     assert sorted(got) == sorted(zip(place.tolist(), hashes)) and len(first) < len(place)
 
 
+def test_pairs_within_groups():
+    group, side = np.array([0, 0, 0, 1, 1, 1, 1, 2, 3, 3]), np.array([2, 2, 2, 0, 0, 1, 1, 2, 1, 1])
+    assert list(zip(*(x.tolist() for x in pairs_within(group, side)))) == [(0, 1), (0, 2), (1, 2), (3, 5), (3, 6), (4, 5), (4, 6)]
+    assert len(pairs_within(group[:0], side[:0])[0]) == 0
+
+
+def test_groups_of_several_parts(spark):
+    # 1,300 texts that share a stretch and nothing else, each pair of them found once
+    shared = "0123456789" * 3
+    df = spark.range(1300).selectExpr("id AS doc_id", f"concat(md5(string(id)), '{shared}', md5(string(-id))) AS text")
+    assert SharedSpans(df, "doc_id", "text", 30, 12).pairs().count() == 1300 * 1299 // 2
+
+
 def test_nothing(spark):
     assert run(spark, [], 20, 8) == (set(), {}) and run(spark, [(1, None), (2, "")], 20, 8) == (set(), {})
 
