@@ -111,20 +111,23 @@ def _even(k: np.ndarray, size: np.ndarray, parts: np.ndarray) -> tuple[np.ndarra
 
 
 def _entries_of(p: _Parts):
-    """part, number, start and length of all segments of parts.
+    """part, shift, start and length of all segments of parts; shift is how many places one can have moved.
 
-    A part of n items is cut into _segments(n) segments, of its rare items alone if there are enough of them, else each
-    rare item is one and the hot items are cut into the rest, which makes these as long as they can be.
+    A part of n items is cut into _segments(n) segments, of its rare items alone if there are enough of them. If not,
+    each rare item is a segment; if hot items are fewer than the 0.7 n that a near duplicate must share, it shares a
+    rare one, and these segments suffice; else the hot items are cut into as many as are left, which makes these as
+    long as they can be.
     """
     want = _segments(p.n)
-    part, k = _spread(want)
-    n, rare, want = p.n[part], p.rare[part], want[part]
+    few = p.rare < want
+    rare_only = few & ((p.n - p.rare) * 10 < p.n * 7)
+    part, k = _spread(np.where(rare_only, p.rare, want))
+    n, rare, want, few = p.n[part], p.rare[part], want[part], few[part]
     start, length = _even(k, rare, want)
-    few = rare < want
     s2, l2 = _even(k - rare, n - rare, np.maximum(1, want - rare))
     start = np.where(few, np.where(k < rare, k, rare + s2), start)
     length = np.where(few, np.where(k < rare, 1, l2), length)
-    return part, k, start, length
+    return part, np.where(rare_only[part], want - 1, k), start, length
 
 
 def _probes_of(p: _Parts):
@@ -171,14 +174,14 @@ def segment_entries(sets: DataFrame) -> DataFrame:
     A set of more than about _PART items is dealt to parts by its items, and each part is indexed as if it were a set:
     of two near duplicates, some part of one is a near duplicate of that part of the other, as the edits of all parts
     together are few enough. A part of n items is cut into one segment more than the edits it can need; seg stands for
-    the segment's items, k is its number, start its place. An index grows by appending the entries of new sets;
+    the segment's items, start is its place, k how far it can have moved (its number, or all edits). An index grows by appending the entries of new sets;
     nothing stored changes.
     """
 
     def run(batches):
         for ids, items, sizes, hot in _sliced(batches):
             p = _Parts(items, sizes, hot, _parts_of(sizes))
-            part, k, start, length = _entries_of(p)
+            part, shift, start, length = _entries_of(p)
             owner = ids.take(pa.array(p.owner[part]))
             yield pa.RecordBatch.from_arrays([pa.array(p.keys(part, start, length)), owner, *(pa.array(x.astype(np.int32)) for x in (p.n[part], k, start))], names=["seg", "stored", "n", "k", "start"])
 
@@ -212,7 +215,8 @@ def candidates(entries: DataFrame, probes: DataFrame) -> DataFrame:
     """probe, stored: the pairs of a new and another stored set that share a segment, each once.
 
     Sizes must fit, and a segment can have moved by no more places than segments stand before it: if the parts
-    differ by few enough edits, some segment is untouched with exactly as many edits before it.
+    differ by few enough edits, some segment is untouched with exactly as many edits before it. Where a part has rare
+    segments alone, only the edits altogether bound that.
     """
     n, b = F.col("n"), F.col("b")
     fits = (n * 10 >= b * 7) & (b * 10 >= n * 7) & (F.abs(F.col("at") - F.col("start")) <= F.col("k"))

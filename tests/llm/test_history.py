@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalith.llm.history import HistoryIndex, candidates, history_duplicates, hot_items, incremental_duplicates, near_sets, ordered_sets, segment_entries, segment_probes, verified
+from catalith.llm.history import HistoryIndex, _entries_of, _Parts, _parts_of, _probes_of, candidates, history_duplicates, hot_items, incremental_duplicates, near_sets, ordered_sets, segment_entries, segment_probes, verified
 
 
 def brute(packages, batches, members):
@@ -97,7 +98,7 @@ def test_an_index_grows_by_appending(spark):
 
 
 def test_common_items_bring_no_candidates(spark):
-    for common, own in (({7, 8}, 3), ({7}, 1), (set(range(10)), 30), (set(range(10)), 200)):
+    for common, own in (({7, 8}, 3), ({7, 8}, 1), ({7}, 1), ({7, 8, 9}, 2), (set(range(10)), 5), (set(range(10)), 30), (set(range(10)), 200)):
         n = 400 if own < 100 else 60
         df = frame(spark, [common | {10**6 + i * 1000 + j for j in range(own)} for i in range(n)], common)
         assert candidates(segment_entries(df), segment_probes(df)).count() == 0
@@ -157,3 +158,33 @@ def test_a_small_batch_opens_few_buckets(spark, tmp_path):
     one = spark.createDataFrame([(900, b"new")], "id long, key binary"), spark.createDataFrame([(900, 700 + j) for j in range(5)], "package_id long, item long")
     assert {tuple(r) for r in index.check_and_append(1, *one).collect()} == {(7, 900)}
     assert index.segments.opened <= 12 and index.sets.opened == 1 and index.ids.opened <= 3
+
+
+def test_every_near_pair_meets_in_a_segment():
+    rnd = random.Random(5)
+
+    def parts(items, hot, n):
+        return _Parts(np.array(items, np.int64), np.array([len(items)]), np.array([hot]), np.array([n]))
+
+    met = 0
+    for _ in range(6000):
+        n, common, q = rnd.choice([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 20, 31, 32, 33, 64, 90]), rnd.choice([0, 1, 2, 3, 5, 20]), rnd.random()
+        pick = lambda: rnd.randrange(1, 1 + common) if common and rnd.random() < q else rnd.randrange(1000, 10**6)  # noqa: B023, E731
+        a = {pick() for _ in range(n)}
+        b = set(a)
+        for _ in range(rnd.randrange(0, 2 + len(a) // 3)):
+            b.discard(rnd.choice(sorted(b))) if rnd.random() < 0.5 and len(b) > 1 else b.add(pick())
+        if 10 * len(a & b) < 7 * len(a | b):
+            continue
+        met += 1
+        a, b = (sorted(s, key=lambda x: (x < 1000, x * 7919 % 1_000_003)) for s in (a, b))
+        many = int(_parts_of(np.array([len(a)]))[0])
+        stored, new = parts(a, sum(x < 1000 for x in a), many), parts(b, sum(x < 1000 for x in b), many)
+        part, shift, start, length = _entries_of(stored)
+        to, at, size = _probes_of(new)
+        probes = {}
+        for key, b_n, place in zip(new.keys(to, at, size).tolist(), new.n[to].tolist(), at.tolist()):
+            probes.setdefault(key, []).append((b_n, place))
+        entries = zip(stored.keys(part, start, length).tolist(), stored.n[part].tolist(), shift.tolist(), start.tolist())
+        assert any(10 * x >= 7 * y and 10 * y >= 7 * x and abs(p - s) <= k for key, x, k, s in entries for y, p in probes.get(key, ()))
+    assert met > 3000
