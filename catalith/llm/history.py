@@ -183,7 +183,7 @@ def segment_entries(sets: DataFrame) -> DataFrame:
             p = _Parts(items, sizes, hot, _parts_of(sizes))
             part, shift, start, length = _entries_of(p)
             owner = ids.take(pa.array(p.owner[part]))
-            yield pa.RecordBatch.from_arrays([pa.array(p.keys(part, start, length)), owner, *(pa.array(x.astype(np.int32)) for x in (p.n[part], k, start))], names=["seg", "stored", "n", "k", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(p.keys(part, start, length)), owner, *(pa.array(x.astype(np.int32)) for x in (p.n[part], shift, start))], names=["seg", "stored", "n", "k", "start"])
 
     return sets.select("sid", "items", "hot").mapInArrow(run, _ENTRIES)
 
