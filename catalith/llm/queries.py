@@ -15,7 +15,7 @@ from catalith.llm.history import history_duplicates, incremental_duplicates
 from catalith.llm.membership import fingerprint, key_index, probe_index, seen_before, seen_report
 from catalith.llm.mixing import Mix, mix_report
 from catalith.llm.spans import SharedSpans
-from catalith.session import shared_dir
+from catalith.session import remove, shared_dir
 from catalith.operators.skew import salted_left_join
 from catalith.tables import table
 
@@ -34,7 +34,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_incremental(spark: SparkSession, sf: str) -> DataFrame:
     """The rows of p5_found from an index on disk that holds the history and takes the batches in one after the other."""
-    return incremental_duplicates(*_accepted(spark, sf), f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", buckets=64)
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    found = incremental_duplicates(*_accepted(spark, sf), path, buckets=64)
+    remove(spark, path)  # what each batch repeats is written apart from the index
+    return found
 
 
 def _uploads(spark: SparkSession, sf: str) -> DataFrame:
