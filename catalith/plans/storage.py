@@ -395,7 +395,7 @@ def _taken(spark, sf) -> dict[str, DataFrame]:
     none = F.lit(None).cast("string").alias("filename")
     plain = d.select(F.col("doc_id").alias("id"), F.col("author_id").cast("string").alias("supplier"), F.col("created_at").alias("received_at"), none, F.encode(F.concat(F.lit("<d>"), "text", F.lit("</d>")), "utf-8").alias("body"))
     zips = _archives(spark, sf).select((F.col("package_id") + 10**9).alias("id"), F.lit("1").alias("supplier"), F.lit(None).cast("timestamp").alias("received_at"), none, "body")
-    uploads = plain.unionByName(zips)
+    uploads = cut(plain.unionByName(zips))  # as they would arrive: made once
     taken = take_in(uploads, max_bytes=None, large_entries=20)
     return unpack_late(taken["packages"], taken["package_files"], uploads.select("id", "body"))
 
