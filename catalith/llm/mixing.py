@@ -200,6 +200,10 @@ class Mix:
                     used[s] += n
         return functools.reduce(DataFrame.unionByName, drawn)
 
+    def available(self) -> DataFrame:
+        """source, most_tokens: what each source could give at most, every document used as often as it may be."""
+        return self.cells.groupBy("source").agg(F.sum(F.col("tokens") * F.col("cap")).cast("long").alias("most_tokens"))
+
     def margins(self) -> DataFrame:
         """margin (source, lang or topic), value, target_share, planned_share, actual_share: for every value of each, none left out.
 

@@ -145,8 +145,10 @@ def p9_draw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """The share of all drawn tokens that each source reaches."""
-    return mix_report(p9_draw(spark, sf), _targets(spark, sf))
+    """The share of all drawn tokens that each source reaches, and the tokens it could have given at most."""
+    mix = _mix(spark, sf)
+    report = mix_report(mix.drawn(), _targets(spark, sf)).join(mix.available(), "source", "left")
+    return report.withColumn("most_tokens", F.coalesce("most_tokens", F.lit(0)))
 
 
 def p9_margins(spark: SparkSession, sf: str) -> DataFrame:

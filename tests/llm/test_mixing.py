@@ -54,7 +54,8 @@ def test_shares_are_reached(spark):
 
 def test_a_total_that_a_source_cannot_fill(spark):
     docs = [(i, " word" * 10, s, "en", None) for i, s in enumerate(["a"] * 100 + ["b"] * 5)]
-    _, report = mix(spark, docs, [("a", 0.5, 1), ("b", 0.5, 2)], total_tokens=1000)
+    made, _, report = made_and_drawn(spark, docs, [("a", 0.5, 1), ("b", 0.5, 2)], total_tokens=1000)
+    assert {r["source"]: r["most_tokens"] for r in made.available().collect()} == {"a": 1000, "b": 100}
     assert report["a"]["n_tokens"] == 500 and report["b"]["n_tokens"] == 100 and report["b"]["most_uses"] == 2
 
 
